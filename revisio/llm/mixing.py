@@ -36,3 +36,18 @@ def mix(docs):
     copies = F.floor(rate) + (F.coalesce(u, F.lit(0.5)) < rate - F.floor(rate)).cast("long")
     return d.join(t, d["source"].eqNullSafe(t["s"])).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
+
+
+SQL = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+i AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM g),
+c AS (SELECT *, CASE i % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS w, 2e0 * source_size AS cap FROM i),
+r AS (SELECT *, cap / w AS r FROM c),
+l AS (SELECT *, (1.5e0 * (SELECT CAST(sum(source_size) AS BIGINT) FROM g) - coalesce(sum(cap) OVER (ORDER BY r, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+  / sum(w) OVER (ORDER BY r, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+f AS (SELECT level FROM l WHERE level <= r ORDER BY r, i LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM f) * w), cap) AS target FROM l),
+u AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0e0) AS rate,
+  coalesce(CAST(CAST('0x' || substr(md5('mix:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0, 0.5e0) AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM u"""

@@ -1,4 +1,13 @@
-from revisio.llm import mixing
+from revisio.llm import ann, mixing, quality
 
-QUERIES = {"op7_mixing": lambda spark, d: mixing.mix(spark.read.parquet(f"{d}/documents.parquet"))}
-SQL = {}
+
+def table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+QUERIES = {
+    "op5_ann": lambda spark, d: ann.search(table(spark, d, "embeddings")),
+    "op7_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")),
+    "op9_quality": lambda spark, d: quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
+}
+SQL = {"op5_ann": ann.SQL, "op7_mixing": mixing.SQL}

@@ -1,12 +1,8 @@
 import pytest
-from pyspark.sql import SparkSession
 
 from revisio.llm.mixing import mix, targets
 
 
-@pytest.fixture(scope="module")
-def spark():
-    return SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
 
 
 def test_capped_targets(spark):
