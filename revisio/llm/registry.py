@@ -1,4 +1,4 @@
-from revisio.llm import ann, mixing, quality
+from revisio.llm import ann, decontam, mixing, neardup, quality
 
 
 def table(spark, d, name):
@@ -6,7 +6,9 @@ def table(spark, d, name):
 
 
 QUERIES = {
+    "op1_neardup": lambda spark, d: neardup.groups(table(spark, d, "documents")),
     "op5_ann": lambda spark, d: ann.search(table(spark, d, "embeddings")),
+    "op6_decontam": lambda spark, d: decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
