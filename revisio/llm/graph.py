@@ -4,11 +4,17 @@ import tempfile
 from pyspark.sql import functions as F
 
 
-def cut(df, spark):
-    """df, written to the shared checkpoint folder the session names."""
+def folder(spark):
+    """The shared checkpoint folder the session names; one of our own where it names none."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return sc.getCheckpointDir()
+
+
+def cut(df, spark):
+    """df, written to that folder."""
+    folder(spark)
     return df.checkpoint()
 
 

@@ -27,15 +27,27 @@ def targets(sizes, share=1.5, cap=2.0):
         F.col("f").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("f.level") * F.col("w"))).alias("target"))
 
 
-def mix(docs):
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    t = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")))
-    t = t.withColumnRenamed("source", "s")
-    rate = F.coalesce(F.col("target") / F.nullif("source_size", F.lit(0)), F.lit(0.0))
+def rated(docs):
+    """docs with __size, __source_size, __target and __copies."""
+    d = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    t = targets(d.groupBy("source").agg(F.sum("__size").alias("source_size"))).select(
+        F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    rate = F.coalesce(F.col("__target") / F.nullif("__source_size", F.lit(0)), F.lit(0.0))
     u = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     copies = F.floor(rate) + (F.coalesce(u, F.lit(0.5)) < rate - F.floor(rate)).cast("long")
-    return d.join(t, d["source"].eqNullSafe(t["s"])).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
+    return d.join(t, d["source"].eqNullSafe(t["__s"])).drop("__s").withColumn("__copies", copies)
+
+
+def mix(docs):
+    return rated(docs.select("doc_id", "source", "text")).select(
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        (F.col("__size") * F.col("__copies")).cast("long").alias("taken"))
+
+
+def emit(docs):
+    """Every document as often as the mix takes it, with all its columns."""
+    r = rated(docs).where("__copies > 0")
+    return r.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
 
 
 SQL = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
