@@ -1,4 +1,4 @@
-from revisio.llm import ann, decontam, mixing, neardup, pii, quality
+from revisio.llm import ann, decontam, licences, mixing, neardup, pii, quality
 
 
 def table(spark, d, name):
@@ -8,9 +8,10 @@ def table(spark, d, name):
 QUERIES = {
     "op1_neardup": lambda spark, d: neardup.groups(table(spark, d, "documents")),
     "op10_pii": lambda spark, d: pii.spans(table(spark, d, "documents")),
+    "op3_licences": lambda spark, d: licences.scan(table(spark, d, "documents")),
     "op5_ann": lambda spark, d: ann.search(table(spark, d, "embeddings")),
     "op6_decontam": lambda spark, d: decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
-SQL = {"op5_ann": ann.SQL, "op7_mixing": mixing.SQL}
+SQL = {"op3_licences": licences.sql(), "op5_ann": ann.SQL, "op7_mixing": mixing.SQL}
