@@ -15,22 +15,24 @@ CUT = 0.3
 SAMPLE = 20000
 
 
-def features(text):
-    """Feature array of a text column, from built-in functions only."""
+def raw(text):
+    """Counts of a text column, from built-in functions only."""
     t = F.coalesce(text, F.lit(""))
-    n = F.char_length(t).cast("double")
 
     def count(p):
         return F.regexp_count(t, F.lit(p)).cast("double")
 
     words, lines = F.split(t, r"\s+"), F.split(t, "\n")
-    nw, nl = F.size(words).cast("double"), F.size(lines).cast("double")
-    up, digit, mark, end = count(r"[A-Z]"), count(r"[0-9]"), count(r"[^\p{L}\p{N}\s.,]"), count(r"[.,](?=\s|$)")
-    again = 1 - F.size(F.array_distinct(words)) / nw
-    line_again = 1 - F.size(F.array_distinct(lines)) / nl
-    share = [up / (n + 1), digit / (n + 1), mark / (n + 1), end / nw, again, line_again, n / nw / 10, nl / nw]
-    return F.array(F.log1p(n) / 10, F.log1p(nw) / 10, F.log1p(nl) / 5, *share, *[F.sqrt(x) for x in share[:3]],
-                   *[F.least(x * 20, F.lit(1.0)) for x in (share[0], share[1], share[2], share[5])], *[x * x for x in share[3:6]])
+    return F.array(F.char_length(t).cast("double"), F.size(words).cast("double"), F.size(lines).cast("double"), count(r"[A-Z]"), count(r"[0-9]"),
+                   count(r"[^\p{L}\p{N}\s.,]"), count(r"[.,](?=\s|$)"), F.size(F.array_distinct(words)).cast("double"), F.size(F.array_distinct(lines)).cast("double"))
+
+
+def features(counts):
+    """Features of a column of raw counts."""
+    n, nw, nl, up, digit, mark, end, dw, dl = (counts[i] for i in range(9))
+    share = [up / (n + 1), digit / (n + 1), mark / (n + 1), end / nw, 1 - dw / nw, 1 - dl / nl, n / nw / 10, nl / nw]
+    return [F.log1p(n) / 10, F.log1p(nw) / 10, F.log1p(nl) / 5, *share, *[F.sqrt(x) for x in share[:3]],
+            *[F.least(x * 20, F.lit(1.0)) for x in (share[0], share[1], share[2], share[5])], *[x * x for x in share[3:6]]]
 
 
 def learn(x, y, pairs=200000, steps=400, seed=7):
@@ -60,20 +62,21 @@ def fit(docs, labels, sample=SAMPLE):
     marks = marks.where(~held_out())
     keep = min(1.0, sample / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1000000)) < int(keep * 1000000) + 1)
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select(features(F.col("text")).alias("f"), "y").toArrow()
+    rows = docs.select("doc_id", "text").join(marks, "doc_id").select(raw(F.col("text")).alias("c"), "y", F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(F.array(*features(F.col("c"))).alias("f"), "y").toArrow()
     if not rows.num_rows:
         return np.zeros(1), 0.0
     return learn(np.array(rows["f"].to_pylist(), float), rows["y"].to_numpy())
 
 
 def score(docs, labels, sample=SAMPLE):
+    """docs with __score and __held_out. The row number keeps the optimizer from copying the counts into filters."""
     w, cut = fit(docs, labels, sample)
-    f = features(F.col("text"))
-    off = float(np.log(CUT / (1 - CUT))) - cut
-    worth = F.aggregate(F.zip_with(f, F.array(*[F.lit(float(a)) for a in w]), lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(off), lambda a, b: a + b)
-    s = 1 / (1 + F.exp(-worth))
-    d = docs.select("*", s.alias("__score"))
-    return d.withColumn("__held_out", held_out())
+    d = docs.select("*", raw(F.col("text")).alias("__counts"), F.monotonically_increasing_id().alias("__row"))
+    worth = F.lit(float(np.log(CUT / (1 - CUT))) - cut)
+    for a, f in zip(w, features(F.col("__counts"))):
+        worth = worth + float(a) * f
+    return d.withColumn("__score", 1 / (1 + F.exp(-worth))).withColumn("__held_out", held_out()).drop("__counts", "__row")
 
 
 def quality(docs, labels):
