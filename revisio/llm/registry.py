@@ -1,4 +1,4 @@
-from revisio.llm import ann, decontam, licences, mixing, neardup, pii, quality
+from revisio.llm import ann, decontam, licences, mixing, neardup, pii, quality, suffixes
 
 
 def table(spark, d, name):
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_ann": lambda spark, d: ann.search(table(spark, d, "embeddings")),
     "op6_decontam": lambda spark, d: decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")),
+    "op8_suffixes": lambda spark, d: suffixes.removed(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 SQL = {"op3_licences": licences.sql(), "op5_ann": ann.SQL, "op7_mixing": mixing.SQL}
