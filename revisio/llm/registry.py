@@ -1,4 +1,4 @@
-from revisio.llm import ann, decontam, licences, mixing, neardup, pii, quality, suffixes
+from revisio.llm import ann, decontam, licences, mixing, neardup, pii, quality, suffixes, wrappers
 
 
 def table(spark, d, name):
@@ -9,6 +9,7 @@ QUERIES = {
     "op1_neardup": lambda spark, d: neardup.groups(table(spark, d, "documents")),
     "op10_pii": lambda spark, d: pii.spans(table(spark, d, "documents")),
     "op3_licences": lambda spark, d: licences.scan(table(spark, d, "documents")),
+    "op4_html": lambda spark, d: wrappers.main_text(table(spark, d, "pages")),
     "op5_ann": lambda spark, d: ann.search(table(spark, d, "embeddings")),
     "op6_decontam": lambda spark, d: decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")),
