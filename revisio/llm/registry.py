@@ -1,4 +1,4 @@
-from revisio.llm import ann, decontam, licences, mixing, neardup, pii, quality, suffixes, wrappers
+from revisio.llm import ann, crossent, decontam, licences, mixing, neardup, pii, quality, suffixes, wrappers
 
 
 def table(spark, d, name):
@@ -8,6 +8,7 @@ def table(spark, d, name):
 QUERIES = {
     "op1_neardup": lambda spark, d: neardup.groups(table(spark, d, "documents")),
     "op10_pii": lambda spark, d: pii.spans(table(spark, d, "documents")),
+    "op2_crossent": lambda spark, d: crossent.score(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_licences": lambda spark, d: licences.scan(table(spark, d, "documents")),
     "op4_html": lambda spark, d: wrappers.main_text(table(spark, d, "pages")),
     "op5_ann": lambda spark, d: ann.search(table(spark, d, "embeddings")),
@@ -16,4 +17,4 @@ QUERIES = {
     "op8_suffixes": lambda spark, d: suffixes.removed(table(spark, d, "documents")),
     "op9_quality": lambda spark, d: quality.quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
-SQL = {"op3_licences": licences.sql(), "op5_ann": ann.SQL, "op7_mixing": mixing.SQL}
+SQL = {"op2_crossent": crossent.SQL, "op3_licences": licences.sql(), "op5_ann": ann.SQL, "op7_mixing": mixing.SQL}
