@@ -1,0 +1,72 @@
+"""Histories of attempts: id, start, author, study, mode, result, size.
+
+Every operator shuffles on its own grouping key once; a history is one study's attempts in
+order of start, then id, with null starts last."""
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from revisio.stats import describe, pct
+
+def at():
+    return F.struct("start", "id")
+
+
+def by_study():
+    return Window.partitionBy("study").orderBy(F.asc_nulls_last("start"), F.asc("id"))
+
+
+def sequence(attempts):
+    """Number, author change, mode change, and whether a complete attempt came before."""
+    before = F.max((F.col("result") == "COMPLETE").cast("int")).over(by_study().rowsBetween(Window.unboundedPreceding, -1))
+    return attempts.select("*", F.row_number().over(by_study()).alias("seq"), F.coalesce(F.col("author") != F.lag("author").over(by_study()), F.lit(False)).alias("author_changed"),
+                           F.coalesce(F.col("mode") != F.lag("mode").over(by_study()), F.lit(False)).alias("mode_changed"), (F.coalesce(before, F.lit(0)) == 1).alias("after_complete"))
+
+
+def studies(attempts):
+    """One row a study: counts, first and last modes, and its completion."""
+    done = F.col("result") == "COMPLETE"
+    return sequence(attempts).groupBy("study").agg(
+        F.count("*").alias("n_attempts"), F.countDistinct("author").alias("n_authors"), F.count_if(F.col("mode") == "AI").alias("n_ai"),
+        F.count_if(F.col("author_changed")).alias("n_author_changes"), F.count_if(F.col("mode_changed") & ~F.col("after_complete")).alias("n_transitions"),
+        F.count_if(F.col("after_complete")).alias("n_after"), F.min_by("mode", at()).alias("first_mode"), F.max_by("mode", at()).alias("last_mode"),
+        F.max_by("result", at()).alias("last_result"), F.max(F.when(done, F.col("mode"))).alias("completion_mode"), F.min(F.when(done, F.col("seq"))).alias("completed_at"))
+
+
+def authors(attempts):
+    """One row an author: activity, span in days, and the result of the latest complete attempt's mode."""
+    done = F.col("result") == "COMPLETE"
+    return attempts.groupBy("author").agg(
+        F.count("*").alias("n_attempts"), F.countDistinct("study").alias("n_studies"), F.count_if(done).alias("n_complete"),
+        F.datediff(F.max("start"), F.min("start")).cast("long").alias("span_days"), F.max_by(F.when(done, F.col("mode")), F.when(done, at())).alias("latest_complete_mode"),
+        F.bool_or(F.col("mode") == "AI").alias("used_ai"))
+
+
+def grouped_attempts(attempts):
+    """Nine groupings in one pass; the share is of all attempts."""
+    a = attempts.withColumn("complete", F.col("result") == "COMPLETE")
+    total = attempts.count()
+    sets = [[], ["complete"], ["result"], ["mode"], ["complete", "mode"], ["result", "mode"]]
+    g = a.groupingSets([[F.col(c) for c in s] for s in sets], "complete", "result", "mode")
+    return g.agg(F.grouping_id().cast("long").alias("grouping"), F.count("*").alias("n"), *describe(F.col("size"), "size")).withColumn("share", pct(F.col("n"), F.lit(total)))
+
+
+def study_modes(attempts):
+    """Studies by completion mode, ALL and NOT_COMPLETED included."""
+    s = studies(attempts).withColumn("group", F.explode(F.array(F.lit("ALL"), F.coalesce("completion_mode", F.lit("NOT_COMPLETED")))))
+    return s.groupBy("group").agg(F.count("*").alias("n_studies"), F.sum("n_attempts").alias("n_attempts"), *describe(F.col("n_attempts"), "attempts"), *describe(F.col("n_authors"), "authors"))
+
+
+def handoffs(attempts):
+    """Completed studies by the attempt right before completion and whether its author completed."""
+    a = attempts.select("*", F.lag("mode").over(by_study()).alias("prev_mode"), F.lag("result").over(by_study()).alias("prev_result"), F.lag("author").over(by_study()).alias("prev_author")).where("result = 'COMPLETE'")
+    kind = F.when(F.col("prev_author").isNull(), "FIRST_ATTEMPT").when(F.col("prev_author") == F.col("author"), "SAME_AUTHOR").otherwise("OTHER_AUTHOR")
+    g = a.groupBy(kind.alias("handoff"), F.coalesce("prev_mode", F.lit("NONE")).alias("prev_mode"), F.coalesce("prev_result", F.lit("NONE")).alias("prev_result"), "mode").agg(F.count("*").alias("n"))
+    return g.withColumn("share", pct(F.col("n"), F.sum("n").over(Window.partitionBy())))
+
+
+def pathways(attempts):
+    """Studies by retry pathway up to completion."""
+    a = sequence(attempts).where("not after_complete")
+    s = a.groupBy("study").agg(F.count("*").alias("n"), F.countDistinct("mode").alias("modes"), F.count_if(F.col("mode_changed")).alias("turns"), F.max_by("mode", at()).alias("last"), F.max_by("result", at()).alias("result"))
+    label = (F.when(F.col("n") == 1, "SINGLE").when(F.col("modes") == 1, F.concat(F.lit("ONLY_"), "last")).when(F.col("turns") == 1, F.concat(F.lit("SWITCH_TO_"), "last")).otherwise("MIXED"))
+    return s.groupBy(label.alias("pathway")).agg(F.count("*").alias("n"), F.count_if(F.col("result") == "COMPLETE").alias("n_complete"), *describe(F.col("n"), "attempts"))

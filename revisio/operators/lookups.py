@@ -1,0 +1,35 @@
+"""Set comparisons of offered, picked and saved identifiers."""
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from revisio.stats import describe
+
+
+def compare(rows):
+    """Kept, dropped, added and unoffered counts, and the Jaccard similarity of picked and saved (1 for two empty sets)."""
+    p, s = F.col("picked"), F.col("saved")
+    both, either = F.size(F.array_intersect(p, s)), F.size(F.array_union(p, s))
+    return rows.select("id", both.cast("long").alias("kept"), F.size(F.array_except(p, s)).cast("long").alias("dropped"), F.size(F.array_except(s, p)).cast("long").alias("added"),
+                       F.size(F.array_except(s, F.col("offered"))).cast("long").alias("unoffered"), F.coalesce(both / F.nullif(either, F.lit(0)), F.lit(1.0)).alias("similarity"),
+                       F.when(either == both, "EXACT").when(both > 0, "PARTIAL").otherwise("NONE").alias("overlap"))
+
+
+def summary(rows):
+    return compare(rows).groupBy("overlap").agg(F.count("*").alias("n"), F.sum("added").alias("added"), F.sum("dropped").alias("dropped"), F.min("similarity").alias("low"), F.max("similarity").alias("high"))
+
+
+def concordance(rows):
+    """reported x inferred counts with the share of the reported value; names are compared trimmed and without case, blank ones are MISSING."""
+    def clean(c):
+        t = F.lower(F.trim(c))
+        return F.when(F.coalesce(t, F.lit("")) == "", "MISSING").otherwise(t)
+    g = rows.groupBy(clean("reported").alias("reported"), clean("inferred").alias("inferred")).agg(F.count("*").alias("n"))
+    return g.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("reported")))
+
+
+def bands(rows, by):
+    """Quartile bands of size over all rows: 1 + boundaries that a size is above; size may repeat."""
+    q = rows.agg(*[F.percentile("size", F.lit(p)) for p in (0.25, 0.5, 0.75)]).first()
+    edges = F.array(*[F.lit(x) for x in sorted({x for x in q if x is not None})])
+    band = F.when(F.col("size").isNotNull(), F.size(F.filter(edges, lambda e: F.col("size") > e)) + 1)
+    return rows.groupBy(band.cast("long").alias("band"), by).agg(F.count("*").alias("n"), *describe(F.col("size"), "size"))

@@ -5,3 +5,18 @@ from pyspark.sql import functions as F
 def pct(n, d):
     """100*n/d, null when d is 0."""
     return F.lit(100.0) * n / F.nullif(d, F.lit(0))
+
+
+def describe(x, name):
+    """Aggregates of a numeric column: counts, quartiles with linear interpolation, mean, sample deviation (null under two values) and range."""
+    parts = {"count": F.count(x), "missing": F.count_if(x.isNull()), "min": F.min(x), "p25": F.percentile(x, F.lit(0.25)), "median": F.percentile(x, F.lit(0.5)),
+             "mean": F.avg(x), "stddev": F.round(F.stddev_samp(x), 2), "p75": F.percentile(x, F.lit(0.75)), "p90": F.percentile(x, F.lit(0.9)), "max": F.max(x)}
+    return [c.alias(f"{name}_{k}") for k, c in parts.items()]
+
+
+def describe_sql(x, name):
+    """The same aggregates in DuckDB SQL."""
+    q = "quantile_cont({x}::DOUBLE, {p})"
+    parts = {"count": f"count({x})", "missing": f"count(*) FILTER ({x} IS NULL)", "min": f"min({x})", "p25": q.format(x=x, p=0.25), "median": q.format(x=x, p=0.5),
+             "mean": f"avg({x})", "stddev": f"round(stddev_samp({x}), 2)", "p75": q.format(x=x, p=0.75), "p90": q.format(x=x, p=0.9), "max": f"max({x})"}
+    return ", ".join(f"{v} AS {name}_{k}" for k, v in parts.items())
