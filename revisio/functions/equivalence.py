@@ -1,0 +1,24 @@
+"""Cosmetic equivalence of texts."""
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def plain(text):
+    """Compatibility form without case, accents, punctuation, symbols and repeated white space."""
+    t = unicodedata.normalize("NFKD", text).casefold()
+    kinds = ((c, unicodedata.category(c)) for c in t)
+    return " ".join("".join(" " if k[0] in "PS" else c for c, k in kinds if not unicodedata.combining(c)).split())
+
+
+@F.pandas_udf(T.StringType())
+def normalized(text: pd.Series) -> pd.Series:
+    return text.map(plain, na_action="ignore")
+
+
+def comparison(selected, final):
+    """REMOVED for a blank final, EXACT, COSMETIC_EQUIVALENT or EDITED; null without a selection."""
+    return (F.when(selected.isNull(), None).when(F.coalesce(final, F.lit("")).rlike(r"(?U)^\s*$"), "REMOVED").when(selected == final, "EXACT")
+            .when(normalized(selected) == normalized(final), "COSMETIC_EQUIVALENT").otherwise("EDITED"))

@@ -1,0 +1,56 @@
+"""Translation edit rate: word edits and block shifts over the words of the final text."""
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Longest block shifted, and farthest it moves.
+BLOCK, FAR = 10, 50
+
+
+def distances(a, b):
+    """Edit distance of two lists of words."""
+    row = np.arange(len(b) + 1)
+    far = np.arange(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + np.fromiter((x != y for y in b), np.int64, len(b)))
+        row = np.minimum.accumulate(np.concatenate([[i], best]) - far) + far
+    return int(row[-1])
+
+
+def shifted(a, b):
+    """Every a with one block, that b also holds, moved to near where b holds it."""
+    where = {}
+    for n in range(1, BLOCK + 1):
+        for j in range(len(b) - n + 1):
+            where.setdefault(tuple(b[j:j + n]), []).append(j)
+    for i in range(len(a)):
+        for n in range(1, min(BLOCK, len(a) - i) + 1):
+            block = a[i:i + n]
+            spots = where.get(tuple(block))
+            if not spots:
+                break
+            rest = a[:i] + a[i + n:]
+            for j in spots:
+                if j != i and abs(j - i) <= FAR:
+                    j = min(j, len(rest))
+                    yield rest[:j] + block + rest[j:]
+
+
+def edits(suggested, final):
+    """Shifts and edits that make suggested into final, shifts taken while one lowers the distance by more than it costs."""
+    a, b, shifts = suggested.lower().split(), final.lower().split(), 0
+    d = distances(a, b)
+    while d > 1:
+        best = min(((distances(x, b), x) for x in shifted(a, b)), default=(d, a), key=lambda t: t[0])
+        if best[0] >= d - 1:
+            break
+        d, a = best
+        shifts += 1
+    return d + shifts
+
+
+@F.pandas_udf(T.DoubleType())
+def ter(suggested: pd.Series, final: pd.Series) -> pd.Series:
+    """Edits over the final's words; null where either is null or the final has no words."""
+    return pd.Series([edits(s, f) / len(f.split()) if isinstance(s, str) and isinstance(f, str) and f.split() else None for s, f in zip(suggested, final)], dtype="float64")

@@ -1,0 +1,56 @@
+"""Overview, context, experience and validation tables; each is one pass of conditional aggregates."""
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from revisio.operators.history import authors, studies
+from revisio.stats import describe, pct
+
+
+def _rows(one, base):
+    """metric, n, pct of a one-row table of counts."""
+    names = [c for c in one.columns if c != base]
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("n"), F.col(base).alias("base")) for c in [base, *names]])
+    return one.select(F.explode(pairs).alias("r")).select("r.metric", "r.n", pct(F.col("r.n"), F.col("r.base")).alias("pct"))
+
+
+def overview(attempts):
+    a, done = attempts, F.col("result") == "COMPLETE"
+    x = a.agg(F.count("*").alias("attempts"), F.count_if(done).alias("attempts_complete"), F.count_if(F.col("mode") == "AI").alias("attempts_ai"), F.count_if(F.col("result") == "AI_ERROR").alias("attempts_error"))
+    y = studies(a).agg(F.count("*").alias("studies"), F.count("completion_mode").alias("studies_complete"), F.count_if(F.col("n_authors") > 1).alias("studies_shared"), F.count_if(F.col("n_attempts") > 1).alias("studies_retried"))
+    z = authors(a).agg(F.count("*").alias("authors"), F.count_if(F.col("n_complete") > 0).alias("authors_complete"), F.count_if(F.col("used_ai")).alias("authors_ai"))
+    return _rows(x, "attempts").unionByName(_rows(y, "studies")).unionByName(_rows(z, "authors"))
+
+
+def context(attempts):
+    """Completed attempts by mode with shares within mode and overall."""
+    g = attempts.where("result = 'COMPLETE'").groupBy("mode", (F.col("author") % 4).alias("role")).agg(F.count("*").alias("n"), F.countDistinct("author").alias("n_authors"))
+    total = F.sum("n").over(Window.partitionBy())
+    return g.select("*", pct(F.col("n"), F.sum("n").over(Window.partitionBy("mode"))).alias("pct_mode"), pct(F.col("n"), total).alias("pct_all"))
+
+
+def experience(attempts):
+    """Attempts by whether their author ever used AI, completion and mode, with their author's earlier attempts."""
+    w = Window.partitionBy("author")
+    prior = F.count("*").over(w.orderBy("start", "id").rowsBetween(Window.unboundedPreceding, -1))
+    a = attempts.withColumn("prior", prior).withColumn("adopter", F.max(F.col("mode") == "AI").over(w)).withColumn("complete", F.col("result") == "COMPLETE")
+    return a.groupBy("adopter", "complete", "mode").agg(F.count("*").alias("n"), F.countDistinct("author").alias("n_authors"), *describe(F.col("prior"), "prior"))
+
+
+def violations(attempts):
+    """Counts of broken constraints: null or repeated ids, blank keys, unknown modes or results, studies completed twice, sizes out of range."""
+    repeated = F.col("n") > 1
+    ids = attempts.groupBy("id").agg(F.count("*").alias("n")).agg(F.count_if(repeated).alias("repeated_ids"))
+    twice = attempts.where("result = 'COMPLETE'").groupBy("study").agg(F.count("*").alias("n")).agg(F.count_if(repeated).alias("completed_twice"))
+    flat = attempts.agg(F.count_if(F.col("id").isNull()).alias("null_ids"), F.count_if(F.col("study").isNull() | F.col("author").isNull()).alias("null_keys"),
+                        F.count_if(~F.col("mode").isin("AI", "MANUAL")).alias("unknown_modes"), F.count_if(~F.col("result").isin("COMPLETE", "AI_ERROR", "USER_DROPPED")).alias("unknown_results"),
+                        F.count_if(F.col("size") < 0).alias("negative_sizes"))
+    parts = [df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("n")) for c in df.columns])).alias("r")).select("r.rule", "r.n") for df in (flat, ids, twice)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def check(attempts):
+    """Raises for the first broken constraints, with counts only."""
+    bad = {r.rule: r.n for r in violations(attempts).where("n > 0").collect()}
+    if bad:
+        raise ValueError(f"invalid attempts: {bad}")
+    return attempts

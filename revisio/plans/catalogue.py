@@ -1,8 +1,9 @@
 """Queries over the test tables and the same in DuckDB SQL."""
 from pyspark.sql import functions as F
 
-from revisio.functions import text
-from revisio.operators import events, history, lookups
+from revisio.functions import equivalence, text
+from revisio.functions.ter import ter
+from revisio.operators import events, history, lookups, summaries
 from revisio.plans.adapters import ATTEMPTS, LOOKUPS, PAIRS, STUDIES, attempts, pairs, table
 from revisio.plans.adapters import lookups as lookup_rows
 from revisio.stats import describe_sql
@@ -55,7 +56,23 @@ def _ev(spark, d):
     return table(spark, d, "events")
 
 
+def _ter(spark, d):
+    return pairs(spark, d).select("id", "suggested", "final", ter("suggested", "final").alias("rate"))
+
+
+def _compared(spark, d):
+    p = pairs(spark, d).select("id", F.col("suggested").alias("selected"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, F.concat(F.lit(" "), F.upper("suggested"), F.lit("!")))
+                               .when(F.col("id") % 4 == 2, F.col("suggested")).otherwise(F.concat("final", F.lit(" more"))).alias("final"))
+    return p.select("id", equivalence.comparison(F.col("selected"), F.col("final")).alias("kind"))
+
+
 QUERIES = {
+    "a01_overview": lambda s, d: summaries.overview(attempts(s, d)),
+    "a06_context": lambda s, d: summaries.context(attempts(s, d)),
+    "a08_experience": lambda s, d: summaries.experience(attempts(s, d)),
+    "a31_violations": lambda s, d: summaries.violations(attempts(s, d)),
+    "f_ter": _ter,
+    "f_comparison": _compared,
     "w_sequence": lambda s, d: history.sequence(attempts(s, d)).select("id", "study", "result", "seq", "author_changed", "mode_changed", "after_complete"),
     "d_study_history": lambda s, d: history.studies(attempts(s, d)),
     "d_author_history": lambda s, d: history.authors(attempts(s, d)),
@@ -82,7 +99,28 @@ QUERIES = {
 _CMP = f"""WITH {LOOKUPS}, x AS (SELECT id, len(list_intersect(picked, saved)) AS b, len(list_distinct(list_concat(picked, saved))) AS e, len(picked) AS np, len(saved) AS ns, len(list_intersect(saved, offered)) AS so FROM lk),
 cmp AS (SELECT id, b AS kept, np - b AS dropped, ns - b AS added, ns - so AS unoffered, CASE WHEN e = 0 THEN 1.0::DOUBLE ELSE b / e::DOUBLE END AS similarity,
 CASE WHEN e = b THEN 'EXACT' WHEN b > 0 THEN 'PARTIAL' ELSE 'NONE' END AS overlap FROM x)"""
+
+
+def _counts(source, base, cols):
+    one = {base: "count(*)", **cols}
+    return " UNION ALL ".join(f"SELECT '{k}' AS metric, {v} AS n, 100.0::DOUBLE * {v} / nullif(count(*), 0) AS pct FROM {source}" for k, v in one.items())
+
+
+_OVERVIEW = " UNION ALL ".join([
+    _counts("att", "attempts", {"attempts_complete": "count(*) FILTER (result = 'COMPLETE')", "attempts_ai": "count(*) FILTER (mode = 'AI')", "attempts_error": "count(*) FILTER (result = 'AI_ERROR')"}),
+    _counts("stu", "studies", {"studies_complete": "count(completion_mode)", "studies_shared": "count(*) FILTER (n_authors > 1)", "studies_retried": "count(*) FILTER (n_attempts > 1)"}),
+    _counts("au", "authors", {"authors_complete": "count(*) FILTER (c > 0)", "authors_ai": "count(*) FILTER (ai)"})])
 SQL = {
+    "a01_overview": f"{STU}, au AS (SELECT author, count(*) FILTER (result = 'COMPLETE') AS c, bool_or(mode = 'AI') AS ai FROM att GROUP BY author) {_OVERVIEW}",
+    "a06_context": f"""{SEQ}, g AS (SELECT mode, author % 4 AS role, count(*) AS n, count(DISTINCT author) AS n_authors FROM att WHERE result = 'COMPLETE' GROUP BY 1, 2)
+SELECT *, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY mode) AS pct_mode, 100.0::DOUBLE * n / sum(n) OVER () AS pct_all FROM g""",
+    "a08_experience": f"""{SEQ}, a AS (SELECT *, result = 'COMPLETE' AS complete, count(*) OVER (PARTITION BY author ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior, bool_or(mode = 'AI') OVER (PARTITION BY author) AS adopter FROM att)
+SELECT adopter, complete, mode, count(*) AS n, count(DISTINCT author) AS n_authors, {describe_sql("prior", "prior")} FROM a GROUP BY adopter, complete, mode""",
+    "a31_violations": f"""{SEQ} SELECT 'null_ids' AS rule, count(*) FILTER (id IS NULL) AS n FROM att UNION ALL SELECT 'null_keys', count(*) FILTER (study IS NULL OR author IS NULL) FROM att
+UNION ALL SELECT 'unknown_modes', count(*) FILTER (mode NOT IN ('AI', 'MANUAL')) FROM att UNION ALL SELECT 'unknown_results', count(*) FILTER (result NOT IN ('COMPLETE', 'AI_ERROR', 'USER_DROPPED')) FROM att
+UNION ALL SELECT 'negative_sizes', count(*) FILTER (size < 0) FROM att UNION ALL SELECT 'repeated_ids', count(*) FROM (SELECT id FROM att GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'completed_twice', count(*) FROM (SELECT study FROM att WHERE result = 'COMPLETE' GROUP BY study HAVING count(*) > 1)""",
+    "f_comparison": f"WITH {PAIRS} SELECT id, CASE id % 4 WHEN 0 THEN 'REMOVED' WHEN 1 THEN 'COSMETIC_EQUIVALENT' WHEN 2 THEN 'EXACT' ELSE 'EDITED' END AS kind FROM pr",
     "w_sequence": f"{SEQ} SELECT id, study, result, CAST(seq AS INTEGER) AS seq, author_changed, mode_changed, after_complete FROM seq",
     "d_study_history": f"{STU} SELECT * FROM stu",
     "d_author_history": f"""{SEQ} SELECT author, count(*) AS n_attempts, count(DISTINCT study) AS n_studies, count(*) FILTER (result = 'COMPLETE') AS n_complete, CAST(max(start) - min(start) AS BIGINT) AS span_days,
