@@ -70,3 +70,27 @@ def pathways(attempts):
     s = a.groupBy("study").agg(F.count("*").alias("n"), F.countDistinct("mode").alias("modes"), F.count_if(F.col("mode_changed")).alias("turns"), F.max_by("mode", at()).alias("last"), F.max_by("result", at()).alias("result"))
     label = (F.when(F.col("n") == 1, "SINGLE").when(F.col("modes") == 1, F.concat(F.lit("ONLY_"), "last")).when(F.col("turns") == 1, F.concat(F.lit("SWITCH_TO_"), "last")).otherwise("MIXED"))
     return s.groupBy(label.alias("pathway")).agg(F.count("*").alias("n"), F.count_if(F.col("result") == "COMPLETE").alias("n_complete"), *describe(F.col("n"), "attempts"))
+
+
+def before_completion(attempts):
+    """Completed attempts with counts of earlier attempts of the study and its author: one window each instead of a correlated count."""
+    w = by_study().rowsBetween(Window.unboundedPreceding, -1)
+    a = attempts.select("*", F.count("*").over(w).alias("n_before"), F.sum((F.col("mode") == "AI").cast("long")).over(w).alias("ai_before"),
+                        F.last(F.when(F.col("result") == "AI_ERROR", F.col("id")), True).over(w).alias("last_error"))
+    return a.where("result = 'COMPLETE'").select("id", "study", "n_before", F.coalesce("ai_before", F.lit(0)).alias("ai_before"), "last_error")
+
+
+def transitions(attempts):
+    """Each AI attempt against the study's AI attempt before it."""
+    ai = attempts.where("mode = 'AI'")
+    prev = F.lag(F.struct("id", "author", "size", "result")).over(by_study())
+    p = ai.select("*", prev.alias("prev")).where("prev is not null")
+    return p.select("id", F.col("prev.id").alias("prev_id"), (F.col("author") == F.col("prev.author")).alias("same_author"), (F.col("size") - F.col("prev.size")).alias("size_change"),
+                    F.when(F.col("size") > F.col("prev.size"), "LARGER").when(F.col("size") < F.col("prev.size"), "SMALLER").otherwise("SAME").alias("change"))
+
+
+def dates(attempts):
+    """First and last starts of each study by result, as conditional extremes."""
+    at = {"complete": F.col("result") == "COMPLETE", "dropped": F.col("result") == "USER_DROPPED"}
+    return attempts.groupBy("study").agg(*[f(F.when(c, F.col("start"))).cast("string").alias(f"{n}_{k}") for k, c in at.items() for n, f in (("first", F.min), ("last", F.max))],
+                                         F.when(F.bool_and(F.col("mode") == "AI"), "AI").when(F.bool_or(F.col("mode") == "AI"), "BOTH").otherwise("MANUAL").alias("modes"))

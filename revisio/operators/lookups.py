@@ -2,7 +2,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from revisio.stats import describe
+from revisio.stats import describe, pct
 
 
 def compare(rows):
@@ -18,11 +18,35 @@ def summary(rows):
     return compare(rows).groupBy("overlap").agg(F.count("*").alias("n"), F.sum("added").alias("added"), F.sum("dropped").alias("dropped"), F.min("similarity").alias("low"), F.max("similarity").alias("high"))
 
 
+def clean(c):
+    """A name trimmed and without case; MISSING for a blank one."""
+    t = F.lower(F.trim(c))
+    return F.when(F.coalesce(t, F.lit("")) == "", "MISSING").otherwise(t)
+
+
+def agreement(rows, by):
+    """Comparable, equal and different names for ALL and each value of `by`; a blank name makes a row incomparable."""
+    a, b = clean("reported"), clean("inferred")
+    both = (a != "MISSING") & (b != "MISSING")
+    r = rows.select(F.explode(F.array(F.lit("ALL"), F.col(by).cast("string"))).alias("population"), both.alias("both"), (both & (a == b)).alias("same"))
+    g = r.groupBy("population").agg(F.count("*").alias("n"), F.count_if(F.col("both")).alias("comparable"), F.count_if(F.col("same")).alias("same"))
+    return g.select("*", (F.col("comparable") - F.col("same")).alias("different"), pct(F.col("same"), F.col("comparable")).alias("pct_same"))
+
+
+def selections(rows):
+    """Suggestion counts {kind: n} as one row per kind and index, with the share of offers picked at each index.
+
+    rows: id, counts (map of kind to count), picked_kind, picked_index."""
+    e = rows.select("id", "picked_kind", "picked_index", F.explode("counts").alias("kind", "count")).where("count > 0")
+    e = e.select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("index"))
+    hit = F.coalesce((F.col("picked_kind") == F.col("kind")) & (F.col("picked_index") == F.col("index")), F.lit(False))
+    g = e.groupBy("kind", "index").agg(F.count("*").alias("offered"), F.count_if(hit).alias("picked"))
+    w = Window.partitionBy("kind")
+    return g.select("kind", F.col("index").cast("long").alias("index"), "offered", "picked", pct(F.col("picked"), F.col("offered")).alias("rate"), pct(F.sum("picked").over(w), F.sum("offered").over(w)).alias("kind_rate"))
+
+
 def concordance(rows):
     """reported x inferred counts with the share of the reported value; names are compared trimmed and without case, blank ones are MISSING."""
-    def clean(c):
-        t = F.lower(F.trim(c))
-        return F.when(F.coalesce(t, F.lit("")) == "", "MISSING").otherwise(t)
     g = rows.groupBy(clean("reported").alias("reported"), clean("inferred").alias("inferred")).agg(F.count("*").alias("n"))
     return g.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("reported")))
 

@@ -66,7 +66,20 @@ def _compared(spark, d):
     return p.select("id", equivalence.comparison(F.col("selected"), F.col("final")).alias("kind"))
 
 
+def _selections(spark, d):
+    e = _ev(spark, d)
+    k = F.get_json_object("props", "$.k").cast("int")
+    counts = F.create_map(F.lit("generic"), k % 4, F.lit("specific"), k % 3)
+    rows = e.select(F.col("event_id").alias("id"), counts.alias("counts"), F.when(k % 2 == 0, "generic").when(k % 5 == 0, "specific").alias("picked_kind"), (k % 3).alias("picked_index"))
+    return lookups.selections(rows)
+
+
 QUERIES = {
+    "a13_selections": _selections,
+    "a21_agreement": lambda s, d: lookups.agreement(_sources(s, d), "reported"),
+    "a25_transitions": lambda s, d: history.transitions(attempts(s, d)),
+    "j_counts_before": lambda s, d: history.before_completion(attempts(s, d)),
+    "s5_cond_dates": lambda s, d: history.dates(attempts(s, d)),
     "a01_overview": lambda s, d: summaries.overview(attempts(s, d)),
     "a06_context": lambda s, d: summaries.context(attempts(s, d)),
     "a08_experience": lambda s, d: summaries.experience(attempts(s, d)),
@@ -111,6 +124,19 @@ _OVERVIEW = " UNION ALL ".join([
     _counts("stu", "studies", {"studies_complete": "count(completion_mode)", "studies_shared": "count(*) FILTER (n_authors > 1)", "studies_retried": "count(*) FILTER (n_attempts > 1)"}),
     _counts("au", "authors", {"authors_complete": "count(*) FILTER (c > 0)", "authors_ai": "count(*) FILTER (ai)"})])
 SQL = {
+    "a13_selections": """WITH e AS (SELECT event_id AS id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events), o AS (SELECT id, k, 'generic' AS kind, k % 4 AS c FROM e UNION ALL SELECT id, k, 'specific', k % 3 FROM e),
+x AS (SELECT *, unnest(range(0, c)) AS index FROM o), g AS (SELECT kind, index, count(*) AS offered, count(*) FILTER ((CASE WHEN k % 2 = 0 THEN 'generic' WHEN k % 5 = 0 THEN 'specific' END) = kind AND k % 3 = index) AS picked FROM x GROUP BY kind, index)
+SELECT *, 100.0::DOUBLE * picked / offered AS rate, 100.0::DOUBLE * sum(picked) OVER (PARTITION BY kind) / sum(offered) OVER (PARTITION BY kind) AS kind_rate FROM g""",
+    "a21_agreement": """WITH s AS (SELECT c_mktsegment AS by_, lower(trim(c_mktsegment)) AS reported, lower(trim(CASE WHEN c_custkey % 7 = 0 THEN upper(c_mktsegment) WHEN c_custkey % 5 = 0 THEN n_name ELSE ' ' || c_mktsegment END)) AS inferred FROM customer JOIN nation ON c_nationkey = n_nationkey), r AS (SELECT unnest(['ALL', by_]) AS population, reported <> '' AND inferred <> '' AS b, reported = inferred AS q FROM s),
+g AS (SELECT population, count(*) AS n, count(*) FILTER (b) AS comparable, count(*) FILTER (b AND q) AS same FROM r GROUP BY population) SELECT *, comparable - same AS different, 100.0::DOUBLE * same / nullif(comparable, 0) AS pct_same FROM g""",
+    "a25_transitions": f"""{SEQ}, p AS (SELECT *, lag(id) OVER w AS prev_id, lag(author) OVER w AS pa, lag(size) OVER w AS ps FROM att WHERE mode = 'AI' WINDOW w AS (PARTITION BY study ORDER BY start, id))
+SELECT id, prev_id, author = pa AS same_author, size - ps AS size_change, CASE WHEN size > ps THEN 'LARGER' WHEN size < ps THEN 'SMALLER' ELSE 'SAME' END AS change FROM p WHERE prev_id IS NOT NULL""",
+    "j_counts_before": f"""{SEQ} SELECT id, study, (SELECT count(*) FROM att b WHERE b.study = a.study AND (b.start, b.id) < (a.start, a.id)) AS n_before,
+ (SELECT count(*) FROM att b WHERE b.study = a.study AND b.mode = 'AI' AND (b.start, b.id) < (a.start, a.id)) AS ai_before,
+ (SELECT arg_max(b.id, (b.start, b.id)) FROM att b WHERE b.study = a.study AND b.result = 'AI_ERROR' AND (b.start, b.id) < (a.start, a.id)) AS last_error FROM att a WHERE result = 'COMPLETE'""",
+    "s5_cond_dates": f"""{SEQ} SELECT study, CAST(min(start) FILTER (result = 'COMPLETE') AS VARCHAR) AS first_complete, CAST(max(start) FILTER (result = 'COMPLETE') AS VARCHAR) AS last_complete,
+ CAST(min(start) FILTER (result = 'USER_DROPPED') AS VARCHAR) AS first_dropped, CAST(max(start) FILTER (result = 'USER_DROPPED') AS VARCHAR) AS last_dropped,
+ CASE WHEN bool_and(mode = 'AI') THEN 'AI' WHEN bool_or(mode = 'AI') THEN 'BOTH' ELSE 'MANUAL' END AS modes FROM att GROUP BY study""",
     "a01_overview": f"{STU}, au AS (SELECT author, count(*) FILTER (result = 'COMPLETE') AS c, bool_or(mode = 'AI') AS ai FROM att GROUP BY author) {_OVERVIEW}",
     "a06_context": f"""{SEQ}, g AS (SELECT mode, author % 4 AS role, count(*) AS n, count(DISTINCT author) AS n_authors FROM att WHERE result = 'COMPLETE' GROUP BY 1, 2)
 SELECT *, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY mode) AS pct_mode, 100.0::DOUBLE * n / sum(n) OVER () AS pct_all FROM g""",
