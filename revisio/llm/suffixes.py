@@ -2,17 +2,18 @@
 
 Each suffix starts in the bucket of its first Q bytes. Bucket identifiers are hashes, so they
 mean the same on every executor; an identifier of twice the length comes from the identifiers
-at i and i+Q, and one of SPAN bytes from those at i, i+2Q and i+SPAN-Q. Suffixes next to each
+at i and i+Q, and one of SPAN bytes from those at i and i+SPAN-Q. Suffixes next to each
 other whose SPAN bytes share the same smallest Q-gram form a run. Runs are sorted by that
 gram and by the sum of their refined identifiers: a run equal to one of a smaller doc_id goes
 as a whole. Only runs that share the gram but differ are refined to single suffixes.
 
 Texts are UTF-8 bytes, null ones empty. Rows with a null doc_id are neither smaller nor
 larger than others and lose nothing. Rows that repeat a doc_id are judged each on its own
-text. Texts shorter than SPAN bytes lose nothing. Empty tables give no rows. Other columns
+text, told apart by a hash of 24 bits. Texts shorter than SPAN bytes lose nothing. Empty tables give no rows. Other columns
 are ignored.
 """
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -20,25 +21,42 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from revisio.llm import graph
-from revisio.llm.neardup import GOLDEN, mixed
+from revisio.llm.neardup import GOLDEN, MIX1, mixed
 
-SPAN, Q = 50, 16
-CHUNK = 1 << 21
-RUNS = "doc_id long, tag long, key long, e long, start int, n int"
+SPAN, Q = 50, 24
+CHUNK = 1 << 18
+#: Longer runs are cut into runs of LONGEST suffixes.
+LONGEST = 255
+#: `at` holds tag, start and n of a run in 24, 32 and 8 bits.
+RUNS = "doc_id long, key long, e long, at long"
+TAGS = 1 << 24
+
+
+TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+
+
+def paired(a, b):
+    """Identifiers of the pairs of two identifiers."""
+    h = a * GOLDEN
+    h += b
+    h ^= h >> np.uint64(29)
+    h *= MIX1
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def pointers(data):
     """(smallest gram, identifier) of the SPAN bytes from each place of a byte array."""
-    h = mixed((data.astype(np.uint64) + np.uint64(1)) * GOLDEN)
+    h = TABLE[data]
     for width in (1, 2, 4, 8):
-        h = mixed(h[:-width] * GOLDEN + h[width:])
+        h = paired(h[:-width], h[width:])
+    h = paired(h[:-8], h[8:])
     n = len(data) - SPAN + 1
-    two = mixed(h[:n] * GOLDEN + h[Q:Q + n])
-    w = mixed(mixed(two * GOLDEN + h[2 * Q:2 * Q + n]) * GOLDEN + h[SPAN - Q:SPAN - Q + n])
+    w = mixed(paired(paired(h[:n], h[Q:Q + n]), h[SPAN - Q:SPAN - Q + n]))
     low = h
-    for width in (1, 2, 4, 8, 16):
+    for width in (1, 2, 4, 8):
         low = np.minimum(low[:-width], low[width:])
-    return np.minimum(low[:n], low[SPAN - Q - 31:][:n]), w
+    return np.minimum(low[:n], low[SPAN - Q - 15:][:n]), w
 
 
 def chunks(texts):
@@ -66,46 +84,69 @@ def runs(texts):
     doc, key, w = doc[at], key[at], w[at]
     if not len(at):
         return [doc, key, w, at, at]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+    i = np.arange(len(at))
+    first = np.flatnonzero((i - np.maximum.accumulate(np.where(new, i, 0))) % LONGEST == 0)
     n = np.diff(np.append(first, len(at)))
     return [doc[first], key[first], np.add.reduceat(w, first), at[first] - (end - size)[doc[first]], n]
 
 
 def _bytes(b):
-    return [t.encode() for t in b["text"].to_pylist()]
+    return [(t or "").encode() for t in b["text"].to_pylist()]
+
+
+def _told(doc_id, tag, key, e, start, n):
+    at = tag.astype(np.int64) << 40 | start.astype(np.int64) << 8 | n
+    return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(key.view(np.int64)), pa.array(e.view(np.int64)), pa.array(at)], names=["doc_id", "key", "e", "at"])
+
+
+def _keys(batches):
+    for b in batches:
+        ids, texts = b["doc_id"].to_numpy(), _bytes(b)
+        for lo, hi in chunks(texts):
+            doc, key = runs(texts[lo:hi])[:2]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(key.view(np.int64))], names=["doc_id", "key"])
 
 
 def _runs(batches):
+    """The runs whose grams are among `keys`."""
     for b in batches:
-        ids, tags, texts = b["doc_id"].to_numpy(), b["tag"].to_numpy(), _bytes(b)
+        ids, tags, texts, keys = b["doc_id"].to_pylist(), b["tag"].to_numpy(), _bytes(b), b["keys"]
+        ids = np.array([i or 0 for i in ids], np.int64)
         for lo, hi in chunks(texts):
             doc, key, e, start, n = runs(texts[lo:hi])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(tags[lo:hi][doc]), pa.array(key.view(np.int64)), pa.array(e.view(np.int64)),
-                                              pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "tag", "key", "e", "start", "n"])
+            part = keys.slice(lo, hi - lo)
+            size = np.array(part.value_lengths().fill_null(0), np.int64)
+            known = np.asarray(part.flatten(), np.int64).view(np.uint64)
+            held = np.isin(mixed(key + mixed(doc.astype(np.uint64) + GOLDEN)), mixed(known + mixed(np.repeat(np.arange(hi - lo, dtype=np.uint64), size) + GOLDEN)))
+            doc = doc[held]
+            yield _told(ids[lo:hi][doc], tags[lo:hi][doc], key[held], e[held], start[held], n[held])
 
 
 def _suffixes(batches):
-    """Each suffix of the mixed runs, as a run of one."""
+    """Each suffix of the runs given, as a run of one."""
     for b in batches:
-        out = [[] for _ in range(5)]
         for i, tag, text, spans in zip(b["doc_id"].to_pylist(), b["tag"].to_pylist(), _bytes(b), b["spans"].to_pylist()):
-            spans = [s for s in spans or [] if s["mix"]]
-            if spans:
+            start, n = parted(spans or [], tag)
+            if len(start):
                 key, w = pointers(np.frombuffer(text, np.uint8))
-                at = np.concatenate([np.arange(s["start"], s["start"] + s["n"]) for s in spans])
-                for c, v in zip(out, (np.full(len(at), i), np.full(len(at), tag), key[at].view(np.int64), w[at].view(np.int64), at)):
-                    c.append(v)
-        c = [np.concatenate(v) if v else np.empty(0, np.int64) for v in out]
-        arrays = [pa.array(v) for v in c[:4]] + [pa.array(c[4].astype(np.int32)), pa.array(np.ones(len(c[4]), np.int32))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tag", "key", "e", "start", "n"])
+                at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield _told(np.full(len(at), i), np.full(len(at), tag), key[at], w[at], at, np.ones(len(at), np.int64))
 
 
-def digest(text, spans):
+def parted(spans, tag):
+    """start and n of the `at` values of a tag."""
+    x = np.array(spans, np.int64)
+    x = x[(x >> 40) & (TAGS - 1) == tag]
+    return (x >> 8) & (2**32 - 1), x & 255
+
+
+def digest(text, spans, tag):
     """(bytes, removed, spans, sha256 of the rest) when the SPAN bytes from each suffix of the spans go."""
     step = np.zeros(len(text) + 1, np.int64)
-    for s in spans:
-        step[s["start"]] += 1
-        step[s["start"] + s["n"] + SPAN - 1] -= 1
+    start, n = parted(spans, tag)
+    np.add.at(step, start, 1)
+    np.add.at(step, start + n + SPAN - 1, -1)
     gone = np.cumsum(step)[:-1] > 0
     n = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum())
     rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -114,30 +155,37 @@ def digest(text, spans):
 
 def _digests(batches):
     for b in batches:
-        rows = [digest(t, [s for s in (x or []) if not s["mix"]] + (y or [])) for t, x, y in zip(_bytes(b), b["spans"].to_pylist(), b["more"].to_pylist())]
+        rows = [digest(t, x or [], tag) for t, x, tag in zip(_bytes(b), b["spans"].to_pylist(), b["tag"].to_pylist())]
         c = list(zip(*rows)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(v, pa.int64()) for v in c[:3]), pa.array(c[3], pa.string())],
                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _by_doc(spans, name):
-    return spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*[c for c in ("start", "n", "mix") if c in spans.columns])).alias(name))
+def _by_doc(rows, column, name):
+    return rows.groupBy("doc_id").agg(F.collect_list(column).alias(name))
 
 
 def marked(docs):
-    """doc_id, tag, text, and the spans of suffixes that a smaller doc_id holds: `spans` without mix, and `more`."""
+    """doc_id, tag, text and the spans of suffixes that a smaller doc_id holds.
+
+    All joins deal the texts out alike, so that one exchange serves them. What is collected by
+    document has at most one value for each byte of its texts."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
-    known = d.where("doc_id is not null")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(TAGS)))
     same, alike = Window.partitionBy("key", "e"), Window.partitionBy("key")
-    r = known.mapInArrow(_runs, RUNS)
-    r = r.select("*", F.min("e").over(alike).alias("e1"), F.max("e").over(alike).alias("e2")).withColumn("first", F.min("doc_id").over(same))
-    r = r.where("first < doc_id or e1 <> e2").select("doc_id", "tag", "start", "n", (F.col("first") >= F.col("doc_id")).alias("mix"))
-    t = graph.cut(d.join(_by_doc(r, "spans"), ["doc_id", "tag"], "left"), spark)
-    w = t.where("exists(spans, x -> x.mix)").mapInArrow(_suffixes, RUNS).withColumn("first", F.min("doc_id").over(same)).where("first < doc_id")
-    return t.join(_by_doc(w.select("doc_id", "tag", "start", "n"), "more"), ["doc_id", "tag"], "left")
+    k = d.where("doc_id is not null").mapInArrow(_keys, "doc_id long, key long")
+    k = k.select("*", F.min("doc_id").over(alike).alias("lo"), F.max("doc_id").over(alike).alias("hi")).where("lo < hi").select("doc_id", "key")
+    at = f"{graph.folder(spark)}/grams-{uuid.uuid4().hex}"
+    k.write.parquet(at)
+    t = d.join(_by_doc(spark.read.parquet(at), "key", "keys"), ["doc_id"], "left").select("doc_id", "tag", F.expr("if(keys is null, null, text)").alias("text"), "keys")
+    r = t.mapInArrow(_runs, RUNS).select("*", F.min("e").over(alike).alias("e1"), F.max("e").over(alike).alias("e2"), F.min("doc_id").over(same).alias("first"))
+    mix = r.where("first = doc_id and e1 <> e2")
+    t = d.join(_by_doc(mix, "at", "spans"), ["doc_id"], "left").select("doc_id", "tag", F.expr("if(spans is null, null, text)").alias("text"), "spans")
+    w = t.mapInArrow(_suffixes, RUNS).withColumn("first", F.min("doc_id").over(same))
+    gone = r.where("first < doc_id").select("doc_id", "at").unionByName(w.where("first < doc_id").select("doc_id", "at"))
+    return d.join(_by_doc(gone, "at", "spans"), ["doc_id"], "left").select("doc_id", "tag", "text", "spans")
 
 
 def removed(docs):
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    return marked(docs).select("doc_id", "text", "spans", "more").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(docs).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
