@@ -3,22 +3,25 @@
 The target model counts the documents marked 1 in labels, the background model all documents.
 Both smooth alike over one vocabulary, all words of all documents and the end mark:
 p(w|v) = (c(v,w) + A) / (c(v) + A * V). A document's own counts are taken out of both models
-before it is scored, so none is predicted from itself. As log p is a difference of a pair's
+before it is scored, so none is predicted from itself; grams that occur once need no counts. As log p is a difference of a pair's
 and a context's part, pairs and contexts are counted, dealt out and joined alike as grams,
 and each document sums its grams. Grams are counted before they are shuffled; one gram's
 documents are joined by key, where the optimizer splits skewed partitions.
 
 Words are runs without ASCII white space, A to Z in lower case. A null text is empty and only
-predicts its end. Rows that repeat a doc_id are one document, their texts counted each; null
-ids are one document too. Rows of labels that are null or contradict each other mark nothing.
+predicts its end. Rows that repeat a doc_id give one result over all their texts, each
+row's own counts taken out for that row alone; null ids give one result too. Rows of labels that are null or contradict each other mark nothing.
 Without marked rows the target knows no counts. An empty table gives no rows. Other columns
 are ignored.
 """
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from revisio.llm import graph
 from revisio.llm.neardup import CHUNK, GOLDEN, mixed
 
 A = 0.1
@@ -68,19 +71,21 @@ def marks(labels):
 
 def score(docs, labels):
     """doc_id, n_tokens (the end mark too), target_loss, background_loss, difference: nats a token; the lower the difference, the nearer to the target."""
+    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.join(marks(labels), "doc_id", "left").select("doc_id", "text", F.coalesce("marked", F.lit(False)).alias("marked"))
     g = d.mapInArrow(_grams, "doc_id long, marked boolean, gram long, n int")
+    odd = F.col("gram").bitwiseAND(F.lit(1)) == 1
     counts = g.groupBy("gram").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("marked"), F.col("n")).otherwise(0)).alias("good"))
-    words = counts.agg(F.count_if(F.col("gram").bitwiseAND(F.lit(1)) == 1)).first()[0]
-    v = float(max(1, words))
-    own = g.join(counts, "gram")
-    context = F.col("gram").bitwiseAND(F.lit(1)) == 1
-    base, sign = F.when(context, F.lit(A * v)).otherwise(F.lit(A)), F.when(context, F.col("n")).otherwise(-F.col("n"))
-    left = F.col("n")
-    good = F.log(F.col("good") - F.when(F.col("marked"), left).otherwise(0) + base)
-    rest = F.log(F.col("all") - left + base)
-    s = own.groupBy("doc_id").agg(F.sum(F.when(context, F.col("n")).otherwise(0)).alias("n_tokens"), F.sum(sign * good).alias("t"), F.sum(sign * rest).alias("b"))
+    at = f"{graph.folder(spark)}/grams-{uuid.uuid4().hex}"
+    counts.where((F.col("all") > 1) | odd).write.parquet(at)
+    counts = spark.read.parquet(at)
+    v = float(max(1, counts.where(odd).count()))
+    own = g.join(counts, "gram", "left")
+    base, sign = F.when(odd, F.lit(A * v)).otherwise(F.lit(A)), F.when(odd, F.col("n")).otherwise(-F.col("n"))
+    good = F.log(F.coalesce(F.col("good") - F.when(F.col("marked"), F.col("n")).otherwise(0), F.lit(0)) + base)
+    rest = F.log(F.coalesce(F.col("all") - F.col("n"), F.lit(0)) + base)
+    s = own.groupBy("doc_id").agg(F.sum(F.when(odd, F.col("n")).otherwise(0)).alias("n_tokens"), F.sum(sign * good).alias("t"), F.sum(sign * rest).alias("b"))
     return s.select("doc_id", "n_tokens", F.round(F.col("t") / F.col("n_tokens"), 6).alias("target_loss"), F.round(F.col("b") / F.col("n_tokens"), 6).alias("background_loss"),
                     F.round((F.col("t") - F.col("b")) / F.col("n_tokens"), 6).alias("difference"))
 
