@@ -6,8 +6,10 @@ registers. Two texts' registers agree with their probability Jaccard similarity.
 registers give candidate links, which are kept if the Jaccard similarity of the whole sets
 of shingles is 0.8 or more. Words are what white space parts, in lower case.
 
-Equal texts are one node. In a band, every text is verified against the smallest and the
-largest text hash of that band, so no bucket is gathered or paired out. Null texts count as
+Equal texts are one node. In a band, every text is first verified against the smallest and
+the largest text hash of that band. Bands whose texts are then still in several classes are
+dealt out in pairs of blocks of at most about BLOCK texts and CHARS characters, and every
+pair of different classes is verified there, so no bucket is gathered. Null texts count as
 empty. Texts under five words have one shingle of all their words; texts without words are
 never duplicates. Rows with a null doc_id are left out. A repeated doc_id gives one row,
 in the class of its smallest class id. An empty table gives no rows. Other columns are
@@ -23,6 +25,7 @@ from revisio.llm import graph
 WORDS, BANDS, ROWS = 5, 20, 3
 LEAST = 0.8
 CHUNK = 1 << 20
+BLOCK, CHARS, COLUMNS = 1024, 1 << 22, 4096
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -98,7 +101,7 @@ def _banded(batches):
     for b in batches:
         b = pa.Table.from_batches([b])
         texts = b["text"].to_pylist()
-        yield pa.RecordBatch.from_arrays([b["doc_id"].combine_chunks(), b["h"].combine_chunks(), pa.array(bands(texts), pa.list_(pa.int64()))], names=["doc_id", "h", "bands"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"].combine_chunks(), b["h"].combine_chunks(), pa.array(bands(texts), pa.list_(pa.int64())), pa.array(map(len, texts), pa.int64())], names=["doc_id", "h", "bands", "chars"])
 
 
 def jaccard(a, b):
@@ -123,25 +126,105 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([b["h1"], b["h2"]], names=["h1", "h2"]).filter(pa.array(ok))
 
 
+def alike(texts, side, root):
+    """(i, j) links between texts of different roots, of a pair of blocks: across the two sides if there are two, else all; a forest, as good as all of them."""
+    n = len(texts)
+    doc, sh = shingles(texts)
+    order = np.lexsort((doc, sh))
+    doc, sh = doc[order], sh[order]
+    new = np.ones(len(sh), bool)
+    new[1:] = (sh[1:] != sh[:-1]) | (doc[1:] != doc[:-1])
+    doc, sh = doc[new], sh[new]
+    size = np.bincount(doc, minlength=n)
+    _, col, uses = np.unique(sh, return_inverse=True, return_counts=True)
+    several = uses[col] > 1
+    doc, col = doc[several], (np.cumsum(uses > 1) - 1)[col[several]]
+    both = np.zeros((n, n), np.float32)
+    for k in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        lo, hi = np.searchsorted(col, (k, k + COLUMNS))
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[doc[lo:hi], col[lo:hi] - k] = 1
+        both += m @ m.T
+    ok = both / np.maximum(1, size[:, None] + size[None] - both.astype(np.int64)) >= LEAST
+    side, root = np.array(side), np.unique(root, return_inverse=True)[1]
+    if len(set(side.tolist())) > 1:
+        ok &= side[:, None] != side[None]
+    ok &= root[:, None] != root[None]
+    np.fill_diagonal(ok, True)
+    label = np.arange(n)
+    while True:
+        low = np.where(ok, label[None], n).min(axis=1)
+        if (low == label).all():
+            return [(i, j) for i, j in enumerate(label.tolist()) if i != j]
+        label = low
+
+
+def _blocked(batches):
+    """Rows sorted by band and pair of blocks; each pair's links as it ends."""
+    def links():
+        return [(held[i][1], held[j][1]) for i, j in alike([r[3] for r in held], [r[0] for r in held], [r[2] for r in held])]
+
+    key, held = None, []
+    for b in batches:
+        out = []
+        for k, *r in zip(zip(*(b[c].to_pylist() for c in ("band", "i", "j"))), *(b[c].to_pylist() for c in ("side", "h", "root", "text"))):
+            if k != key and held:
+                out += links()
+                held = []
+            key = k
+            held.append(r)
+        yield _linked(out)
+    if held:
+        yield _linked(links())
+
+
+def _linked(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["h1", "h2"])
+
+
+def rest(d, nodes, roots):
+    """Links h1, h2 of the pairs in a band that are still in different roots. Three texts of a band are all verified by its ends."""
+    n = nodes.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    n = graph.cut(n.select("h", "rep", "chars", "root", F.explode("bands").alias("band")), d.sparkSession)
+    open_ = n.groupBy("band").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                  F.min("h").alias("first"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("h")).alias("xor")).where("n > 3 and lo <> hi")
+    open_ = open_.groupBy("n", "first", "sum", "xor").agg(F.min("band").alias("band"), F.first("chars").alias("chars"))
+    k = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / CHARS)).cast("int")
+    b = n.join(open_.select("band", k.alias("k")), "band").withColumn("side", F.pmod(F.xxhash64("h"), F.col("k")).cast("int"))
+    b = graph.cut(b.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("h", "rep", "root", "band", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j")), d.sparkSession)
+    texts = _texts(d, b.select("h", "rep").distinct())
+    b = b.join(texts, "h").select("band", "i", "j", "side", "h", "root", "text")
+    return b.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_blocked, "h1 string, h2 string")
+
+
+def _texts(d, used):
+    """h, text of the nodes used (h, rep)."""
+    used = used.withColumnRenamed("h", "h0")
+    return d.join(used, (d["doc_id"] == used["rep"]) & (d["h"] == used["h0"])).select("h", "text").dropDuplicates(["h"])
+
+
 def groups(docs):
     """doc_id, class_id: the smallest doc_id among a document's near copies."""
     spark = docs.sparkSession
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.md5("text"))
-    b = graph.cut(d.mapInArrow(_banded, "doc_id long, h string, bands array<long>"), spark)
-    nodes = b.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max(F.col("bands")).alias("bands"))
+    b = graph.cut(d.mapInArrow(_banded, "doc_id long, h string, bands array<long>, chars long"), spark)
+    nodes = b.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max(F.col("bands")).alias("bands"), F.max("chars").alias("chars"))
     nodes = graph.cut(nodes, spark)
     each = nodes.select("h", F.explode("bands").alias("band"))
     ends = each.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
     links = each.join(ends, "band").select("h", F.explode(F.array("lo", "hi")).alias("end")).where("h <> end")
     pairs = graph.cut(links.select(F.least("h", "end").alias("h1"), F.greatest("h", "end").alias("h2")).distinct(), spark)
     used = pairs.select(F.explode(F.array("h1", "h2")).alias("h")).distinct()
-    used = used.join(nodes.select("h", "rep"), "h")
-    texts = d.join(used, (d["doc_id"] == used["rep"]) & (d["h"] == used["h"])).select(d["h"], "text").dropDuplicates(["h"])
-    texts = graph.cut(texts, spark)
+    texts = graph.cut(_texts(d, used.join(nodes.select("h", "rep"), "h")), spark)
     p = pairs.join(texts.select(F.col("h").alias("h1"), F.col("text").alias("t1")), "h1")
     p = p.join(texts.select(F.col("h").alias("h2"), F.col("text").alias("t2")), "h2").select("h1", "h2", "t1", "t2")
     roots = graph.components(p.mapInArrow(_verified, "h1 string, h2 string"), spark)
+    more = rest(d, nodes, roots)
+    for end in ("h1", "h2"):
+        more = more.join(roots.select(F.col("h").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    more = graph.components(more, spark).select(F.col("h").alias("root"), F.col("root").alias("higher"))
     n = nodes.select("h", "rep").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    n = n.join(more, "root", "left").select("h", "rep", F.coalesce("higher", "root").alias("root"))
     ids = n.groupBy("root").agg(F.min("rep").alias("class_id"))
     n = n.join(ids, "root").select("h", "class_id")
     alone = b.where("bands is null").select("doc_id", F.col("doc_id").alias("class_id"))

@@ -74,3 +74,40 @@ def test_overlaps_equal_brute_force(spark):
         assert {(r.doc_id, r.item_id) for r in decontam.overlaps(d, b, size).collect()} == want
     assert {r.doc_id for r in decontam.clean(d, b).collect()} - {None} == {i for i, _ in docs} - {i for i, _ in want} - {None}
     assert decontam.overlaps(d, b.limit(0)).count() == 0 and decontam.overlaps(d.limit(0), b).count() == 0
+
+
+def linked(rows):
+    """doc_id -> class over all pairs, as brute() but in one pass."""
+    sets, root = {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b]) if b < a else 0
+            if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {i: top(i) for i in sets}
+
+
+def test_many_copies_around_the_least_similarity(spark, monkeypatch):
+    rng, rows = random.Random(1), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    for j in range(400):
+        w = list(base)
+        for _ in range(rng.choice((3, 4))):
+            w[rng.randrange(200)] = f"v{rng.randrange(5000)}"
+        rows.append((j, " ".join(w)))
+    want = linked(rows)
+    assert 1 < len(set(want.values())) < 400
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (neardup.BLOCK, 150):
+        monkeypatch.setattr(neardup, "BLOCK", size)
+        assert {r.doc_id: r.class_id for r in neardup.groups(d).collect()} == want
