@@ -1,7 +1,8 @@
 """Personal data: fixed rules, and a character BiLSTM with a CRF that adds spans.
 
-The base spans of the four kinds follow fixed patterns. Around every digit and '@' of a text
-(no span of a kind is without one) overlapping windows of characters are scored by a
+The base spans of the four kinds follow fixed patterns. Around every digit, '@', ' at ',
+'(at)' and '[at]' of a text (no added span is without one, see plausible(); a span that goes
+on beyond them is followed) overlapping windows of characters are scored by a
 bidirectional LSTM, decoded with CRF transitions, and reconciled over the whole text: a
 character's tag comes from the window in whose middle it lies nearest. Decoded spans that
 touch no base span are added. The net is trained in numpy from labelled spans that a fixed
@@ -26,7 +27,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-NEAR = re.compile(r"[0-9@]")
+NEAR = re.compile(r"[0-9@]| at |\(at\)|\[at\]", re.I)
+WORDED = re.compile(r"[\w%+-](?: at | ?\(at\) ?| ?\[at\] ?)[\w-]+(?:\.[\w-]+)+", re.I)
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 
@@ -240,57 +242,52 @@ def train(steps=300, rows=48, seed=11):
 
 
 def windows(text):
-    """Starts of the windows that hold a digit or '@' or lie beside one."""
-    need = set()
+    """Numbers of the windows that decide what plausible() cannot do without, and of those beside them."""
+    end, need = final(len(text)), set()
     for m in NEAR.finditer(text):
-        w = m.start() // STEP
-        need.update((w - 2, w - 1, w, w + 1))
-    return [w * STEP for w in sorted(need) if w >= 0 and w * STEP < max(1, len(text) - STEP)]
-
-
-def learned(net, texts):
-    """Decoded spans of each text."""
-    where, rows = [], []
-    tags = [{} for _ in texts]
-
-    def flush():
-        if rows:
-            ids = np.zeros((len(rows), SIZE), np.int64)
-            for k, c in enumerate(rows):
-                ids[k, :len(c)] = c
-            for (i, s, n), y in zip(where, net.decode(ids)):
-                lo, hi = (0 if s == 0 else STEP // 2), min(n - s, SIZE)
-                hi = hi if s + SIZE >= n else SIZE - STEP // 2
-                if s - STEP not in starts[i]:
-                    lo = 0
-                if s + STEP not in starts[i]:
-                    hi = min(n - s, SIZE)
-                for k in np.flatnonzero(y[lo:hi]).tolist():
-                    tags[i][s + lo + k] = int(y[lo + k])
-            rows.clear(), where.clear()
-
-    starts = []
-    for i, t in enumerate(texts):
-        w = windows(t)
-        starts.append(set(w))
-        if w:
-            c = codes(t)
-            for s in w:
-                where.append((i, s, len(c)))
-                rows.append(c[s:s + SIZE])
-                if len(rows) == BATCH:
-                    flush()
-    flush()
+        w = min(max(0, (m.start() - STEP // 2) // STEP), end)
+        need.update((w - 1, w, w + 1))
+    return sorted(w for w in need if 0 <= w <= end)
+
+
+def final(n):
+    """Number of the last window of n characters."""
+    return (max(1, n - STEP) - 1) // STEP
+
+
+def learned(net, texts, first=windows):
+    """Decoded spans of each text. Where tags reach the edge of what was decoded, the next window follows, so spans are as if all windows were."""
+    tags, done = [{} for _ in texts], [set() for _ in texts]
+
+    def decode(part):
+        ids = np.zeros((len(part), SIZE), np.int64)
+        for k, (i, w) in enumerate(part):
+            c = codes(texts[i][w * STEP:w * STEP + SIZE])
+            ids[k, :len(c)] = c
+        for (i, w), y in zip(part, net.decode(ids)):
+            s, n = w * STEP, len(texts[i])
+            lo, hi = (STEP // 2 if w else 0), (SIZE - STEP // 2 if w < final(n) else n - s)
+            for k in np.flatnonzero(y[lo:hi]).tolist():
+                tags[i][s + lo + k] = int(y[lo + k])
+            for edge, v in ((lo, w - 1), (hi - 1, w + 1)):
+                if hi > lo and y[edge] and 0 <= v <= final(n) and v not in done[i]:
+                    done[i].add(v)
+                    yield i, v
+
+    todo = [(i, w) for i, t in enumerate(texts) for w in first(t)]
+    for i, w in todo:
+        done[i].add(w)
+    while todo:
+        todo = [x for k in range(0, len(todo), BATCH) for x in decode(todo[k:k + BATCH])]
     out = []
     for t in tags:
-        spans, last = [], None
+        spans = []
         for p in sorted(t):
             k = (t[p] - 1) // 2
-            if spans and last == p - 1 and spans[-1][1] == k and t[p] == 2 + 2 * k:
+            if spans and spans[-1][2] == p and spans[-1][1] == k and t[p] == 2 + 2 * k:
                 spans[-1] = (spans[-1][0], k, p + 1)
             elif t[p] == 1 + 2 * k:
                 spans.append((p, k, p + 1))
-            last = p
         out.append(spans)
     return out
 
@@ -301,7 +298,7 @@ def plausible(text, span):
     t = text[s:e]
     d = "".join(DIGITS.findall(t))
     if k == 0:
-        return len(t) >= 6 and any(x in t for x in ("@", " at ", "(at)", "[at]"))
+        return len(t) >= 6 and ("@" in t or WORDED.search(t) is not None)
     if k == 1:
         return IP.fullmatch(t) is not None and all(int(x) <= 255 for x in t.split("."))
     if k == 2:

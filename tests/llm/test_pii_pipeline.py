@@ -39,6 +39,18 @@ def test_held_out_spans():
     assert hit / want > 0.85 and hit / said > 0.85
 
 
+def test_addresses_without_digits_or_at_signs():
+    net, text = pii.train(), "write to anna at mail.org. or to bob(at)corp.example, or tom[at]site.net now"
+    texts = [text, "e tar soli " * 30 + text, text.upper()]
+    found = [[t[s:e] for s, _, e in more] for t, (_, more) in zip(texts, pii.find(net, texts))]
+    assert all(x in "|".join(f) for f in found[:2] for x in ("anna at mail.org", "bob(at)corp.example", "tom[at]site.net"))
+    assert pii.find(net, ["he at last met thing at the ones. The at of rest"])[0] == ([], [])
+    rng = random.Random(7)
+    texts += [pii.example(rng)[0] + "n" * k for k in range(60)] + [pii.example(rng)[0].replace(" ", "  at  ").replace("@", "(AT)") for _ in range(20)] + ["", "a", "1", "x" * 24 + "4", "anna.of." * 30 + "x@mail.org"]
+    every = [[x for x in s if pii.plausible(t, x)] for t, s in zip(texts, pii.learned(net, texts, lambda t: range(pii.final(len(t)) + 1)))]
+    assert [[x for x in s if pii.plausible(t, x)] for t, s in zip(texts, pii.learned(net, texts))] == every
+
+
 def test_spans_and_mask(spark):
     long = "word " * 20000 + "a.b@c.org"
     d = spark.createDataFrame([(1, "mail a@b.co now", 3), (1, "mail a@b.co now", 3), (2, None, 3), (3, "", 3), (None, long, 3)], "doc_id long, text string, spans int")
