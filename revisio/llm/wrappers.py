@@ -8,7 +8,7 @@ and salt, then per host, so no task gathers a host's pages.
 
 The text of a page is what lies in slots of the article: all of <article>, <main> or
 role=main where the page has one, else all blocks whose text is a slot in the wrapper (not the
-same on all of at least COMMON pages) and mostly not links. Blocks named as menus, headers,
+same, to the last character, on all of at least COMMON pages that differ elsewhere) and mostly not links. Blocks named as menus, headers,
 footers, sidebars, notices, adverts, forms or comments, by tag or by class word, never count.
 Line breaks and inline tags do not end a block.
 
@@ -16,6 +16,7 @@ A null html is empty; a null url is a host of its own. Rows repeat as they come.
 deeper than DEPTH add their text to the block at that depth. An empty table gives no rows.
 Other columns are ignored.
 """
+import hashlib
 import html as entities
 import json
 import re
@@ -146,23 +147,30 @@ def parse(page):
     return root, texts
 
 
-def wrapper(block):
-    """[label, optional, repeated, pages, text, chars, link chars, children]: text is None, a constant or true for a slot."""
+def wrapper(block, page=()):
+    """[label, optional, repeated, pages, text, chars, link chars, children]: pages are signatures, COMMON at most; text is None, a constant's digest or true for a slot."""
     t = " ".join(block.parts)
-    return [block.label, False, False, 1, t[:40] + str(hash_of(t)) if t else None, len(t), min(block.links, len(t)), fold([wrapper(k) for k in block.kids])]
+    return [block.label, False, False, list(page), hash_of(t) if t else None, len(t), min(block.links, len(t)), fold([wrapper(k, page) for k in block.kids])]
 
 
 def hash_of(t):
-    h = 0
-    for c in entities.escape(t).encode()[:: max(1, len(t) // 64)]:
-        h = (h * 131 + c) % (1 << 61)
-    return h * 7 + len(t) % 7
+    return hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def join(a, b, pages):
+def signature(texts):
+    """Pages that say the same outside boilerplate have one signature, so copies count as one page."""
+    return [hash_of("\n".join(t for b, t in texts if not b.away))]
+
+
+def either(a, b):
+    """Signatures of two sets of pages, as many as matter."""
+    return sorted({*a, *b})[:COMMON]
+
+
+def join(a, b):
     """Two blocks of one label as one."""
     text = a[4] if b[4] is None else b[4] if a[4] is None else a[4] if a[4] == b[4] else True
-    return [a[0], a[1] or b[1], a[2] or b[2], pages, text, a[5] + b[5], a[6] + b[6], align(a[7], b[7])]
+    return [a[0], a[1] or b[1], a[2] or b[2], either(a[3], b[3]), text, a[5] + b[5], a[6] + b[6], align(a[7], b[7])]
 
 
 def fold(kids):
@@ -175,7 +183,7 @@ def fold(kids):
                 last = out[-width:]
                 del out[-width:]
                 for i, x in enumerate(last, len(out) - width):
-                    out[i] = join(out[i], x, max(out[i][3], x[3]))
+                    out[i] = join(out[i], x)
                     out[i][2] = True
         kids = out
     return kids
@@ -184,7 +192,7 @@ def fold(kids):
 def align(a, b):
     """Two sequences of siblings: matched by label in order; what one lacks is optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [join(x, y, x[3] + y[3]) for x, y in zip(a, b)]
+        return [join(x, y) for x, y in zip(a, b)]
     out, i = [], 0
     for y in b:
         j = next((j for j in range(i, len(a)) if a[j][0] == y[0]), None)
@@ -192,13 +200,13 @@ def align(a, b):
             out.append([y[0], True, *y[2:]])
         else:
             out += [[x[0], True, *x[2:]] for x in a[i:j]]
-            out.append(join(a[j], y, a[j][3] + y[3]))
+            out.append(join(a[j], y))
             i = j + 1
     return fold(out + [[x[0], True, *x[2:]] for x in a[i:]])
 
 
 def merge(a, b):
-    return join(a, b, a[3] + b[3])
+    return join(a, b)
 
 
 def fixed(w):
@@ -207,11 +215,11 @@ def fixed(w):
     while todo:
         path, x = todo.pop()
         path = (*path, x[0])
-        was = found.get(path, (None, 0, 0, 0))
+        was = found.get(path, (None, 0, 0, ()))
         text = x[4] if was[0] in (None, x[4]) else True
-        found[path] = (text, was[1] + x[5], was[2] + x[6], max(was[3], x[3]))
+        found[path] = (text, was[1] + x[5], was[2] + x[6], either(was[3], x[3]))
         todo += [(path, k) for k in x[7]]
-    return {p for p, (text, n, links, pages) in found.items() if pages >= COMMON and text not in (None, True) or 2 * links > n}
+    return {p for p, (text, n, links, pages) in found.items() if len(pages) >= COMMON and text not in (None, True) or 2 * links > n}
 
 
 def path(block):
@@ -238,7 +246,8 @@ def _infer(batches):
     found = {}
     for b in batches:
         for host, page in zip(b["host"].to_pylist(), b["html"].to_pylist()):
-            w = wrapper(parse(page)[0])
+            root, texts = parse(page)
+            w = wrapper(root, signature(texts))
             found[host] = merge(found[host], w) if host in found else w
             if len(found) >= 5000:
                 yield _told(found)

@@ -37,3 +37,12 @@ def test_wrapper_is_a_union_free_expression():
     a = wrappers.merge(w("<h1>a</h1><p>same</p>"), w("<h1>b</h1><h2>q</h2><p>same</p><p>same</p>"))
     assert [(x[0], x[1], x[2], x[4] is True) for x in a[7]] == [("h1", False, False, True), ("h2", True, False, False), ("p", False, True, False)]
     assert [(x[0], x[2]) for x in w("<dl>" + "<dt>a<dd>b" * 3)[7][0][7]] == [("dt", True), ("dd", True)]
+
+
+def test_copies_and_long_texts_are_not_constants(spark):
+    copies = [(k, f"http://c/{k}", page("<div class=x><p>Main text of copies</p></div>", k)) for k in range(8)]
+    others = [(k, f"http://o/{k}", page("<div class=x><p>Same text</p></div>" if k < 18 else f"<div class=y><p>Other {k}</p></div>", k)) for k in range(10, 20)]
+    long = "a long text that goes on " * 40
+    dated = [(k, f"http://d/{k}", page(f"<div class=x>{long}{k}{long}</div>", k)) for k in range(20, 30)]
+    want = [(k, "Main text of copies") for k in range(8)] + [(k, "Same text" if k < 18 else f"Other {k}") for k in range(10, 20)] + [(k, f"{long}{k}{long}".strip()) for k in range(20, 30)]
+    assert by(spark, copies + others + dated) == sorted(want, key=str)
