@@ -6,9 +6,10 @@ a repeated group; aligning two wrappers of a host turns what only one has into o
 groups, and texts that differ into text slots. Wrappers are merged per task, then per host
 and salt, then per host, so no task gathers a host's pages.
 
-The text of a page is what lies in slots of the article: all of <article>, <main> or
-role=main where the page has one, else all blocks whose text is a slot in the wrapper (not the
-same, to the last character, on all of at least COMMON pages that differ elsewhere) and mostly not links. Blocks named as menus, headers,
+The text of a page is what lies in blocks whose text is a slot in the wrapper (not the same,
+to the last character, on all of at least COMMON pages that differ elsewhere). Where the page
+has <article>, <main> or role=main, the slots in it count, or all of it if it has none; else
+all slots that are mostly not links. Blocks named as menus, headers,
 footers, sidebars, notices, adverts, forms or comments, by tag or by class word, never count.
 Line breaks and inline tags do not end a block.
 
@@ -210,7 +211,7 @@ def merge(a, b):
 
 
 def fixed(w):
-    """Paths of labels that are not content slots of a wrapper: constants of the host, and links."""
+    """Paths of labels that are not content slots of a wrapper: constants of the host; links."""
     found, todo = {}, [((), w)]
     while todo:
         path, x = todo.pop()
@@ -219,7 +220,7 @@ def fixed(w):
         text = x[4] if was[0] in (None, x[4]) else True
         found[path] = (text, was[1] + x[5], was[2] + x[6], either(was[3], x[3]))
         todo += [(path, k) for k in x[7]]
-    return {p for p, (text, n, links, pages) in found.items() if len(pages) >= COMMON and text not in (None, True) or 2 * links > n}
+    return {p for p, (text, _, _, pages) in found.items() if len(pages) >= COMMON and text not in (None, True)}, {p for p, (_, n, links, _) in found.items() if 2 * links > n}
 
 
 def path(block):
@@ -230,13 +231,15 @@ def path(block):
     return tuple(reversed(out))
 
 
-def extract(page, drop):
+def extract(page, constants, links):
     """The main text of a page, given the paths its host's wrapper rules out."""
     _, texts = parse(page)
-    kept = [t for b, t in texts if b.main and not b.away]
-    if not kept:
-        kept = [t for b, t in texts if not b.away and path(b) not in drop]
-    return "\n".join(kept)
+    texts = [(b, t) for b, t in texts if not b.away]
+    main = [(b, t) for b, t in texts if b.main]
+    if main:
+        kept = [t for b, t in main if path(b) not in constants] if constants else []
+        return "\n".join(kept or [t for _, t in main])
+    return "\n".join(t for b, t in texts if path(b) not in constants and path(b) not in links)
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -287,7 +290,7 @@ def _extracted(batches):
                 if len(memo) > 1000:
                     memo.clear()
                 memo[w] = fixed(json.loads(w))
-            out.append(extract(page, memo[w]))
+            out.append(extract(page, *memo[w]))
         n = pa.array(map(len, out), pa.int64())
         yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(out, pa.string()), n], names=["page_id", "url", "text", "n_chars"])
 

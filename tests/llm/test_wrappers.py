@@ -46,3 +46,11 @@ def test_copies_and_long_texts_are_not_constants(spark):
     dated = [(k, f"http://d/{k}", page(f"<div class=x>{long}{k}{long}</div>", k)) for k in range(20, 30)]
     want = [(k, "Main text of copies") for k in range(8)] + [(k, "Same text" if k < 18 else f"Other {k}") for k in range(10, 20)] + [(k, f"{long}{k}{long}".strip()) for k in range(20, 30)]
     assert by(spark, copies + others + dated) == sorted(want, key=str)
+
+
+def test_slots_decide_in_articles(spark):
+    rows = [(k, f"http://a/{k}", page(f"<article><h1>Title {k}</h1><div class=x>Read us every day</div><p>Text {k}</p></article>", k)) for k in range(6)]
+    same = [(k, f"http://s/{k}", page(f"<p>Page {k}</p><main><p>All of it constant</p></main>", k)) for k in range(10, 16)]
+    few = [(k, f"http://f/{k}", page(f"<article><p>Text {k}</p><div class=x>Not enough pages</div></article>", k)) for k in range(20, 24)]
+    want = [(k, f"Title {k}\nText {k}") for k in range(6)] + [(k, "All of it constant") for k in range(10, 16)] + [(k, f"Text {k}\nNot enough pages") for k in range(20, 24)]
+    assert by(spark, rows + same + few) == sorted(want, key=str)
