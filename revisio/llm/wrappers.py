@@ -10,7 +10,9 @@ The text of a page is what lies in blocks whose text is a slot in the wrapper (n
 to the last character, on all of at least COMMON pages that differ elsewhere). Where the page
 has <article>, <main> or role=main, the slots in it count, or all of it if it has none; else
 all slots that are mostly not links. Blocks named as menus, headers,
-footers, sidebars, notices, adverts, forms or comments, by tag or by class word, never count.
+footers, sidebars, notices, adverts, forms or comments, by tag or by a whole class, never count,
+nor inside an article by a part of a class; outside one the wrapper decides on those. An article
+in a block so named by a whole class counts if the page has no other text.
 Line breaks and inline tags do not end a block.
 
 A null html is empty; a null url is a host of its own. Rows repeat as they come. Tags nested
@@ -43,31 +45,36 @@ ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 WORD = re.compile(r"[a-z]+")
 
 
-def _named(tag, words):
-    """Whether class words mark a boilerplate block; headers of an article don't, nor words of the page or article itself."""
-    bad = AWAY_WORDS.intersection(words)
+def _named(tag, tokens):
+    """How surely class words mark a boilerplate block: 2 by a whole token (cookie-notice), 1 by a part of one (has-sidebar). Headers of an article don't, nor words of the page or article itself."""
     if tag in ("html", "body", "main", "article"):
-        return False
-    return bool(bad - {"header"} if not {"article", "entry", "post", "story"}.isdisjoint(words) else bad)
+        return 0
+    fine = {"header"} if any(not {"article", "entry", "post", "story"}.isdisjoint(t) for t in tokens) else set()
+    return max((0 if not AWAY_WORDS.intersection(t) - fine else 2 if AWAY_WORDS.issuperset(t) else 1 for t in tokens), default=0)
 
 
 class Block:
-    """A tag with its path of labels, and whether it is boilerplate or an article."""
-    __slots__ = ("tag", "label", "away", "main", "kids", "parts", "links", "up")
+    """A tag with its path of labels. mark: how surely it is boilerplate (3 by tag, 2 and 1 by class words), inside its article if it has one; main: whether it has one; around: the mark of what is around the article."""
+    __slots__ = ("tag", "label", "mark", "main", "around", "kids", "parts", "links", "up")
 
-    def __init__(self, tag, label, away, main, up):
-        self.tag, self.label, self.away, self.main, self.up = tag, label, away, main, up
+    def __init__(self, tag, label, mark, main, around, up):
+        self.tag, self.label, self.mark, self.main, self.around, self.up = tag, label, mark, main, around, up
         self.kids, self.parts, self.links = [], [], 0
 
+    @property
+    def away(self):
+        """Boilerplate wherever it is: class words that are part of a token only count inside an article."""
+        return max(self.mark, self.around) > 1 or self.main and self.mark > 0
 
-def _words(rest):
-    """Class, id and role words, camel case parted."""
-    return [w for m in ATTR.finditer(rest) for w in WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m.group(2) or m.group(3) or m.group(4) or "").lower())]
+
+def _tokens(rest):
+    """Words of each class, id and role token, camel case parted."""
+    return [t for m in ATTR.finditer(rest) for x in (m.group(2) or m.group(3) or m.group(4) or "").split() if (t := WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()))]
 
 
 def parse(page):
     """(root block, texts): texts are (block, words) runs in page order."""
-    root = Block("", "", False, False, None)
+    root = Block("", "", 0, False, 0, None)
     open_, texts, buf, at, links, inline = [root], [], [], 0, 0, []
     n, size = 0, len(page)
 
@@ -110,9 +117,10 @@ def parse(page):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        words = _words(rest) if "=" in rest else []
-        away = tag in AWAY and not (tag == "header" and open_[-1].main) or _named(tag, words)
-        if tag in INLINE and (not away or tag in VOID):
+        tokens = _tokens(rest) if "=" in rest else []
+        words = {w for t in tokens for w in t}
+        mark = 3 if tag in AWAY and not (tag == "header" and open_[-1].main) else _named(tag, tokens)
+        if tag in INLINE and (not mark or tag in VOID):
             links = int(tag == "a") or links
             if tag == "br":
                 buf.append(" ")
@@ -134,8 +142,9 @@ def parse(page):
             continue
         up = open_[-1]
         main = up.main or tag in ("article", "main") or "role" in rest and "main" in words
-        label = tag + "".join("." + w for w in sorted(set(words)))
-        b = Block(tag, label, up.away or away, main and not (up.away or away), up)
+        label = tag + "".join("." + w for w in sorted(words))
+        outer = main and not up.main
+        b = Block(tag, label, mark if outer else max(up.mark, mark), main, up.mark if outer else up.around, up)
         if len(open_) >= DEPTH:
             b.up = open_[DEPTH - 1]
         else:
@@ -232,14 +241,15 @@ def path(block):
 
 
 def extract(page, constants, links):
-    """The main text of a page, given the paths its host's wrapper rules out."""
-    _, texts = parse(page)
-    texts = [(b, t) for b, t in texts if not b.away]
-    main = [(b, t) for b, t in texts if b.main]
-    if main:
+    """The main text of a page, given the paths its host's wrapper rules out. Articles under a marked block count if there is nothing better."""
+    def slots(around):
+        main = [(b, t) for b, t in texts if b.main and not b.mark and b.around == around]
         kept = [t for b, t in main if path(b) not in constants] if constants else []
-        return "\n".join(kept or [t for _, t in main])
-    return "\n".join(t for b, t in texts if path(b) not in constants and path(b) not in links)
+        return kept or [t for _, t in main]
+
+    _, texts = parse(page)
+    kept = slots(0) or slots(1) or [t for b, t in texts if not b.away and path(b) not in constants and path(b) not in links] or slots(2)
+    return "\n".join(kept)
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"

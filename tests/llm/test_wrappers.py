@@ -54,3 +54,11 @@ def test_slots_decide_in_articles(spark):
     few = [(k, f"http://f/{k}", page(f"<article><p>Text {k}</p><div class=x>Not enough pages</div></article>", k)) for k in range(20, 24)]
     want = [(k, f"Title {k}\nText {k}") for k in range(6)] + [(k, "All of it constant") for k in range(10, 16)] + [(k, f"Text {k}\nNot enough pages") for k in range(20, 24)]
     assert by(spark, rows + same + few) == sorted(want, key=str)
+
+
+def test_classes_around_an_article(spark):
+    layouts = ("has-sidebar", "elementor-widget-container", "header-fixed", "widget", "cookies x")
+    rows = [(k, f"http://l{k}/", f"<body><nav>Menu</nav><div class='{c}' id=content-with-sidebar><article><p>Text</p><div class=share-box>Tweet</div></article></div>") for k, c in enumerate(layouts)]
+    rows += [(7, "http://l7/", "<div class=has-sidebar><p>No article</p><div class=sidebar>Side</div></div>"), (8, "http://l8/", "<div class=post-comments><article>First!</article></div><article>Text</article>"),
+             (9, "http://l9/", "<p>Text</p><div class=comments><article>First!</article></div>"), (10, "http://l10/", "<footer><article>x</article></footer>")]
+    assert by(spark, rows) == sorted([(k, "Text") for k in (*range(5), 8, 9)] + [(7, "No article"), (10, "")], key=str)
