@@ -4,7 +4,8 @@ A shingle's weight is its count. Each shingle sends arrivals of a Poisson proces
 is its weight to registers; a text stops early once its arrivals are later than all its
 registers. Two texts' registers agree with their probability Jaccard similarity. Bands of
 registers give candidate links, which are kept if the Jaccard similarity of the whole sets
-of shingles is 0.8 or more. Words are what white space parts, in lower case.
+of shingles is 0.8 or more. So that repeats hide no such link, a text that repeats shingles
+has a second set of registers, with all weights 1; the others' would be the same. Words are what white space parts, in lower case.
 
 Equal texts are one node. In a band, every text is first verified against the smallest and
 the largest text hash of that band. Bands whose texts are then still in several classes are
@@ -57,8 +58,18 @@ def shingles(texts):
 
 def registers(doc, shingle, docs, m=BANDS * ROWS):
     """docs x m matrix: the shingle whose arrival came first in each register."""
-    key, at, weight = np.unique(mixed(shingle + mixed(doc.astype(np.uint64) + GOLDEN)), return_index=True, return_counts=True)
-    doc, shingle = doc[at], shingle[at]
+    doc, shingle, weight = counted(doc, shingle)
+    return arrived(doc, shingle, weight, docs, m)
+
+
+def counted(doc, shingle):
+    """Every shingle of a document once, and its count."""
+    _, at, weight = np.unique(mixed(shingle + mixed(doc.astype(np.uint64) + GOLDEN)), return_index=True, return_counts=True)
+    return doc[at], shingle[at], weight
+
+
+def arrived(doc, shingle, weight, docs, m=BANDS * ROWS):
+    """registers() of shingles of these weights."""
     best, sig = np.full(docs * m, np.inf), np.zeros(docs * m, np.uint64)
     t, rounds, r = np.zeros(len(doc)), [], 0
     while len(doc):
@@ -76,23 +87,35 @@ def registers(doc, shingle, docs, m=BANDS * ROWS):
     return sig.reshape(docs, m)
 
 
+def keys(sig):
+    """Band keys of each row of registers."""
+    sig = sig.reshape(len(sig), BANDS, ROWS)
+    key = np.broadcast_to(mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN), sig.shape[:2])
+    for i in range(ROWS):
+        key = mixed(key * GOLDEN + sig[:, :, i])
+    return key.view(np.int64)
+
+
 def bands(texts):
-    """Band keys of each text; None for texts without words."""
+    """Band keys of each text, with weights and, where a shingle repeats, also without; None for texts without words."""
     out, start = [], 0
     while start < len(texts):
         end, size = start, 0
         while end < len(texts) and (end == start or size + len(texts[end]) <= CHUNK):
             size += len(texts[end])
             end += 1
-        doc, sh = shingles(texts[start:end])
+        doc, sh, weight = counted(*shingles(texts[start:end]))
         n = end - start
-        sig = registers(doc, sh, n).reshape(n, BANDS, ROWS)
-        key = np.broadcast_to(mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN), (n, BANDS))
-        for i in range(ROWS):
-            key = mixed(key * GOLDEN + sig[:, :, i])
         has = np.zeros(n, bool)
         has[doc] = True
-        out += [k if ok else None for k, ok in zip(key.view(np.int64).tolist(), has)]
+        part = [k if ok else None for k, ok in zip(keys(arrived(doc, sh, weight, n)).tolist(), has)]
+        again = np.unique(doc[weight > 1])
+        if len(again):
+            of = np.isin(doc, again)
+            new = keys(arrived(np.searchsorted(again, doc[of]), sh[of], np.ones(of.sum(), np.int64), len(again)))
+            for i, k in zip(again.tolist(), new.tolist()):
+                part[i] = sorted({*part[i], *k})
+        out += part
         start = end
     return out
 

@@ -111,3 +111,13 @@ def test_many_copies_around_the_least_similarity(spark, monkeypatch):
     for size in (neardup.BLOCK, 150):
         monkeypatch.setattr(neardup, "BLOCK", size)
         assert {r.doc_id: r.class_id for r in neardup.groups(d).collect()} == want
+
+
+def test_repeated_lines_hide_no_copy(spark):
+    rng, rows = random.Random(4), []
+    line = " ".join(rng.choice(VOCAB) for _ in range(6))
+    for k in range(20):
+        base = " ".join(rng.choice(VOCAB) for _ in range(300))
+        rows += [(2 * k, base + " " + line), (2 * k + 1, base + (" " + line) * 200)]
+    got = {r.doc_id: r.class_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and all(got[i] == i // 2 * 2 for i in got)
