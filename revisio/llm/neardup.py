@@ -205,13 +205,17 @@ def _linked(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["h1", "h2"])
 
 
-def rest(d, nodes, roots):
-    """Links h1, h2 of the pairs in a band that are still in different roots. Three texts of a band are all verified by its ends."""
-    n = nodes.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    n = graph.cut(n.select("h", "rep", "chars", "root", F.explode("bands").alias("band")), d.sparkSession)
-    open_ = n.groupBy("band").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                  F.min("h").alias("first"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("h")).alias("xor")).where("n > 3 and lo <> hi")
-    open_ = open_.groupBy("n", "first", "sum", "xor").agg(F.min("band").alias("band"), F.first("chars").alias("chars"))
+def rest(d, nodes, roots, pairs):
+    """Links h1, h2 of the pairs in a band that are still in different roots. Three texts of a band are all verified by its ends; in an open band every root is one of a pair that was rejected."""
+    for end in ("h1", "h2"):
+        pairs = pairs.join(roots.withColumnRenamed("h", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    some = pairs.where("h1 <> h2").select(F.explode(F.array("h1", "h2")).alias("root")).distinct()
+    n = nodes.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")).join(some, "root", "left_semi")
+    n = n.select("h", "rep", "chars", "root", F.explode("bands").alias("band"))
+    x, r = F.xxhash64("h"), F.xxhash64("root")
+    open_ = n.select("band", "chars", x.alias("x"), r.alias("r")).groupBy("band").agg(
+        F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.min("x").alias("first"), F.max("x").alias("last"), F.bit_xor("x").alias("xor")).where("n > 3 and lo <> hi")
+    open_ = graph.cut(open_.groupBy("n", "first", "last", "xor").agg(F.min("band").alias("band"), F.first("chars").alias("chars")), d.sparkSession)
     k = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / CHARS)).cast("int")
     b = n.join(open_.select("band", k.alias("k")), "band").withColumn("side", F.pmod(F.xxhash64("h"), F.col("k")).cast("int"))
     b = graph.cut(b.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("h", "rep", "root", "band", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j")), d.sparkSession)
@@ -242,7 +246,7 @@ def groups(docs):
     p = pairs.join(texts.select(F.col("h").alias("h1"), F.col("text").alias("t1")), "h1")
     p = p.join(texts.select(F.col("h").alias("h2"), F.col("text").alias("t2")), "h2").select("h1", "h2", "t1", "t2")
     roots = graph.components(p.mapInArrow(_verified, "h1 string, h2 string"), spark)
-    more = rest(d, nodes, roots)
+    more = rest(d, nodes, roots, pairs)
     for end in ("h1", "h2"):
         more = more.join(roots.select(F.col("h").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
     more = graph.components(more, spark).select(F.col("h").alias("root"), F.col("root").alias("higher"))
