@@ -3,10 +3,13 @@
 The target model counts the documents marked 1 in labels, the background model all documents.
 Both smooth alike over one vocabulary, all words of all documents and the end mark:
 p(w|v) = (c(v,w) + A) / (c(v) + A * V). A document's own counts are taken out of both models
-before it is scored, so none is predicted from itself; grams that occur once need no counts. As log p is a difference of a pair's
-and a context's part, pairs and contexts are counted, dealt out and joined alike as grams,
-and each document sums its grams. Grams are counted before they are shuffled; one gram's
-documents are joined by key, where the optimizer splits skewed partitions.
+before it is scored, so none is predicted from itself. As log p is a difference of a pair's
+and a context's part, pairs and contexts are counted alike as grams, by 64-bit hashes.
+
+Texts are dealt into chunks. A chunk counts its grams and sends each once to the bucket of its
+hash; the buckets sum up and answer with the counts of all texts, in the chunk's order, and
+the chunk scores its documents by them. So no gram is shipped by document, and a gram of every
+document reaches its bucket once a chunk.
 
 Words are runs without ASCII white space, A to Z in lower case. A null text is empty and only
 predicts its end. Rows that repeat a doc_id give one result over all their texts, each
@@ -17,51 +20,93 @@ are ignored.
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from revisio.llm import graph
-from revisio.llm.neardup import CHUNK, GOLDEN, mixed
+from revisio.llm import graph, packed
+from revisio.llm.packed import GOLDEN, mixed
 
 A = 0.1
 START, END = np.uint64(11), np.uint64(13)
+#: Marked ids are broadcast up to so many, and joined by key beyond.
+BROADCAST = 1 << 21
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def words(texts):
+    """(text index, hash) of each word of some texts of bytes."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    data = LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+    space = np.concatenate([[True], SPACE[data]])
+    turn = np.flatnonzero(space[1:] != space[:-1])
+    start, end = turn[::2], turn[1::2]
+    h = packed.span(packed.sums(data), start, end)
+    return np.searchsorted(np.cumsum(size), start, "right"), mixed(h + (end - start).astype(np.uint64) * GOLDEN)
 
 
 def grams(texts):
-    """(text index, gram, count) arrays; the lowest bit of a gram is 1 for contexts."""
-    words = [t.encode().lower().split() for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.array([w.decode() for ws in words for w in ws] + [""], dtype=object)[:-1]
-    h = pd.util.hash_array(flat, categorize=True) if len(flat) else np.empty(0, np.uint64)
-    doc = np.repeat(np.arange(len(words)), n + 1)
+    """(text index, gram) arrays; the lowest bit of a gram is 1 for contexts."""
+    doc, h = words(texts)
+    n = np.bincount(doc, minlength=len(texts))
     last = np.cumsum(n + 1) - 1
-    v, w = np.full(len(doc), START), np.full(len(doc), END)
-    inner = np.ones(len(doc), bool)
+    v, w = np.full(len(h) + len(texts), START), np.full(len(h) + len(texts), END)
+    inner = np.ones(len(w), bool)
     inner[last] = False
     w[inner] = h
     v[np.flatnonzero(inner) + 1] = h
     one = np.uint64(1)
-    both = np.concatenate([mixed(v * GOLDEN + mixed(w)) & ~one, mixed(v) | one])
-    doc = np.concatenate([doc, doc])
-    order = np.lexsort((both, doc))
-    doc, both = doc[order], both[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (both[1:] != both[:-1])])) if len(doc) else np.empty(0, np.int64)
-    return doc[first], both[first], np.diff(np.append(first, len(doc)))
-
-
-def _grams(batches):
-    for b in batches:
-        ids, texts, start = b["doc_id"], b["text"].to_pylist(), 0
-        marked = np.array(b["marked"].to_pylist(), bool)
-        while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) <= CHUNK):
-                size += len(texts[end])
-                end += 1
-            doc, g, n = grams(texts[start:end])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + start)), pa.array(marked[doc + start]), pa.array(g.view(np.int64)), pa.array(n.astype(np.int32))], names=["doc_id", "marked", "gram", "n"])
-            start = end
+    doc = np.repeat(np.arange(len(texts), dtype=np.int64), n + 1)
+    return np.concatenate([doc, doc]), np.concatenate([mixed(v * GOLDEN + mixed(w)) & ~one, mixed(v) | one])
+
+
+def _chunk(table):
+    """(number, marks, text index, gram) of a chunk."""
+    texts, parts = [t.encode("utf-8", "surrogatepass") for t in table["text"].to_pylist()], []
+    for lo, hi in packed.blocks(texts):
+        doc, g = grams(texts[lo:hi])
+        parts.append((doc + lo, g))
+    return table["chunk"][0].as_py(), np.array(table["marked"].to_pylist(), bool), *(np.concatenate(p) for p in zip(*parts))
+
+
+def _counted(buckets):
+    def run(table):
+        chunk, marked, doc, g = _chunk(table)
+        u, n = np.unique(g, return_counts=True)
+        ug, ng = np.unique(g[marked[doc]], return_counts=True)
+        good = np.zeros(len(u), np.int64)
+        good[np.searchsorted(u, ug)] = ng
+        return packed.sent(chunk, u, buckets, n, good)
+    return run
+
+
+def _summed(table):
+    """Counts over all chunks for one bucket; `contexts` is told once."""
+    parts = [packed.unpack(d) for d in table["data"].to_pylist()]
+    u, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n, good = (np.bincount(of, np.concatenate([p[i] for p in parts])).astype(np.int64)[of] for i in (1, 2))
+    data = packed.answered(table, [len(p[0]) for p in parts], n, good)
+    contexts = [int((u & np.uint64(1)).sum())] + [0] * (len(data) - 1)
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "contexts": pa.array(contexts, pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def _scored(v):
+    def run(table, answers):
+        if not table.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "t": pa.array([], pa.float64()), "b": pa.array([], pa.float64())})
+        _, marked, doc, g = _chunk(table)
+        u, of = np.unique(g, return_inverse=True)
+        n_all, good = (c.astype(np.int64) for c in packed.received(answers, 2))
+        each, n = np.unique(doc * len(u) + of, return_counts=True)
+        doc, of = each // len(u), each % len(u)
+        odd = (u & np.uint64(1)).astype(bool)[of]
+        base, sign = np.where(odd, A * v, A), np.where(odd, n, -n)
+        t = np.bincount(doc, sign * np.log(good[of] - n * marked[doc] + base), len(marked))
+        b = np.bincount(doc, sign * np.log(n_all[of] - n + base), len(marked))
+        size = np.bincount(doc, n * odd, len(marked)).astype(np.int64)
+        return pa.table({"doc_id": table["doc_id"], "n_tokens": pa.array(size), "t": pa.array(t), "b": pa.array(b)})
+    return run
 
 
 def marks(labels):
@@ -69,23 +114,21 @@ def marks(labels):
     return m.where("q = 1 and q2 = 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("marked"))
 
 
-def score(docs, labels):
+def score(docs, labels, size=packed.CHUNK):
     """doc_id, n_tokens (the end mark too), target_loss, background_loss, difference: nats a token; the lower the difference, the nearer to the target."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.join(marks(labels), "doc_id", "left").select("doc_id", "text", F.coalesce("marked", F.lit(False)).alias("marked"))
-    g = d.mapInArrow(_grams, "doc_id long, marked boolean, gram long, n int")
-    odd = F.col("gram").bitwiseAND(F.lit(1)) == 1
-    counts = g.groupBy("gram").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("marked"), F.col("n")).otherwise(0)).alias("good"))
+    d, chunks = packed.chunked(d, size)
+    m = marks(labels)
+    d = d.join(F.broadcast(m) if m.count() <= BROADCAST else m, "doc_id", "left").select("doc_id", "text", F.coalesce("marked", F.lit(False)).alias("marked"), "chunk")
+    sent = d.groupBy("chunk").applyInArrow(_counted(chunks), packed.ROWS)
+    answers = sent.groupBy("bucket").applyInArrow(_summed, "chunk int, bucket int, contexts long, data binary")
     at = f"{graph.folder(spark)}/grams-{uuid.uuid4().hex}"
-    counts.where((F.col("all") > 1) | odd).write.parquet(at)
-    counts = spark.read.parquet(at)
-    v = float(max(1, counts.where(odd).count()))
-    own = g.join(counts, "gram", "left")
-    base, sign = F.when(odd, F.lit(A * v)).otherwise(F.lit(A)), F.when(odd, F.col("n")).otherwise(-F.col("n"))
-    good = F.log(F.coalesce(F.col("good") - F.when(F.col("marked"), F.col("n")).otherwise(0), F.lit(0)) + base)
-    rest = F.log(F.coalesce(F.col("all") - F.col("n"), F.lit(0)) + base)
-    s = own.groupBy("doc_id").agg(F.sum(F.when(odd, F.col("n")).otherwise(0)).alias("n_tokens"), F.sum(sign * good).alias("t"), F.sum(sign * rest).alias("b"))
+    answers.write.parquet(at)
+    answers = spark.read.parquet(at)
+    v = float(max(1, answers.agg(F.sum("contexts")).first()[0] or 0))
+    own = d.groupBy("chunk").cogroup(answers.drop("contexts").groupBy("chunk")).applyInArrow(_scored(v), "doc_id long, n_tokens long, t double, b double")
+    s = own.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     return s.select("doc_id", "n_tokens", F.round(F.col("t") / F.col("n_tokens"), 6).alias("target_loss"), F.round(F.col("b") / F.col("n_tokens"), 6).alias("background_loss"),
                     F.round((F.col("t") - F.col("b")) / F.col("n_tokens"), 6).alias("difference"))
 

@@ -37,5 +37,7 @@ def test_scores_equal_brute_force(spark):
     assert set(got) == set(want)
     for i, (t, b) in want.items():
         assert got[i].target_loss == pytest.approx(t, abs=2e-6) and got[i].background_loss == pytest.approx(b, abs=2e-6)
+    parted = {r.doc_id: r for r in crossent.score(d, m, size=50).collect()}
+    assert parted == got
     twice = crossent.score(d.union(d.where("doc_id = 3")), m.limit(0)).collect()
     assert len(twice) == len(DOCS) and crossent.score(d.limit(0), m).count() == 0
