@@ -17,19 +17,20 @@ row's own counts taken out for that row alone; null ids give one result too. Row
 Without marked rows the target knows no counts. An empty table gives no rows. Other columns
 are ignored.
 """
-import uuid
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from revisio.llm import graph, packed
+from revisio.llm import packed
 from revisio.llm.packed import GOLDEN, mixed
 
 A = 0.1
 START, END = np.uint64(11), np.uint64(13)
 #: Marked ids are broadcast up to so many, and joined by key beyond.
 BROADCAST = 1 << 21
+#: The bucket of the row that tells each chunk the size of the vocabulary.
+WORDS = -1
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -61,29 +62,45 @@ def grams(texts):
     return np.concatenate([doc, doc]), np.concatenate([mixed(v * GOLDEN + mixed(w)) & ~one, mixed(v) | one])
 
 
-def _chunk(table):
-    """(number, marks, text index, gram) of a chunk."""
-    texts, parts = [t.encode("utf-8", "surrogatepass") for t in table["text"].to_pylist()], []
-    for lo, hi in packed.blocks(texts):
-        doc, g = grams(texts[lo:hi])
-        parts.append((doc + lo, g))
-    return table["chunk"][0].as_py(), np.array(table["marked"].to_pylist(), bool), *(np.concatenate(p) for p in zip(*parts))
+class Chunk:
+    """The grams of a chunk, block by block: the distinct ones of each, and the whole chunk's."""
+
+    def __init__(self, table):
+        self.chunk, self.texts = table["chunk"][0].as_py(), [t.encode("utf-8", "surrogatepass") for t in table["text"].to_pylist()]
+        self.marked = np.array(table["marked"].to_pylist(), bool)
+        self.blocks = list(packed.blocks(self.texts))
+        each = []
+        for lo, hi in self.blocks:
+            each.append(np.unique(grams(self.texts[lo:hi])[1]))
+        self.grams = np.unique(np.concatenate(each))
+
+    def __iter__(self):
+        """(first text, marks of texts, text index, index of the gram in self.grams) of each block."""
+        for lo, hi in self.blocks:
+            doc, g = grams(self.texts[lo:hi])
+            u, of = np.unique(g, return_inverse=True)
+            yield lo, self.marked[lo:hi], doc, np.searchsorted(self.grams, u)[of]
+
+
+def _table(chunk, bucket, data):
+    return pa.table({"chunk": pa.array(chunk, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
 def _counted(buckets):
     def run(table):
-        chunk, marked, doc, g = _chunk(table)
-        u, n = np.unique(g, return_counts=True)
-        ug, ng = np.unique(g[marked[doc]], return_counts=True)
-        good = np.zeros(len(u), np.int64)
-        good[np.searchsorted(u, ug)] = ng
-        return packed.sent(chunk, u, buckets, n, good)
+        c = Chunk(table)
+        n, good = np.zeros(len(c.grams), np.uint32), np.zeros(len(c.grams), np.uint32)
+        for _, marked, doc, of in c:
+            for count, some in ((n, of), (good, of[marked[doc]])):
+                i, k = np.unique(some, return_counts=True)
+                count[i] += k.astype(np.uint32)
+        return _table(*packed.sent(c.chunk, c.grams, buckets, n, good))
     return run
 
 
 def _summed(table):
-    """Counts over all chunks for one bucket; `contexts` is told once."""
-    parts = [packed.unpack(d) for d in table["data"].to_pylist()]
+    """Counts over all chunks for one bucket; `contexts`, the words it has, is told once."""
+    parts = [packed.unkeyed(d) for d in table["data"].to_pylist()]
     u, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     n, good = (np.bincount(of, np.concatenate([p[i] for p in parts])).astype(np.int64)[of] for i in (1, 2))
     data = packed.answered(table, [len(p[0]) for p in parts], n, good)
@@ -91,22 +108,25 @@ def _summed(table):
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "contexts": pa.array(contexts, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
-def _scored(v):
-    def run(table, answers):
-        if not table.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "t": pa.array([], pa.float64()), "b": pa.array([], pa.float64())})
-        _, marked, doc, g = _chunk(table)
-        u, of = np.unique(g, return_inverse=True)
-        n_all, good = (c.astype(np.int64) for c in packed.received(answers, 2))
-        each, n = np.unique(doc * len(u) + of, return_counts=True)
-        doc, of = each // len(u), each % len(u)
-        odd = (u & np.uint64(1)).astype(bool)[of]
-        base, sign = np.where(odd, A * v, A), np.where(odd, n, -n)
-        t = np.bincount(doc, sign * np.log(good[of] - n * marked[doc] + base), len(marked))
-        b = np.bincount(doc, sign * np.log(n_all[of] - n + base), len(marked))
-        size = np.bincount(doc, n * odd, len(marked)).astype(np.int64)
-        return pa.table({"doc_id": table["doc_id"], "n_tokens": pa.array(size), "t": pa.array(t), "b": pa.array(b)})
-    return run
+def _scored(table, answers):
+    if not table.num_rows:
+        return SCORES.empty_table()
+    v = float(max(1, pc.sum(answers.filter(pc.equal(answers["bucket"], WORDS))["contexts"]).as_py()))
+    c, (n_all, good) = Chunk(table), packed.received(answers.filter(pc.not_equal(answers["bucket"], WORDS)), 2)
+    odd = (c.grams & np.uint64(1)).astype(bool)
+    size, t, b = (np.zeros(len(c.texts)) for _ in range(3))
+    for lo, marked, doc, of in c:
+        each, n = np.unique(doc * len(odd) + of, return_counts=True)
+        doc, of = each // len(odd), each % len(odd)
+        context = odd[of]
+        base, sign, hi = np.where(context, A * v, A), np.where(context, n, -n), lo + len(marked)
+        size[lo:hi] = np.bincount(doc, n * context, len(marked))
+        t[lo:hi] = np.bincount(doc, sign * np.log(good[of].astype(np.int64) - n * marked[doc] + base), len(marked))
+        b[lo:hi] = np.bincount(doc, sign * np.log(n_all[of].astype(np.int64) - n + base), len(marked))
+    return pa.table([table["doc_id"], pa.array(size.astype(np.int64)), pa.array(t), pa.array(b)], schema=SCORES)
+
+
+SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("t", pa.float64()), ("b", pa.float64())])
 
 
 def marks(labels):
@@ -114,20 +134,18 @@ def marks(labels):
     return m.where("q = 1 and q2 = 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("marked"))
 
 
-def score(docs, labels, size=packed.CHUNK):
+def score(docs, labels, size=2 * packed.CHUNK):
     """doc_id, n_tokens (the end mark too), target_loss, background_loss, difference: nats a token; the lower the difference, the nearer to the target."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d, chunks = packed.chunked(d, size)
     m = marks(labels)
     d = d.join(F.broadcast(m) if m.count() <= BROADCAST else m, "doc_id", "left").select("doc_id", "text", F.coalesce("marked", F.lit(False)).alias("marked"), "chunk")
-    sent = d.groupBy("chunk").applyInArrow(_counted(chunks), packed.ROWS)
+    sent = d.groupBy("chunk").applyInArrow(_counted(chunks), "chunk int, bucket int, data binary")
     answers = sent.groupBy("bucket").applyInArrow(_summed, "chunk int, bucket int, contexts long, data binary")
-    at = f"{graph.folder(spark)}/grams-{uuid.uuid4().hex}"
-    answers.write.parquet(at)
-    answers = spark.read.parquet(at)
-    v = float(max(1, answers.agg(F.sum("contexts")).first()[0] or 0))
-    own = d.groupBy("chunk").cogroup(answers.drop("contexts").groupBy("chunk")).applyInArrow(_scored(v), "doc_id long, n_tokens long, t double, b double")
+    words = answers.agg(F.sum("contexts").alias("contexts")).select(
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(WORDS).alias("bucket"), F.coalesce("contexts", F.lit(0)).cast("long").alias("contexts"), F.lit(None).cast("binary").alias("data"))
+    own = d.groupBy("chunk").cogroup(answers.unionByName(words).groupBy("chunk")).applyInArrow(_scored, "doc_id long, n_tokens long, t double, b double")
     s = own.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     return s.select("doc_id", "n_tokens", F.round(F.col("t") / F.col("n_tokens"), 6).alias("target_loss"), F.round(F.col("b") / F.col("n_tokens"), 6).alias("background_loss"),
                     F.round((F.col("t") - F.col("b")) / F.col("n_tokens"), 6).alias("difference"))

@@ -8,7 +8,6 @@ no keys back. Chunks and buckets grow in number with the texts, not in size.
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, about.
@@ -17,7 +16,6 @@ CHUNK = 12 << 20
 BLOCK = 1 << 20
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0xD6E8FEB86659FD93
-ROWS = "chunk int, bucket int, data binary"
 
 
 def mixed(x):
@@ -61,36 +59,48 @@ def pack(*cols):
     """Arrays of one length, each in as few bytes a value as its largest needs."""
     out = [np.array([len(cols[0])], np.uint32).tobytes()]
     for c in cols:
-        kind = next(k for k in "BHIQ" if not len(c) or int(c.max()) <= np.iinfo(k).max)
-        out += [kind.encode(), np.ascontiguousarray(c).astype(kind).tobytes()]
+        kind = "q" if len(c) and c.min() < 0 else next(k for k, n in (("B", 1), ("H", 2), ("I", 4), ("6", 6), ("Q", 8)) if not len(c) or int(c.max()) < 256**n)
+        data = np.ascontiguousarray(c).astype("Q" if kind == "6" else kind)
+        out += [kind.encode(), (data.view(np.uint8).reshape(-1, 8)[:, :6] if kind == "6" else data).tobytes()]
     return b"".join(out)
 
 
 def unpack(data):
     n, at, out = int(np.frombuffer(data, np.uint32, 1)[0]), 4, []
     while at < len(data):
-        kind = np.dtype(chr(data[at]))
-        out.append(np.frombuffer(data, kind, n, at + 1))
-        at += 1 + n * kind.itemsize
+        kind = chr(data[at])
+        width = 6 if kind == "6" else np.dtype(kind).itemsize
+        if kind == "6":
+            x = np.zeros((n, 8), np.uint8)
+            x[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at + 1).reshape(n, 6)
+            out.append(x.view(np.uint64)[:, 0])
+        else:
+            out.append(np.frombuffer(data, kind, n, at + 1))
+        at += 1 + n * width
     return out
 
 
+def keyed(h, *cols):
+    """pack() of ascending hashes, at least one, as differences, and columns beside them."""
+    return h[:1].tobytes() + pack(np.diff(h, prepend=h[0]), *cols)
+
+
+def unkeyed(data):
+    d, *cols = unpack(data[8:])
+    return [np.cumsum(d, dtype=np.uint64) + np.frombuffer(data, np.uint64, 1), *cols]
+
+
 def edges(h, n):
     """Where each of n buckets begins in sorted hashes, and the end."""
     at = [-(-(b << 64) // n) for b in range(1, n)]
     return np.concatenate([[0], np.searchsorted(h, np.array(at, np.uint64)), [len(h)]])
 
 
-def rows(chunk, buckets, data, **more):
-    cols = {"chunk": pa.array(chunk, pa.int32()), "bucket": pa.array(buckets, pa.int32()), **more, "data": pa.array(data, pa.binary())}
-    return pa.table(cols)
-
-
 def sent(chunk, h, n, *cols):
-    """Rows of a chunk's sorted hashes and the columns beside them, one for each bucket that gets some."""
+    """A chunk's sorted hashes and the columns beside them: chunk, bucket and data lists, one row for each bucket that gets some."""
     e = edges(h, n)
     full = np.flatnonzero(np.diff(e)).tolist()
-    return rows([chunk] * len(full), full, [pack(h[e[b]:e[b + 1]], *(c[e[b]:e[b + 1]] for c in cols)) for b in full])
+    return [chunk] * len(full), full, [keyed(h[e[b]:e[b + 1]], *(c[e[b]:e[b + 1]] for c in cols)) for b in full]
 
 
 def received(table, width):
