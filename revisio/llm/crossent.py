@@ -29,6 +29,8 @@ A = 0.1
 START, END = np.uint64(11), np.uint64(13)
 #: Marked ids are broadcast up to so many, and joined by key beyond.
 BROADCAST = 1 << 21
+#: Bytes of text in a chunk: the larger, the fewer times a gram is sent.
+SIZE = 16 << 20
 #: The bucket of the row that tells each chunk the size of the vocabulary.
 WORDS = -1
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -134,13 +136,13 @@ def marks(labels):
     return m.where("q = 1 and q2 = 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("marked"))
 
 
-def score(docs, labels, size=2 * packed.CHUNK):
+def score(docs, labels, size=SIZE):
     """doc_id, n_tokens (the end mark too), target_loss, background_loss, difference: nats a token; the lower the difference, the nearer to the target."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d, chunks = packed.chunked(d, size)
     m = marks(labels)
-    d = d.join(F.broadcast(m) if m.count() <= BROADCAST else m, "doc_id", "left").select("doc_id", "text", F.coalesce("marked", F.lit(False)).alias("marked"), "chunk")
+    d = d.join(F.broadcast(m) if m.count() <= BROADCAST else m, "doc_id", "left").select("doc_id", "text", F.coalesce("marked", F.lit(False)).alias("marked"), "chunk").repartition(min(chunks, packed.PARTS), "chunk")
     sent = d.groupBy("chunk").applyInArrow(_counted(chunks), "chunk int, bucket int, data binary")
     answers = sent.groupBy("bucket").applyInArrow(_summed, "chunk int, bucket int, contexts long, data binary")
     words = answers.agg(F.sum("contexts").alias("contexts")).select(

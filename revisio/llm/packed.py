@@ -11,9 +11,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, about.
-CHUNK = 12 << 20
+CHUNK = 6 << 20
+#: Texts are dealt into so many partitions at most, each of some chunks.
+PARTS = 8192
 #: Bytes hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0xD6E8FEB86659FD93
 

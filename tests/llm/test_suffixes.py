@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from revisio.llm import suffixes
 
 
@@ -38,4 +40,17 @@ def test_removed_equals_brute_force(spark):
     d = spark.createDataFrame([(*r, 7, "k") for r in rows], "doc_id long, text string, n int, key string")
     got = sorted(map(tuple, suffixes.removed(d).collect()), key=str)
     assert got == brute(rows)
+    for hot in (2, 4096):
+        assert sorted(map(tuple, suffixes.removed(d, 2000, hot).collect()), key=str) == got
     assert suffixes.removed(d.limit(0)).count() == 0
+
+
+def test_pointers_tell_bytes_apart():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    data[1000:1400] = data[100:500]
+    at = np.arange(len(data) - 49)
+    ptr = suffixes.pointers(data, at)
+    strings = [data[i:i + 50].tobytes() for i in at]
+    numbers = {}
+    assert all(numbers.setdefault(s, p) == p for s, p in zip(strings, ptr.tolist())) and len(numbers) == len(set(ptr.tolist()))
