@@ -19,6 +19,8 @@ from pyspark.sql import Window as W, functions as F
 
 OUT = "query_id long, vec_id long, score double"
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+#: Pairs recomputed at once, about.
+SURVIVORS = 1 << 20
 
 
 def quantise(x):
@@ -30,11 +32,11 @@ def quantise(x):
     return c.astype(np.int8), s, np.linalg.norm(near, axis=1), np.linalg.norm(x - near, axis=1)
 
 
-def dots(q, x):
-    """Inner products of row pairs, summed in component order."""
-    s = np.zeros(len(q))
+def dots(q, x, a, b):
+    """Inner products of the row pairs a, b, summed in component order."""
+    s = np.zeros(len(a))
     for i in range(q.shape[1]):
-        s += q[:, i] * x[:, i]
+        s += q[a, i] * x[b, i]
     return s
 
 
@@ -49,13 +51,16 @@ def tile(qids, q, ids, x, k):
     low = np.where(own, -np.inf, est - slack)
     n = low.shape[1]
     bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
-    a, b = np.nonzero((est + slack >= bar[:, None]) & ~own)
-    score = dots(q[a], x[b])
-    cuts = np.searchsorted(a, np.arange(len(q) + 1))
-    for i in range(len(q)):
-        l, r = cuts[i], cuts[i + 1]
-        for s, neg in heapq.nlargest(k, zip(score[l:r], -ids[b[l:r]])):
-            yield qids[i], -neg, s
+    ok = (est + slack >= bar[:, None]) & ~own
+    # survivors are recomputed a few queries at a time, so that equal vectors do not fill memory
+    step = max(1, SURVIVORS // max(1, n))
+    for lo in range(0, len(q), step):
+        a, b = np.nonzero(ok[lo:lo + step])
+        score = dots(q, x, a + lo, b)
+        cuts = np.searchsorted(a, np.arange(min(step, len(q) - lo) + 1))
+        for i, (l, r) in enumerate(zip(cuts[:-1], cuts[1:])):
+            for s, neg in heapq.nlargest(k, zip(score[l:r], -ids[b[l:r]])):
+                yield qids[lo + i], -neg, s
 
 
 def search(emb, k=20, every=20, query_block=QUERY_BLOCK, row_block=ROW_BLOCK):

@@ -1,7 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 A null text has size 0; a null source is a source of its own, ranked last. An empty table
-gives no rows. Repeated doc_ids draw the same number. Columns other than doc_id, source and
+gives no rows. The number drawn hangs on doc_id and text, so only rows equal in both draw the same; null ids draw by
+their texts. Columns other than doc_id, source and
 text are ignored.
 """
 from pyspark.sql import Window as W, functions as F
@@ -33,8 +34,8 @@ def rated(docs):
     t = targets(d.groupBy("source").agg(F.sum("__size").alias("source_size"))).select(
         F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     rate = F.coalesce(F.col("__target") / F.nullif("__source_size", F.lit(0)), F.lit(0.0))
-    u = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    copies = F.floor(rate) + (F.coalesce(u, F.lit(0.5)) < rate - F.floor(rate)).cast("long")
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    copies = F.floor(rate) + (u < rate - F.floor(rate)).cast("long")
     return d.join(t, d["source"].eqNullSafe(t["__s"])).drop("__s").withColumn("__copies", copies)
 
 
@@ -50,7 +51,7 @@ def emit(docs):
     return r.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
 
 
-SQL = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+SQL = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS h FROM documents),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 i AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM g),
 c AS (SELECT *, CASE i % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS w, 2e0 * source_size AS cap FROM i),
@@ -60,6 +61,6 @@ l AS (SELECT *, (1.5e0 * (SELECT CAST(sum(source_size) AS BIGINT) FROM g) - coal
 f AS (SELECT level FROM l WHERE level <= r ORDER BY r, i LIMIT 1),
 t AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM f) * w), cap) AS target FROM l),
 u AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0e0) AS rate,
-  coalesce(CAST(CAST('0x' || substr(md5('mix:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0, 0.5e0) AS u
+  CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || h), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM u"""

@@ -12,7 +12,7 @@ the largest text hash of that band. Bands whose texts are then still in several
 dealt out in pairs of blocks of at most about BLOCK texts and CHARS characters, and every
 pair of different classes is verified there, so no bucket is gathered. Null texts count as
 empty. Texts under five words have one shingle of all their words; texts without words are
-never duplicates. Rows with a null doc_id are left out. A repeated doc_id gives one row,
+never duplicates. Rows with a null doc_id are left out of groups(). A repeated doc_id gives one row there,
 in the class of its smallest class id. An empty table gives no rows. Other columns are
 ignored.
 """
@@ -230,8 +230,8 @@ def _texts(d, used):
     return d.join(used, (d["doc_id"] == used["rep"]) & (d["h"] == used["h0"])).select("h", "text").dropDuplicates(["h"])
 
 
-def groups(docs):
-    """doc_id, class_id: the smallest doc_id among a document's near copies."""
+def classes(docs):
+    """(rows, texts): doc_id, h and bands of every row with a doc_id; h, smallest doc_id and class_id of every text with words."""
     spark = docs.sparkSession
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.md5("text"))
     b = graph.cut(d.mapInArrow(_banded, "doc_id long, h string, bands array<long>, chars long"), spark)
@@ -253,13 +253,22 @@ def groups(docs):
     n = nodes.select("h", "rep").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     n = n.join(more, "root", "left").select("h", "rep", F.coalesce("higher", "root").alias("root"))
     ids = n.groupBy("root").agg(F.min("rep").alias("class_id"))
-    n = n.join(ids, "root").select("h", "class_id")
+    return b, n.join(ids, "root").select("h", "rep", "class_id")
+
+
+def groups(docs):
+    """doc_id, class_id: the smallest doc_id among a document's near copies."""
+    b, n = classes(docs)
     alone = b.where("bands is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    out = b.where("bands is not null").select("doc_id", "h").join(n, "h").select("doc_id", "class_id")
+    out = b.where("bands is not null").select("doc_id", "h").join(n.select("h", "class_id"), "h").select("doc_id", "class_id")
     return out.unionByName(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def keep_one(docs):
-    """The rows whose doc_id is its class's smallest, one row a doc_id, and rows with a null doc_id."""
-    ones = groups(docs).where("doc_id = class_id").select("doc_id")
-    return docs.where("doc_id is not null").join(ones, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each class: its smallest doc_id, with that id's text; of repeated rows one. Each text of a repeated doc_id is judged in its own class. Texts without words stay, one row an id, and so do rows with a null doc_id."""
+    b, n = classes(docs)
+    ones = n.groupBy("class_id").agg(F.min(F.struct("rep", "h")).alias("x")).select(F.col("x.rep").alias("doc_id"), F.col("x.h").alias("__h"))
+    ones = ones.unionByName(b.where("bands is null").select("doc_id", F.col("h").alias("__h")).distinct())
+    d = docs.where("doc_id is not null").withColumn("__h", F.md5(F.coalesce("text", F.lit(""))))
+    d = d.join(ones.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"])
+    return d.select(docs.columns).unionByName(docs.where("doc_id is null"))

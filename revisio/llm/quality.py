@@ -70,13 +70,18 @@ def fit(docs, labels, sample=SAMPLE):
 
 
 def score(docs, labels, sample=SAMPLE):
-    """docs with __score and __held_out. The row number keeps the optimizer from copying the counts into filters."""
+    """docs with __score, __held_out and __row. Filters on the score that also use the row number, which is not deterministic, stay above the counts, so each text is counted once."""
     w, cut = fit(docs, labels, sample)
     d = docs.select("*", raw(F.col("text")).alias("__counts"), F.monotonically_increasing_id().alias("__row"))
     worth = F.lit(float(np.log(CUT / (1 - CUT))) - cut)
     for a, f in zip(w, features(F.col("__counts"))):
         worth = worth + float(a) * f
-    return d.withColumn("__score", 1 / (1 + F.exp(-worth))).withColumn("__held_out", held_out()).drop("__counts", "__row")
+    return d.withColumn("__score", 1 / (1 + F.exp(-worth))).withColumn("__held_out", held_out()).drop("__counts")
+
+
+def kept(docs, labels, sample=SAMPLE):
+    """The rows scored at or above the cut."""
+    return score(docs, labels, sample).where((F.col("__score") >= CUT) & (F.col("__row") >= 0)).select(docs.columns)
 
 
 def quality(docs, labels):

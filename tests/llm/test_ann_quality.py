@@ -13,7 +13,7 @@ def test_ann_is_exact_on_odd_rows(spark):
     x = np.array([np.float32(r[1]) for r in rows[:90]], dtype=float)
     want = {}
     for q in range(0, 90, 20):
-        s = ann.dots(np.repeat(x[q:q + 1], 90, 0), x)
+        s = ann.dots(x, x, np.full(90, q), np.arange(90))
         for k, i in enumerate([i for i in sorted(range(90), key=lambda i: (-s[i], i)) if i != q][:20], 1):
             want[q, k] = (i, s[i])
     assert got == want
@@ -28,5 +28,9 @@ def test_quality_on_odd_rows(spark):
     assert len(rows) == 124 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     seen = [r for r in rows if r.doc_id is not None and r.doc_id < 120 and r.held_out]
     assert seen and all(r.predicted == int(r.doc_id % 3 > 0) for r in seen)
+    kept = quality.kept(docs, labels)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.score >= quality.CUT)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count") + plan.count("regexp_extract_all") <= 8  # each text is counted once, below the filter
     assert quality.quality(docs, labels.limit(0)).count() == 124
     assert quality.quality(docs.limit(0), labels).count() == 0

@@ -1,3 +1,5 @@
+import os
+
 from revisio.llm import licences
 
 
@@ -12,4 +14,12 @@ def test_forms_of_a_licence(spark):
 
 
 def test_known_digests_differ():
-    assert len({d for d, _ in licences.known()}) == 3 * len(licences.KNOWN)
+    assert len({d for d, _ in licences.known()}) == 3 * len(licences.KNOWN) + len(licences.DIGESTS)
+
+
+def test_long_licences(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(i, "# Copyright 2001 Some One\n" + open(f"{folder}/{n}").read().upper().replace("\n", "\n# ")) for i, n in enumerate(names) if os.path.exists(f"{folder}/{n}")]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(texts + [(99, "no licence")], "doc_id long, text string")).collect()}
+    assert got == {99: None} | {i: list(names.values())[i] for i, _ in texts}
