@@ -17,7 +17,7 @@ def table(spark, sf_dir, name):
 
 def good(spark, docs, sf_dir):
     """Documents scored at or above the cut."""
-    return quality.score(docs, table(spark, sf_dir, "labels")).where(F.col("__score") >= quality.CUT).select(docs.columns)
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def unique(spark, docs, sf_dir):
