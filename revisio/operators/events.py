@@ -25,9 +25,38 @@ def login_days(events):
 
 
 def keep_ends(events):
-    """Type of each user's first and last event."""
+    """Five values of each user's first and last event."""
     at = F.struct("ts", "event_id")
-    return events.groupBy("user_id").agg(F.min_by("event_type", at).alias("first_type"), F.max_by("event_type", at).alias("last_type"))
+    return events.groupBy("user_id").agg(*[f(c, at).alias(f"{n}_{c}") for n, f in (("first", F.min_by), ("last", F.max_by)) for c in ("event_id", "event_type", "value", "props", "ts")])
+
+
+def participant(rows, key, flag_a, flag_b):
+    """What a key's rows hold: both flags, one, or neither."""
+    a, b = F.bool_or(flag_a), F.bool_or(flag_b)
+    return rows.groupBy(key).agg(F.when(a & b, "Both").when(a, "HEALTHY").when(b, "CONDITION").alias("participant_type"))
+
+
+def by_study():
+    return Window.partitionBy("study").orderBy("start", "id")
+
+
+def before_completion(attempts):
+    """Completed attempts with counts of earlier attempts of the study and its author: one window each instead of a correlated count."""
+    w = by_study().rowsBetween(Window.unboundedPreceding, -1)
+    a = attempts.select("*", F.count("*").over(w).alias("n_before"), F.sum((F.col("mode") == "AI").cast("long")).over(w).alias("ai_before"),
+                        F.last(F.when(F.col("result") == "AI_ERROR", F.col("id")), True).over(w).alias("last_error"))
+    return a.where("result = 'COMPLETE'").select("id", "study", "n_before", F.coalesce("ai_before", F.lit(0)).alias("ai_before"), "last_error")
+
+
+def dates(attempts):
+    """First and last starts of each study by result, as conditional extremes."""
+    at = {"complete": F.col("result") == "COMPLETE", "dropped": F.col("result") == "USER_DROPPED"}
+    return attempts.groupBy("study").agg(*[f(F.when(c, F.col("start"))).cast("string").alias(f"{n}_{k}") for k, c in at.items() for n, f in (("first", F.min), ("last", F.max))])
+
+
+def latest(rows, key, order):
+    """Each key's row that comes last by the given order."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).where("__n = 1").drop("__n")
 
 
 def listed(events, sep):

@@ -1,21 +1,55 @@
 """Queries over the test tables and the same in DuckDB SQL."""
 from pyspark.sql import functions as F
 
-from revisio.functions import equivalence, text
-from revisio.functions.ter import ter
-from revisio.operators import events, history, lookups, summaries
-from revisio.plans.adapters import ATTEMPTS, LOOKUPS, PAIRS, STUDIES, attempts, pairs, table
-from revisio.plans.adapters import lookups as lookup_rows
-from revisio.stats import describe_sql
+from revisio.functions import postedit, text
+from revisio.operators import events, quality
+from revisio.operators.context_tables import CONTEXTS
+from revisio.operators.field_tables import FIELDS
+from revisio.operators.tables import ATTEMPTS
+from revisio.plans import adapters, records
+from revisio.plans.adapters import pairs, table
+from revisio.plans.payloads import LEFT_OUT
+from revisio.sources import convert
+from revisio.sql import frame
 
-SEQ = f"WITH {ATTEMPTS}"
-STU = f"{SEQ}, {STUDIES}"
+SEQ = f"WITH {adapters.ATTEMPTS}"
+#: Columns that are rounded to 5 places on both sides, as sums may differ in their last bits.
+ROUNDED = "^(minimum|percentile_[0-9]+|median|average|standard_deviation|maximum)_|percentage"
+_TER = ("median_ter_rate_among_edited_attempts", "average_ter_rate_among_edited_attempts")
 
 
-def _sources(spark, d):
-    c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    inferred = F.when(F.col("c_custkey") % 7 == 0, F.upper("c_mktsegment")).when(F.col("c_custkey") % 5 == 0, F.col("n_name")).otherwise(F.concat(F.lit(" "), F.col("c_mktsegment")))
-    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_mktsegment").alias("reported"), inferred.alias("inferred"))
+def rounded(df):
+    kinds = dict(df.dtypes)
+    import re
+    return df.select(*[F.round(F.col(c) + 1e-9, 5).alias(c) if kinds[c] == "double" and re.search(ROUNDED, c) else F.col(c) for c in df.columns])
+
+
+def rounded_sql(sql):
+    return f"SELECT COLUMNS(lambda c: NOT regexp_matches(c, '{ROUNDED}')), round(COLUMNS(lambda c: regexp_matches(c, '{ROUNDED}')) + 1e-9, 5) FROM ({sql})"
+
+
+def told(df):
+    """df with its times as text, which every engine spells alike."""
+    return df.select(*[F.col(c).cast("string").alias(c) if k.startswith(("timestamp", "date")) else F.col(c) for c, k in df.dtypes])
+
+
+TIMED = "(timestamp|_ts$|^date)"
+
+
+def told_sql(sql):
+    return f"SELECT COLUMNS(lambda c: NOT regexp_matches(c, '{TIMED}')), CAST(COLUMNS(lambda c: regexp_matches(c, '{TIMED}')) AS VARCHAR) FROM ({sql})"
+
+
+def _step(name, *drop):
+    return lambda s, d: told(getattr(records.Tables(s, d), name).drop(*drop))
+
+
+def _summary(spec, *drop):
+    return lambda s, d: rounded(spec.frame_of(records.Tables(s, d)).drop(*drop))
+
+
+def _without(sql, *drop):
+    return f"SELECT * EXCLUDE ({', '.join(drop)}) FROM ({sql})" if drop else sql
 
 
 def _in_spans(spark, d):
@@ -25,20 +59,16 @@ def _in_spans(spark, d):
     return events.within(facts, spans).groupBy("f.l_linenumber").agg(F.count("*").alias("n"))
 
 
-def _semi_union(spark, d):
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    keys = li.where("l_returnflag = 'R'").select("l_orderkey").union(o.where("o_orderstatus = 'P'").select("o_orderkey"))
-    return o.join(keys.withColumnRenamed("l_orderkey", "k"), F.col("o_orderkey") == F.col("k"), "left_semi").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-
-
 def _orphans(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    """Orders without a returned line."""
+    back = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    return table(spark, d, "orders").join(back, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_orderstatus")
 
 
-def _left_chain(spark, d):
-    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
-    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return j.groupBy("r_name", "n_name").agg(F.count("*").alias("n"))
+def _top_one(spark, d):
+    last = events.latest(table(spark, d, "orders"), "o_custkey", ("o_orderdate", "o_orderkey"))
+    c = table(spark, d, "customer")
+    return c.join(last, c["c_custkey"] == last["o_custkey"]).select("c_custkey", "c_name", F.col("o_orderkey").alias("latest_key"), "o_orderstatus")
 
 
 def _text_pairs(spark, d):
@@ -48,137 +78,111 @@ def _text_pairs(spark, d):
 
 
 def _soft_words(spark, d):
-    a, b = text.tokens(F.col("suggested")), text.tokens(F.col("final"))
-    return pairs(spark, d).select("id", "suggested", "final", text.soft_word_distance(a, b).alias("distance"))
+    return pairs(spark, d).select("id", "suggested", "final", text.soft_word_distance(text.tokens(F.col("suggested")), text.tokens(F.col("final"))).alias("distance"))
 
 
-def _ev(spark, d):
-    return table(spark, d, "events")
+def _compared(spark, d):
+    """Selected against final texts that are equal, equal but for case and marks, blank, or other."""
+    p = pairs(spark, d).select("id", F.col("suggested").alias("selected_text"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, F.concat(F.lit(" "), F.upper("suggested"), F.lit("!"))).when(F.col("id") % 4 == 2, F.col("suggested")).otherwise(F.concat("final", F.lit(" more"))).alias("final_text"))
+    a = postedit.analyzed(p)
+    return a.select("id", "final_text", F.when(F.trim("final_text") == "", "REMOVED").when(F.col("selected_text") == F.col("final_text"), "EXACT").when(F.col("cosmetic"), "COSMETIC_EQUIVALENT").otherwise("EDITED").alias("kind"), "character_edit_distance", "final_word_count")
 
 
-def _ter(spark, d):
-    return pairs(spark, d).select("id", "suggested", "final", ter("suggested", "final").alias("rate"))
+def _converted(spark, d):
+    """Texts of every kind, good and bad, as the canonical types; null where the text has no such value."""
+    return frame(convert.EXAMPLES, orders=table(spark, d, "orders")).select("k", *[convert.converted(F.col(f"{t}_text"), t, strict=False).alias(t) for t in ("integer", "boolean", "date", "datetime")]).transform(told)
 
 
-def _compared(spark, d):
-    p = pairs(spark, d).select("id", F.col("suggested").alias("selected"), F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, F.concat(F.lit(" "), F.upper("suggested"), F.lit("!")))
-                               .when(F.col("id") % 4 == 2, F.col("suggested")).otherwise(F.concat("final", F.lit(" more"))).alias("final"))
-    return p.select("id", equivalence.comparison(F.col("selected"), F.col("final")).alias("kind"))
+def _ev(spark, d):
+    return table(spark, d, "events")
 
 
-def _selections(spark, d):
-    e = _ev(spark, d)
-    k = F.get_json_object("props", "$.k").cast("int")
-    counts = F.create_map(F.lit("generic"), k % 4, F.lit("specific"), k % 3)
-    rows = e.select(F.col("event_id").alias("id"), counts.alias("counts"), F.when(k % 2 == 0, "generic").when(k % 5 == 0, "specific").alias("picked_kind"), (k % 3).alias("picked_index"))
-    return lookups.selections(rows)
+_SEMI = "SELECT o_orderstatus, count(*) AS n FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} WHERE l_returnflag = 'R' UNION SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P') AND o_orderpriority NOT IN ('5-LOW') GROUP BY o_orderstatus"
+_CHAIN = """SELECT r_name, n_name, s_name, count(*) AS n, count(o_orderkey) AS ordered, count(l_orderkey) AS lines, count(p_partkey) AS parts, count(x_name) AS named FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey LEFT JOIN {region} ON n_regionkey = r_regionkey
+  LEFT JOIN {orders} ON o_custkey = c_custkey AND o_orderstatus = 'F' LEFT JOIN {lineitem} ON l_orderkey = o_orderkey AND l_linenumber = 1 LEFT JOIN {part} ON p_partkey = l_partkey LEFT JOIN {supplier} ON s_suppkey = l_suppkey AND s_suppkey <= 3
+  LEFT JOIN (SELECT n_nationkey AS x_key, n_name AS x_name FROM {nation}) x ON x_key = s_nationkey GROUP BY r_name, n_name, s_name"""
+_KEYED = "SELECT n_name, count(*) AS n, count(DISTINCT AUTHOR_USER_NAME) AS authors FROM {rec} JOIN {customer} ON 'shib:u' || CAST(c_custkey AS STRING) = AUTHOR_USER_NAME JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name"
+_COMMA = "SELECT n_name, count(DISTINCT o_custkey) AS customers, CAST(max(o_orderdate) AS STRING) AS latest FROM {orders} o, {customer} c, {nation} n WHERE o.o_custkey = c.c_custkey AND c.c_nationkey = n.n_nationkey AND instr(c_name, '1') > 0 GROUP BY n_name"
+_BASE = ("orders", "customer", "nation", "region", "part", "supplier", "lineitem")
 
 
+def _text(sql):
+    def run(spark, d):
+        t = records.Tables(spark, d)
+        return frame(sql, **{n: getattr(t, n) if n in records.STEPS or n == "rec" else table(spark, d, n) for n in ("rec", "ast", "rdb", *_BASE) if "{" + n + "}" in sql})
+    return run
+
+
+STEPS = {"d_attempts": "att", "d_study_history": "stu", "d_author_history": "aut", "d_study_snapshot": "stx", "d_feedback": "fbk", "d_appointments": "app", "d_generations": "gen", "d_transitions": "trn", "d_source_pathways": "pth", "d_retry_context": "ctx",
+         "d_readability": "rdb", "d_pairs": "prs", "d_suggestions": "sel"}
 QUERIES = {
-    "a13_selections": _selections,
-    "a21_agreement": lambda s, d: lookups.agreement(_sources(s, d), "reported"),
-    "a25_transitions": lambda s, d: history.transitions(attempts(s, d)),
-    "j_counts_before": lambda s, d: history.before_completion(attempts(s, d)),
-    "s5_cond_dates": lambda s, d: history.dates(attempts(s, d)),
-    "a01_overview": lambda s, d: summaries.overview(attempts(s, d)),
-    "a06_context": lambda s, d: summaries.context(attempts(s, d)),
-    "a08_experience": lambda s, d: summaries.experience(attempts(s, d)),
-    "a31_violations": lambda s, d: summaries.violations(attempts(s, d)),
-    "f_ter": _ter,
+    **{n: _step(s) for n, s in STEPS.items()},
+    "d_field_analysis": _step("ast", *LEFT_OUT),
+    "d_completed_fields": _step("fld", *LEFT_OUT),
+    "a01_overview": lambda s, d: rounded(quality.overview(records.Tables(s, d))),
+    **{n: _summary(x, *(_TER if n == "a11_field_adoption" else ())) for group in (ATTEMPTS, FIELDS, CONTEXTS) for n, x in group.items()},
+    "a29_quality": lambda s, d: (lambda t: rounded(quality.summary(t.rec, t.ast, t.rdb)))(records.Tables(s, d)),
+    "a30_findings": lambda s, d: quality.findings(records.Tables(s, d).rec),
+    "a31_violations": _text(quality.VIOLATIONS),
+    "a31_counts": _text(quality.COUNTS),
+    "a32_counters": _text(quality.COUNTERS),
+    "f_text_pairs": _text_pairs,
+    "f_soft_words": _soft_words,
     "f_comparison": _compared,
-    "w_sequence": lambda s, d: history.sequence(attempts(s, d)).select("id", "study", "result", "seq", "author_changed", "mode_changed", "after_complete"),
-    "d_study_history": lambda s, d: history.studies(attempts(s, d)),
-    "d_author_history": lambda s, d: history.authors(attempts(s, d)),
-    "a02_study_modes": lambda s, d: history.study_modes(attempts(s, d)),
-    "a03_handoffs": lambda s, d: history.handoffs(attempts(s, d)),
-    "a04_grouped_attempts": lambda s, d: history.grouped_attempts(attempts(s, d)),
-    "a12_lookup_overlap": lambda s, d: lookups.summary(lookup_rows(s, d)),
-    "f_lookup_compare": lambda s, d: lookups.compare(lookup_rows(s, d)),
-    "a22_concordance": lambda s, d: lookups.concordance(_sources(s, d)),
-    "a24_size_bands": lambda s, d: lookups.bands(attempts(s, d), "mode"),
-    "a26_pathways": lambda s, d: history.pathways(attempts(s, d)),
+    "f_ter": lambda s, d: postedit.analyzed(pairs(s, d), "suggested", "final").select("id", "suggested", "final", "ter_rate", "soft_word_edit_distance"),
+    "c_converted": _converted,
     "w_islands": lambda s, d: events.islands(_ev(s, d), 86400),
     "w_lead_over_agg": lambda s, d: events.next_first(_ev(s, d)),
     "s1_login_days": lambda s, d: events.login_days(_ev(s, d)),
-    "s2_keep_ends": lambda s, d: events.keep_ends(_ev(s, d)),
+    "s2_keep_ends": lambda s, d: told(events.keep_ends(_ev(s, d))),
     "s3_listed": lambda s, d: events.listed(_ev(s, d), "; "),
+    "s4_participants": lambda s, d: events.participant(table(s, d, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R", F.col("l_returnflag") == "A"),
+    "s5_cond_dates": lambda s, d: events.dates(adapters.attempts(s, d)),
+    "j_counts_before": lambda s, d: events.before_completion(adapters.attempts(s, d)),
     "j_range_join": _in_spans,
-    "j_semi_union": _semi_union,
+    "j_semi_union": _text(_SEMI),
     "j_anti_orphans": _orphans,
-    "j_left_chain": _left_chain,
-    "f_text_pairs": _text_pairs,
-    "f_soft_words": _soft_words,
+    "j_left_chain": _text(_CHAIN),
+    "j_built_key": _text(_KEYED),
+    "j_comma": _text(_COMMA),
+    "j_top_one": _top_one,
 }
-_CMP = f"""WITH {LOOKUPS}, x AS (SELECT id, len(list_intersect(picked, saved)) AS b, len(list_distinct(list_concat(picked, saved))) AS e, len(picked) AS np, len(saved) AS ns, len(list_intersect(saved, offered)) AS so FROM lk),
-cmp AS (SELECT id, b AS kept, np - b AS dropped, ns - b AS added, ns - so AS unoffered, CASE WHEN e = 0 THEN 1.0::DOUBLE ELSE b / e::DOUBLE END AS similarity,
-CASE WHEN e = b THEN 'EXACT' WHEN b > 0 THEN 'PARTIAL' ELSE 'NONE' END AS overlap FROM x)"""
-
-
-def _counts(source, base, cols):
-    one = {base: "count(*)", **cols}
-    return " UNION ALL ".join(f"SELECT '{k}' AS metric, {v} AS n, 100.0::DOUBLE * {v} / nullif(count(*), 0) AS pct FROM {source}" for k, v in one.items())
-
-
-_OVERVIEW = " UNION ALL ".join([
-    _counts("att", "attempts", {"attempts_complete": "count(*) FILTER (result = 'COMPLETE')", "attempts_ai": "count(*) FILTER (mode = 'AI')", "attempts_error": "count(*) FILTER (result = 'AI_ERROR')"}),
-    _counts("stu", "studies", {"studies_complete": "count(completion_mode)", "studies_shared": "count(*) FILTER (n_authors > 1)", "studies_retried": "count(*) FILTER (n_attempts > 1)"}),
-    _counts("au", "authors", {"authors_complete": "count(*) FILTER (c > 0)", "authors_ai": "count(*) FILTER (ai)"})])
 SQL = {
-    "a13_selections": """WITH e AS (SELECT event_id AS id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events), o AS (SELECT id, k, 'generic' AS kind, k % 4 AS c FROM e UNION ALL SELECT id, k, 'specific', k % 3 FROM e),
-x AS (SELECT *, unnest(range(0, c)) AS index FROM o), g AS (SELECT kind, index, count(*) AS offered, count(*) FILTER ((CASE WHEN k % 2 = 0 THEN 'generic' WHEN k % 5 = 0 THEN 'specific' END) = kind AND k % 3 = index) AS picked FROM x GROUP BY kind, index)
-SELECT *, 100.0::DOUBLE * picked / offered AS rate, 100.0::DOUBLE * sum(picked) OVER (PARTITION BY kind) / sum(offered) OVER (PARTITION BY kind) AS kind_rate FROM g""",
-    "a21_agreement": """WITH s AS (SELECT c_mktsegment AS by_, lower(trim(c_mktsegment)) AS reported, lower(trim(CASE WHEN c_custkey % 7 = 0 THEN upper(c_mktsegment) WHEN c_custkey % 5 = 0 THEN n_name ELSE ' ' || c_mktsegment END)) AS inferred FROM customer JOIN nation ON c_nationkey = n_nationkey), r AS (SELECT unnest(['ALL', by_]) AS population, reported <> '' AND inferred <> '' AS b, reported = inferred AS q FROM s),
-g AS (SELECT population, count(*) AS n, count(*) FILTER (b) AS comparable, count(*) FILTER (b AND q) AS same FROM r GROUP BY population) SELECT *, comparable - same AS different, 100.0::DOUBLE * same / nullif(comparable, 0) AS pct_same FROM g""",
-    "a25_transitions": f"""{SEQ}, p AS (SELECT *, lag(id) OVER w AS prev_id, lag(author) OVER w AS pa, lag(size) OVER w AS ps FROM att WHERE mode = 'AI' WINDOW w AS (PARTITION BY study ORDER BY start, id))
-SELECT id, prev_id, author = pa AS same_author, size - ps AS size_change, CASE WHEN size > ps THEN 'LARGER' WHEN size < ps THEN 'SMALLER' ELSE 'SAME' END AS change FROM p WHERE prev_id IS NOT NULL""",
-    "j_counts_before": f"""{SEQ} SELECT id, study, (SELECT count(*) FROM att b WHERE b.study = a.study AND (b.start, b.id) < (a.start, a.id)) AS n_before,
- (SELECT count(*) FROM att b WHERE b.study = a.study AND b.mode = 'AI' AND (b.start, b.id) < (a.start, a.id)) AS ai_before,
- (SELECT arg_max(b.id, (b.start, b.id)) FROM att b WHERE b.study = a.study AND b.result = 'AI_ERROR' AND (b.start, b.id) < (a.start, a.id)) AS last_error FROM att a WHERE result = 'COMPLETE'""",
-    "s5_cond_dates": f"""{SEQ} SELECT study, CAST(min(start) FILTER (result = 'COMPLETE') AS VARCHAR) AS first_complete, CAST(max(start) FILTER (result = 'COMPLETE') AS VARCHAR) AS last_complete,
- CAST(min(start) FILTER (result = 'USER_DROPPED') AS VARCHAR) AS first_dropped, CAST(max(start) FILTER (result = 'USER_DROPPED') AS VARCHAR) AS last_dropped,
- CASE WHEN bool_and(mode = 'AI') THEN 'AI' WHEN bool_or(mode = 'AI') THEN 'BOTH' ELSE 'MANUAL' END AS modes FROM att GROUP BY study""",
-    "a01_overview": f"{STU}, au AS (SELECT author, count(*) FILTER (result = 'COMPLETE') AS c, bool_or(mode = 'AI') AS ai FROM att GROUP BY author) {_OVERVIEW}",
-    "a06_context": f"""{SEQ}, g AS (SELECT mode, author % 4 AS role, count(*) AS n, count(DISTINCT author) AS n_authors FROM att WHERE result = 'COMPLETE' GROUP BY 1, 2)
-SELECT *, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY mode) AS pct_mode, 100.0::DOUBLE * n / sum(n) OVER () AS pct_all FROM g""",
-    "a08_experience": f"""{SEQ}, a AS (SELECT *, result = 'COMPLETE' AS complete, count(*) OVER (PARTITION BY author ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior, bool_or(mode = 'AI') OVER (PARTITION BY author) AS adopter FROM att)
-SELECT adopter, complete, mode, count(*) AS n, count(DISTINCT author) AS n_authors, {describe_sql("prior", "prior")} FROM a GROUP BY adopter, complete, mode""",
-    "a31_violations": f"""{SEQ} SELECT 'null_ids' AS rule, count(*) FILTER (id IS NULL) AS n FROM att UNION ALL SELECT 'null_keys', count(*) FILTER (study IS NULL OR author IS NULL) FROM att
-UNION ALL SELECT 'unknown_modes', count(*) FILTER (mode NOT IN ('AI', 'MANUAL')) FROM att UNION ALL SELECT 'unknown_results', count(*) FILTER (result NOT IN ('COMPLETE', 'AI_ERROR', 'USER_DROPPED')) FROM att
-UNION ALL SELECT 'negative_sizes', count(*) FILTER (size < 0) FROM att UNION ALL SELECT 'repeated_ids', count(*) FROM (SELECT id FROM att GROUP BY id HAVING count(*) > 1)
-UNION ALL SELECT 'completed_twice', count(*) FROM (SELECT study FROM att WHERE result = 'COMPLETE' GROUP BY study HAVING count(*) > 1)""",
-    "f_comparison": f"WITH {PAIRS} SELECT id, CASE id % 4 WHEN 0 THEN 'REMOVED' WHEN 1 THEN 'COSMETIC_EQUIVALENT' WHEN 2 THEN 'EXACT' ELSE 'EDITED' END AS kind FROM pr",
-    "w_sequence": f"{SEQ} SELECT id, study, result, CAST(seq AS INTEGER) AS seq, author_changed, mode_changed, after_complete FROM seq",
-    "d_study_history": f"{STU} SELECT * FROM stu",
-    "d_author_history": f"""{SEQ} SELECT author, count(*) AS n_attempts, count(DISTINCT study) AS n_studies, count(*) FILTER (result = 'COMPLETE') AS n_complete, CAST(max(start) - min(start) AS BIGINT) AS span_days,
- arg_max(mode, (start, id)) FILTER (result = 'COMPLETE') AS latest_complete_mode, bool_or(mode = 'AI') AS used_ai FROM att GROUP BY author""",
-    "a02_study_modes": f"""{STU}, g AS (SELECT *, unnest(['ALL', coalesce(completion_mode, 'NOT_COMPLETED')]) AS "group" FROM stu)
-SELECT "group", count(*) AS n_studies, CAST(sum(n_attempts) AS BIGINT) AS n_attempts, {describe_sql("g.n_attempts", "attempts")}, {describe_sql("g.n_authors", "authors")} FROM g GROUP BY "group" """,
-    "a03_handoffs": f"""{SEQ} SELECT *, 100.0::DOUBLE * n / sum(n) OVER () AS share FROM (SELECT CASE WHEN prev_author IS NULL THEN 'FIRST_ATTEMPT' WHEN prev_author = author THEN 'SAME_AUTHOR' ELSE 'OTHER_AUTHOR' END AS handoff,
- coalesce(prev_mode, 'NONE') AS prev_mode, coalesce(prev_result, 'NONE') AS prev_result, mode, count(*) AS n FROM seq WHERE result = 'COMPLETE' GROUP BY ALL)""",
-    "a04_grouped_attempts": f"""{SEQ}, a AS (SELECT *, result = 'COMPLETE' AS complete FROM att) SELECT complete, result, mode, grouping(complete, result, mode)::BIGINT AS grouping, count(*) AS n, {describe_sql("size", "size")},
- 100.0::DOUBLE * count(*) / (SELECT count(*) FROM att) AS share FROM a GROUP BY GROUPING SETS ((), (complete), (result), (mode), (complete, mode), (result, mode))""",
-    "a12_lookup_overlap": f"{_CMP} SELECT overlap, count(*) AS n, CAST(sum(added) AS BIGINT) AS added, CAST(sum(dropped) AS BIGINT) AS dropped, min(similarity) AS low, max(similarity) AS high FROM cmp GROUP BY overlap",
-    "f_lookup_compare": f"{_CMP} SELECT * FROM cmp",
-    "a22_concordance": """WITH s AS (SELECT lower(trim(c_mktsegment)) AS reported, lower(trim(CASE WHEN c_custkey % 7 = 0 THEN upper(c_mktsegment) WHEN c_custkey % 5 = 0 THEN n_name ELSE ' ' || c_mktsegment END)) AS inferred
- FROM customer JOIN nation ON c_nationkey = n_nationkey), g AS (SELECT coalesce(nullif(reported, ''), 'MISSING') AS reported, coalesce(nullif(inferred, ''), 'MISSING') AS inferred, count(*) AS n FROM s GROUP BY 1, 2)
-SELECT *, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY reported) AS share FROM g""",
-    "a24_size_bands": f"""{SEQ}, q AS (SELECT quantile_cont(size::DOUBLE, [0.25, 0.5, 0.75]) AS e FROM att), b AS (SELECT att.*, 1 + len(list_filter(list_distinct(q.e), lambda x: att.size > x)) AS band FROM att, q)
-SELECT CAST(band AS BIGINT) AS band, mode, count(*) AS n, {describe_sql("size", "size")} FROM b GROUP BY band, mode""",
-    "a26_pathways": f"""{SEQ}, p AS (SELECT study, count(*) AS n, count(DISTINCT mode) AS modes, count(*) FILTER (mode_changed) AS turns, arg_max(mode, seq) AS l, arg_max(result, seq) AS r FROM seq WHERE NOT after_complete GROUP BY study),
-y AS (SELECT n AS k, r, CASE WHEN n = 1 THEN 'SINGLE' WHEN modes = 1 THEN 'ONLY_' || l WHEN turns = 1 THEN 'SWITCH_TO_' || l ELSE 'MIXED' END AS pathway FROM p)
-SELECT pathway, count(*) AS n, count(*) FILTER (r = 'COMPLETE') AS n_complete, {describe_sql("k", "attempts")} FROM y GROUP BY pathway""",
+    **{n: told_sql(q) if s in ("att", "stu", "aut", "stx", "gen", "ctx") else q for n, s in STEPS.items() for q in [records.query(f"SELECT * FROM {{{s}}}")]},
+    "d_field_analysis": records.query("SELECT * FROM {ast}"),
+    "d_completed_fields": _without(records.query("SELECT * FROM {fld}"), "ter_rate", "soft_word_edit_distance", "policy_adjusted_effort_saved"),
+    "a01_overview": rounded_sql(records.query(quality.OVERVIEW_SQL)),
+    **{n: rounded_sql(_without(x.sql_of(records.query), *(_TER if n == "a11_field_adoption" else ()))) for group in (ATTEMPTS, FIELDS, CONTEXTS) for n, x in group.items()},
+    "a29_quality": rounded_sql(records.query(quality.SUMMARY, fix=quality.FIX, fnd=quality.FINDINGS, bad=quality.BAD)),
+    "a30_findings": records.query(quality.FINDINGS_OUT, fnd=quality.FINDINGS, bad=quality.BAD),
+    "a31_violations": records.query(quality.VIOLATIONS),
+    "a31_counts": records.query(quality.COUNTS),
+    "a32_counters": records.query(quality.COUNTERS),
+    "f_text_pairs": f"""WITH {adapters.PAIRS}, x AS (SELECT *, levenshtein(suggested, final) AS k FROM pr) SELECT id, k AS distance, CASE WHEN k / greatest(length(suggested), length(final), 1)::DOUBLE <= 0.1 THEN 'LIGHT'
+ WHEN k / greatest(length(suggested), length(final), 1)::DOUBLE <= 0.3 THEN 'MODERATE' ELSE 'HEAVY' END AS intensity, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - k / nullif(length(final), 0)::DOUBLE)) AS saved,
+ len(list_filter(string_split_regex(final, '\\s+'), lambda t: t <> '')) AS n_words, greatest(0, length(final) - k) AS characters_saved FROM x""",
+    "f_comparison": f"""WITH {adapters.PAIRS}, x AS (SELECT id, suggested AS s, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || upper(suggested) || '!' WHEN 2 THEN suggested ELSE final || ' more' END AS f FROM pr)
+SELECT id, f AS final_text, CASE WHEN trim(f) = '' THEN 'REMOVED' WHEN s = f THEN 'EXACT' WHEN trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(f), '[^a-z0-9]+', ' ', 'g')) THEN 'COSMETIC_EQUIVALENT' ELSE 'EDITED' END AS kind,
+ CASE WHEN trim(f) <> '' THEN levenshtein(s, f) END AS character_edit_distance, CASE WHEN trim(f) <> '' THEN len(list_filter(string_split(f, ' '), lambda t: t <> '')) END AS final_word_count FROM x""",
+    "c_converted": told_sql(records.query(convert.EXPECTED, examples=convert.EXAMPLES)),
     "w_islands": """WITH e AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) <= 86400 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 i AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM e) SELECT user_id, island, count(*) AS n, min(event_id) AS first_id FROM i GROUP BY user_id, island""",
     "w_lead_over_agg": """WITH g AS (SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_id, min(ts) AS t FROM events GROUP BY user_id, event_type)
 SELECT user_id, event_type, first_id, lead(first_id) OVER (PARTITION BY user_id ORDER BY t, first_id) AS next_id FROM g""",
     "s1_login_days": "SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS days, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id",
-    "s2_keep_ends": "SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id",
+    "s2_keep_ends": told_sql("SELECT user_id, " + ", ".join(f"{f}({c}, (ts, event_id)) AS {n}_{c}" for n, f in (("first", "arg_min"), ("last", "arg_max")) for c in ("event_id", "event_type", "value", "props", "ts")) + " FROM events GROUP BY user_id"),
     "s3_listed": "SELECT user_id, string_agg(DISTINCT event_type, '; ' ORDER BY event_type) AS types FROM events GROUP BY user_id",
+    "s4_participants": "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A') THEN 'Both' WHEN bool_or(l_returnflag = 'R') THEN 'HEALTHY' WHEN bool_or(l_returnflag = 'A') THEN 'CONDITION' END AS participant_type FROM lineitem GROUP BY l_orderkey",
+    "s5_cond_dates": f"""{SEQ} SELECT study, CAST(min(start) FILTER (result = 'COMPLETE') AS VARCHAR) AS first_complete, CAST(max(start) FILTER (result = 'COMPLETE') AS VARCHAR) AS last_complete,
+ CAST(min(start) FILTER (result = 'USER_DROPPED') AS VARCHAR) AS first_dropped, CAST(max(start) FILTER (result = 'USER_DROPPED') AS VARCHAR) AS last_dropped FROM att GROUP BY study""",
+    "j_counts_before": f"""{SEQ} SELECT id, study, (SELECT count(*) FROM att b WHERE b.study = a.study AND (b.start, b.id) < (a.start, a.id)) AS n_before,
+ (SELECT count(*) FROM att b WHERE b.study = a.study AND b.mode = 'AI' AND (b.start, b.id) < (a.start, a.id)) AS ai_before,
+ (SELECT arg_max(b.id, (b.start, b.id)) FROM att b WHERE b.study = a.study AND b.result = 'AI_ERROR' AND (b.start, b.id) < (a.start, a.id)) AS last_error FROM att a WHERE result = 'COMPLETE'""",
     "j_range_join": "SELECT l_linenumber, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND CAST(l_shipdate AS DATE) BETWEEN CAST(o_orderdate AS DATE) AND CAST(o_orderdate AS DATE) + 30 GROUP BY l_linenumber",
-    "j_semi_union": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY o_orderstatus",
-    "j_anti_orphans": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "j_left_chain": "SELECT r_name, n_name, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
-    "f_text_pairs": f"""WITH {PAIRS}, x AS (SELECT *, levenshtein(suggested, final) AS k FROM pr) SELECT id, k AS distance, CASE WHEN k / greatest(length(suggested), length(final), 1)::DOUBLE <= 0.1 THEN 'LIGHT'
- WHEN k / greatest(length(suggested), length(final), 1)::DOUBLE <= 0.3 THEN 'MODERATE' ELSE 'HEAVY' END AS intensity, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - k / nullif(length(final), 0)::DOUBLE)) AS saved,
- len(list_filter(string_split_regex(final, '\\s+'), lambda t: t <> '')) AS n_words, greatest(0, length(final) - k) AS characters_saved FROM x""",
+    "j_semi_union": records.query(_SEMI),
+    "j_anti_orphans": "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
+    "j_left_chain": records.query(_CHAIN),
+    "j_built_key": records.query(_KEYED),
+    "j_comma": records.query(_COMMA),
+    "j_top_one": "SELECT c_custkey, c_name, o_orderkey AS latest_key, o_orderstatus FROM customer JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) o ON c_custkey = o_custkey WHERE n = 1",
 }

@@ -1,22 +1,100 @@
-"""Shared column helpers."""
+"""Shared statistics: percentages, distributions by group, fixed rows and overlapping populations."""
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+#: Statistics in order, and the words their columns begin with.
+WORDS = {"min": "minimum", "p25": "percentile_25", "median": "median", "mean": "average", "sd": "standard_deviation", "p75": "percentile_75", "p90": "percentile_90", "max": "maximum"}
+
 
 def pct(n, d):
-    """100*n/d, null when d is 0."""
+    """100 n / d, null for a zero d."""
     return F.lit(100.0) * n / F.nullif(d, F.lit(0))
 
 
-def describe(x, name):
-    """Aggregates of a numeric column: counts, quartiles with linear interpolation, mean, sample deviation (null under two values) and range."""
-    parts = {"count": F.count(x), "missing": F.count_if(x.isNull()), "min": F.min(x), "p25": F.percentile(x, F.lit(0.25)), "median": F.percentile(x, F.lit(0.5)),
-             "mean": F.avg(x), "stddev": F.round(F.stddev_samp(x), 2), "p75": F.percentile(x, F.lit(0.75)), "p90": F.percentile(x, F.lit(0.9)), "max": F.max(x)}
-    return [c.alias(f"{name}_{k}") for k, c in parts.items()]
+def named(metric, which="min p25 median mean sd p75 p90 max", **more):
+    """{statistic: column}: minimum_<metric> and so on; `more` names others, such as n and missing."""
+    return {s: f"{WORDS[s]}_{metric}" for s in which.split()} | more
+
+
+def quantiles(base, metrics):
+    """k, and a struct of exact linear quantiles for each metric.
+
+    Values are counted, binned by a monotone function of the value, and the ranks looked for are
+    located among the bins' totals; only the values of the bins that hold one are ranked, so no
+    task sees a whole group."""
+    long = base.select("__g", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select("__g", "x.*").where("v is not null")
+    odd = F.isnan("v") | (F.abs("v") == float("inf"))
+    c = long.withColumn("v", F.when(odd, F.raise_error(F.concat(F.col("m"), F.lit(" is not finite"))).cast("double")).otherwise(F.col("v")))
+    c = c.groupBy("__g", "m", "v").agg(F.count("*").alias("n")).withColumn("bin", F.signum("v") * F.floor(F.log1p(F.abs("v")) * 2048))
+    w = Window.partitionBy("__g", "m")
+    b = c.groupBy("__g", "m", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("total") - 1) * p), F.ceil((F.col("total") - 1) * p)) for p in QUANTILES.values()])))
+    b = b.withColumn("before", F.col("upto") - F.col("n")).withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("upto")))).where("size(ranks) > 0")
+    s = c.join(b.select("__g", "m", "bin", "before", "total", "ranks"), ["__g", "m", "bin"])
+    s = s.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("__g", "m", "bin").orderBy("v")))
+    s = s.select("__g", "m", "total", "v", F.explode(F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).alias("r"))
+    s = s.groupBy("__g", "m").agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("at"))
+
+    def value(p):
+        x = (F.col("total") - 1) * p
+        lo, hi = F.element_at("at", F.floor(x)), F.element_at("at", F.ceil(x))
+        return lo + (hi - lo) * (x - F.floor(x))
+
+    q = s.select("__g", "m", F.struct(*[value(p).alias(name) for name, p in QUANTILES.items()]).alias("q"))
+    return q.groupBy("__g").agg(*[F.max(F.when(F.col("m") == m, F.col("q"))).alias(f"q_{i}") for i, m in enumerate(metrics)])
+
+
+def described(df, keys, metrics, **aggregates):
+    """One row a group of `keys`: `aggregates` (SQL texts), and for each metric its statistics under the given names.
+
+    sd is the sample's, null for one value; without values all but the counts are null. A value that is not finite fails."""
+    base = df.select("*", F.struct(*keys).alias("__g"))
+    out = [F.expr(e).alias(n) for n, e in aggregates.items()]
+    simple = {"n": F.count, "missing": lambda c: F.count_if(F.col(c).isNull()), "min": lambda c: F.min(F.col(c).cast("double")), "mean": lambda c: F.avg(F.col(c).cast("double")),
+              "sd": lambda c: F.stddev_samp(F.col(c).cast("double")), "max": lambda c: F.max(F.col(c).cast("double"))}
+    for m, stats in metrics.items():
+        out += [simple[s](m).alias(n) for s, n in stats.items() if s in simple]
+    g = base.groupBy("__g").agg(*(out or [F.count("*")]))
+    if not metrics:
+        return g.select("__g.*", *aggregates)
+    q = quantiles(base, list(metrics))
+    g = g.join(q, "__g", "left")
+    cols = [*aggregates]
+    for i, (m, stats) in enumerate(metrics.items()):
+        cols += [F.col(f"q_{i}.{s}").alias(n) if s in QUANTILES else F.col(n) for s, n in stats.items()]
+    return g.select("__g.*", *cols)
+
+
+def described_sql(metrics):
+    """The same statistics as SQL select items."""
+    kinds = {"n": "count({0})", "missing": "count(*) - count({0})", "min": "CAST(min({0}) AS DOUBLE)", "mean": "avg({0})", "sd": "stddev_samp({0})", "max": "CAST(max({0}) AS DOUBLE)"}
+    kinds |= {s: f"quantile_cont(CAST({{0}} AS DOUBLE), {p})" for s, p in QUANTILES.items()}
+    return ", ".join(f"{kinds[s].format(m)} AS {n}" for m, stats in metrics.items() for s, n in stats.items())
+
+
+def expanded(df, labels, names):
+    """df once for each of a row's labels: `labels` are tuples of SQL texts for the columns `names`; a tuple whose first text is null does not apply."""
+    rows = F.array(*[F.struct(*[F.expr(e).cast("string").alias(n) for n, e in zip(names, r)]) for r in labels])
+    return df.withColumn("__l", F.explode(F.filter(rows, lambda r: r[names[0]].isNotNull()))).select("*", "__l.*").drop("__l")
+
+
+def expanded_sql(source, labels, names):
+    rows = ", ".join("struct_pack(" + ", ".join(f"{n} := CAST({e} AS VARCHAR)" for n, e in zip(names, r)) + ")" for r in labels)
+    return f"(SELECT * EXCLUDE (__l), unnest(__l) FROM (SELECT *, unnest([{rows}]) AS __l FROM {source}) WHERE __l.{names[0]} IS NOT NULL)"
+
+
+def fixed_rows(spark, names, rows):
+    """A frame of a few given rows of strings, for outputs that keep rows without members."""
+    return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{n} string" for n in names))
+
+
+def fixed_sql(names, rows):
+    values = ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {values}) AS t({', '.join(names)}))"
 
 
-def describe_sql(x, name):
-    """The same aggregates in DuckDB SQL."""
-    q = "quantile_cont({x}::DOUBLE, {p})"
-    parts = {"count": f"count({x})", "missing": f"count(*) FILTER ({x} IS NULL)", "min": f"min({x})", "p25": q.format(x=x, p=0.25), "median": q.format(x=x, p=0.5),
-             "mean": f"avg({x})", "stddev": f"round(stddev_samp({x}), 2)", "p75": q.format(x=x, p=0.75), "p90": q.format(x=x, p=0.9), "max": f"max({x})"}
-    return ", ".join(f"{v} AS {name}_{k}" for k, v in parts.items())
+def union(frames):
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
