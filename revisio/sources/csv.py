@@ -1,26 +1,103 @@
-"""CSV tables with a fixed schema and a set of null markers."""
+"""CSV files with a fixed schema, a dialect and a set of null markers.
+
+`read` keeps blank and null apart and fails on a record of another width, as each file is parsed whole by a csv parser in
+one task; files without a byte are left out. `scan` is Spark's own reader, which splits files, for dialects where an unquoted blank may be null."""
+import csv
+import io
+from dataclasses import asdict, dataclass
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from revisio.sources import schema as schemas
+from revisio.sources.convert import row
 
-def read(spark, path, schema, nulls=("", "\\N"), **options):
-    """A CSV read as strings, checked against the schema's names, with markers as null and values cast; a bad value or row fails.
 
-    Unquoted empty fields are null whatever the markers; quoted ones stay empty unless "" is a marker."""
-    first = spark.read.options(header=True, **options).csv(path).columns
-    names = [f.name for f in schema]
-    blank, twice, odd = [c for c in first if not c.strip()], {c for c in first if first.count(c) > 1}, set(first) ^ set(names)
-    if blank or twice or odd:
-        raise ValueError(f"header: {len(blank)} blank, repeated {sorted(twice)}, missing or unexpected {sorted(odd)}")
-    text = ", ".join(f"`{c}` string" for c in first)
-    df = spark.read.schema(text).options(header=True, mode="FAILFAST", emptyValue="", nullValue="\u0000", **options).csv(path)
-    return df.select(*[F.when(~F.col(f.name).isin(*nulls), F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema])
+@dataclass(frozen=True)
+class Dialect:
+    delimiter: str = ","
+    quotechar: str = '"'
+    escapechar: str | None = None
+    doublequote: bool = True
+    skipinitialspace: bool = False
+    strict: bool = True
 
+    def __post_init__(self):
+        for name in ("delimiter", "quotechar", "escapechar"):
+            c = getattr(self, name)
+            if not (c is None and name == "escapechar") and (not isinstance(c, str) or len(c) != 1):
+                raise ValueError(f"{name} must be one character")
+        if self.delimiter == self.quotechar:
+            raise ValueError("delimiter and quote must differ")
+        for name in ("doublequote", "skipinitialspace", "strict"):
+            if not isinstance(getattr(self, name), bool):
+                raise ValueError(f"{name} must be true or false")
 
-def write(df, path, null="\\N"):
-    """A CSV folder with \\N for null; a string equal to the marker fails the job."""
+
+def texts(spark, path, schema, encoding="utf-8-sig", nulls=("", "\\N"), dialect=Dialect()):
+    """All columns as text in the schema's order, markers as null; errors tell file and record number."""
+    names, options, nulls = [n for n, _, _ in schema], asdict(dialect), frozenset(nulls)
+
+    def parse(batches):
+        for b in batches:
+            for file, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
+                rows = csv.reader(io.StringIO(content.decode(encoding), newline=""), **options)
+                header = next(rows, None)
+                if header is None:
+                    raise ValueError(f"{file}: no header")
+                schemas.same_names(header, schema)
+                at, part = [header.index(n) for n in names], []
+                for n, r in enumerate(rows, 1):
+                    if len(r) != len(header):
+                        raise ValueError(f"{file}: record {n} has {len(r)} fields, not {len(header)}")
+                    part.append([None if r[i] in nulls else r[i] for i in at])
+                    if len(part) == 5000:
+                        yield _batch(part, names)
+                        part = []
+                yield _batch(part, names)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(parse, ", ".join(f"`{n}` string" for n in names))
+
+
+def _batch(rows, names):
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names=list(names))
+
+
+def read(spark, path, schema, **options):
+    """A CSV file or folder in canonical types; schema is a list of (name, type, nullable)."""
+    return row(texts(spark, path, schema, **options), schema)
+
+
+def scan(spark, path, schema, nulls=("", "\\N"), encoding="UTF-8", dialect=Dialect()):
+    """The same by Spark's reader: unquoted blanks are null whatever the markers."""
+    options = {"header": True, "sep": dialect.delimiter, "quote": dialect.quotechar, "escape": dialect.escapechar or dialect.quotechar, "ignoreLeadingWhiteSpace": dialect.skipinitialspace, "multiLine": True, "encoding": encoding}
+    first = spark.read.options(**options).csv(path).columns
+    schemas.same_names(first, schema)
+    df = spark.read.schema(", ".join(f"`{c}` string" for c in first)).options(mode="FAILFAST", emptyValue="", nullValue="\u0000", **options).csv(path)
+    return row(df.select(*[F.when(~F.col(f"`{n}`").isin(*nulls), F.col(f"`{n}`")).alias(n) for n, _, _ in schema]), schema)
+
+
+def told(df, null="\\N"):
+    """All columns as canonical text: true and false, shortest numbers, ISO times, sorted JSON; a text equal to the marker and numbers that are not finite fail."""
     cols = []
     for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        s = F.to_json(c, {"ignoreNullFields": "false"}) if f.dataType.typeName() in ("struct", "array", "map") else c.cast("string")
-        cols.append(F.when(s == null, F.raise_error(F.lit(f"{f.name} holds the null marker"))).otherwise(s).alias(f.name))
-    df.select(*cols).write.options(header=True, nullValue=null, emptyValue='""', quoteAll=False).mode("errorifexists").csv(path)
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("double", "float"):
+            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit(f"{f.name} is not finite")).cast("double")).otherwise(c)
+            whole = F.format_string("%.1f", c)
+            plain = F.regexp_replace(F.format_string("%.17f", c), r"0+$", "")
+            text = F.when(c == 0, "0.0").when((c == F.floor(c)) & (F.abs(c) < 1e16), whole).when((F.abs(c) < 1e-3) & (F.abs(c) >= 1e-4) & (plain.cast("double") == c), plain).otherwise(F.lower(c.cast("string")))
+        elif kind in ("timestamp", "timestamp_ntz"):
+            text = F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
+        elif kind in ("struct", "array", "map"):
+            text = F.to_json(c, {"ignoreNullFields": "false"})
+        else:
+            text = c.cast("string")
+        cols.append(F.when(c.isNull(), null).when(text == null, F.raise_error(F.lit(f"{f.name} holds the null marker")).cast("string")).otherwise(text).alias(f.name))
+    return df.select(*cols)
+
+
+def write(df, path, null="\\N"):
+    """A CSV folder, each file with a header, nulls as the marker and blanks quoted."""
+    told(df, null).write.options(header=True, emptyValue='""', escape='"', quoteAll=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("errorifexists").csv(path)
