@@ -84,8 +84,7 @@ def query(spark, options, sql, schema, parameters=None, fetch_size=500, **partit
     if not sql.strip():
         raise ValueError("the query is blank")
     text = bound(sql, parameters).rstrip().rstrip(";") + "\n"
-    table = {"dbtable": f"({text}) q"} if partitioning else {"query": text}
-    df = spark.read.format("jdbc").options(**options, **table, fetchsize=fetch_size, **partitioning).load()
+    df = spark.read.format("jdbc").options(**options, dbtable=f"({text}) q", fetchsize=fetch_size, **partitioning).load()
     names = {n.upper(): n for n, _, _ in schema}
     df = df.toDF(*[names.get(c.upper(), c) for c in df.columns])
     schemas.same_names(df.columns, schema)
