@@ -16,13 +16,11 @@ A null text is empty. A null doc_id is smaller than any; a class of null ids has
 Exactly one row of a class stays, also where rows repeat their doc_id. An empty table gives no
 rows. Other columns are ignored.
 """
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from revisio.llm import graph
+from revisio.shared import written
 
 #: Fingerprints in a bucket, about, and in a filter before it is cut into buckets, at most.
 BUCKET, FILTER = 1 << 18, 1 << 22
@@ -106,13 +104,6 @@ def _several(t):
 # --- the documents -------------------------------------------------------------------------
 
 
-def written(df, spark):
-    """df, as a table in the shared folder."""
-    at = f"{graph.folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.parquet(at)
-
-
 def counted(docs, rows):
     """fp, n of the fingerprints that more than one row has."""
     top = max(0, (int(rows) // BUCKET).bit_length())
@@ -139,18 +130,17 @@ def by_class(rows, classes, total):
 
 def groups(docs):
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("fp", F.xxhash64("text"))
     total = d.count()
-    several = written(counted(d, total), spark)
+    several = written(counted(d, total))
     b = min(BITS, max(BLOCK, (32 * several.count()).bit_length()))
     d = maybe(d, several, b)
-    light = written(d.select("doc_id", "fp", F.unhex(F.sha2("text", 256)).alias("sha"), "__maybe").withColumn("__row", F.monotonically_increasing_id()), spark)
+    light = written(d.select("doc_id", "fp", F.unhex(F.sha2("text", 256)).alias("sha"), "__maybe").withColumn("__row", F.monotonically_increasing_id()))
     equal = d.where("__maybe").groupBy("fp", "text").agg(F.count("*").alias("group_size")).where("group_size > 1").select("fp", F.unhex(F.sha2("text", 256)).alias("sha"), "group_size")
     some = light.where("__maybe")
     top = some.groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "__row")).alias("top"))
-    classes = written(equal.join(top, ["fp", "sha"]).select("fp", "sha", "group_size", F.col("top.doc_id").alias("keep_id"), F.col("top.__row").alias("keep_row")), spark)
+    classes = written(equal.join(top, ["fp", "sha"]).select("fp", "sha", "group_size", F.col("top.doc_id").alias("keep_id"), F.col("top.__row").alias("keep_row")))
     alone = light.where("NOT __maybe").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "keep_row": F.col("__row")})
     out = by_class(some, classes, total).unionByName(alone)
     one = F.col("group_size").isNull()

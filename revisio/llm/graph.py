@@ -1,18 +1,7 @@
 """Lineage cuts and connected components."""
-import tempfile
-
 from pyspark.sql import functions as F
 
-
-def folder(spark):
-    """The shared checkpoint folder the session names; where it names none, one of our own if all runs on this machine."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        sc.setCheckpointDir(named or tempfile.mkdtemp())
-    return sc.getCheckpointDir()
+from revisio.shared import folder
 
 
 def cut(df, spark):
