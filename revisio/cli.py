@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 from revisio import config, publish, report
 from revisio.operators import quality
-from revisio.sources import csv, jdbc, schema
+from revisio.sources import csv, dbapi, jdbc, schema
 
 CSV_SETTINGS = (config.Setting("input", config.path, "REVISIO_INPUT"), config.Setting("output", config.path, "REVISIO_OUTPUT"), config.Setting("schema", config.path, "REVISIO_SCHEMA", None), config.Setting("encoding", config.text, "REVISIO_ENCODING", "utf-8-sig"),
                 config.Setting("delimiter", str, "REVISIO_DELIMITER", ",", blank_is_missing=False), config.Setting("include_text", config.boolean, "REVISIO_INCLUDE_TEXT", False))
@@ -59,8 +59,11 @@ def main(argv=None, spark=None, out=sys.stdout, ask=None):
             print(*(f"{k}: {v}" for k, v in counts.items()), sep="\n", file=out)
         elif args.command == "report-database":
             made = _settings(DATABASE_SETTINGS, args, ask)
-            options = jdbc.driver(made["driver"]).options(dsn=made["dsn"], user=made["user"], password=made["password"])
-            rows = jdbc.query(spark, options, jdbc.read_sql_file(made["sql"]), _columns(made), made["parameters"], made["fetch_size"])
+            sql, columns, parts = jdbc.read_sql_file(made["sql"]), _columns(made), {n: made[n] for n in ("dsn", "user", "password")}
+            if made["driver"].endswith("-jdbc"):
+                rows = jdbc.query(spark, jdbc.driver(made["driver"].removesuffix("-jdbc")).options(**parts), sql, columns, made["parameters"], made["fetch_size"])
+            else:
+                rows = dbapi.query(spark, dbapi.connector(made["driver"], **parts), sql, columns, parameters=made["parameters"] or None, fetch_size=made["fetch_size"])
             print(*(f"{k}: {v}" for k, v in report.write(rows, made["output"], made["include_text"]).items()), sep="\n", file=out)
         elif args.command == "validate":
             x = report.load(spark, args.input)

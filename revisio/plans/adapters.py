@@ -1,4 +1,4 @@
-"""Attempt, suggestion and lookup entities over the test tables, in DataFrame and SQL form."""
+"""Attempts and pairs of texts over the test tables, in DataFrame and SQL form."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,37 +10,16 @@ def table(spark, d, name):
 def attempts(spark, d):
     """Orders as attempts; a study's first F by date and key is COMPLETE."""
     o = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("start"), ((F.col("o_custkey") * 3 + F.floor(F.col("o_orderkey") / 5) % 3) % 211).alias("author"),
-        (F.col("o_custkey") * 5 + F.col("o_orderkey") % 5).alias("study"), F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2", "3"), "AI").otherwise("MANUAL").alias("mode"),
-        "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("size"))
+        F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("start"), (F.col("o_custkey") * 5 + F.col("o_orderkey") % 5).alias("study"),
+        F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2", "3"), "AI").otherwise("MANUAL").alias("mode"), "o_orderstatus")
     nth = F.sum((F.col("o_orderstatus") == "F").cast("int")).over(Window.partitionBy("study").orderBy("start", "id").rowsBetween(Window.unboundedPreceding, 0))
     result = F.when((F.col("o_orderstatus") == "F") & (nth == 1), "COMPLETE").when((F.col("o_orderstatus") == "P") & (F.col("mode") == "AI"), "AI_ERROR").otherwise("USER_DROPPED")
     return o.withColumn("result", result).drop("o_orderstatus")
 
 
-ATTEMPTS = """o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS start, (o_custkey * 3 + (o_orderkey // 5) % 3) % 211 AS author, o_custkey * 5 + o_orderkey % 5 AS study,
-  CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 'AI' ELSE 'MANUAL' END AS mode, o_orderstatus AS st, CAST(round(o_totalprice * 100) AS BIGINT) AS size FROM orders),
-att AS (SELECT id, start, author, study, mode, size, CASE WHEN st = 'F' AND sum(CASE WHEN st = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY study ORDER BY start, id ROWS UNBOUNDED PRECEDING) = 1 THEN 'COMPLETE'
-  WHEN st = 'P' AND mode = 'AI' THEN 'AI_ERROR' ELSE 'USER_DROPPED' END AS result FROM o),
-seq AS (SELECT *, row_number() OVER w AS seq, coalesce(author <> lag(author) OVER w, false) AS author_changed, coalesce(mode <> lag(mode) OVER w, false) AS mode_changed,
-  lag(mode) OVER w AS prev_mode, lag(result) OVER w AS prev_result, lag(author) OVER w AS prev_author,
-  coalesce(max(CASE WHEN result = 'COMPLETE' THEN 1 ELSE 0 END) OVER (PARTITION BY study ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS after_complete
-  FROM att WINDOW w AS (PARTITION BY study ORDER BY start, id))"""
-STUDIES = """stu AS (SELECT study, count(*) AS n_attempts, count(DISTINCT author) AS n_authors, count(*) FILTER (mode = 'AI') AS n_ai, count(*) FILTER (author_changed) AS n_author_changes,
-  count(*) FILTER (mode_changed AND NOT after_complete) AS n_transitions, count(*) FILTER (after_complete) AS n_after, arg_min(mode, seq) AS first_mode, arg_max(mode, seq) AS last_mode,
-  arg_max(result, seq) AS last_result, max(mode) FILTER (result = 'COMPLETE') AS completion_mode, CAST(min(seq) FILTER (result = 'COMPLETE') AS INTEGER) AS completed_at FROM seq GROUP BY study)"""
-
-
-def lookups(spark, d):
-    """Offered, picked and saved supplier sets of each order."""
-    k = F.col("l_suppkey")
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.array_sort(F.collect_set(k)).alias("offered"), F.array_sort(F.collect_set(F.when(F.col("l_linenumber") % 2 == 1, k))).alias("picked"),
-        F.array_sort(F.collect_set(F.when(k % 3 != 0, k))).alias("saved"))
-
-
-LOOKUPS = """lk AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_suppkey)) AS offered, coalesce(list_sort(list(DISTINCT l_suppkey) FILTER (l_linenumber % 2 = 1)), []) AS picked,
-  coalesce(list_sort(list(DISTINCT l_suppkey) FILTER (l_suppkey % 3 <> 0)), []) AS saved FROM lineitem GROUP BY l_orderkey)"""
+ATTEMPTS = """o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS start, o_custkey * 5 + o_orderkey % 5 AS study, CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN 'AI' ELSE 'MANUAL' END AS mode, o_orderstatus AS st FROM orders),
+att AS (SELECT id, start, study, mode, CASE WHEN st = 'F' AND sum(CASE WHEN st = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY study ORDER BY start, id ROWS UNBOUNDED PRECEDING) = 1 THEN 'COMPLETE'
+  WHEN st = 'P' AND mode = 'AI' THEN 'AI_ERROR' ELSE 'USER_DROPPED' END AS result FROM o)"""
 
 
 def pairs(spark, d):

@@ -1,4 +1,7 @@
 """Queries over the test tables and the same in DuckDB SQL."""
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from revisio.functions import postedit, text
@@ -9,7 +12,8 @@ from revisio.operators.tables import ATTEMPTS
 from revisio.plans import adapters, records
 from revisio.plans.adapters import pairs, table
 from revisio.plans.payloads import LEFT_OUT
-from revisio.sources import convert
+from revisio.shared import folder
+from revisio.sources import convert, csv
 from revisio.sql import frame
 
 SEQ = f"WITH {adapters.ATTEMPTS}"
@@ -20,7 +24,6 @@ _TER = ("median_ter_rate_among_edited_attempts", "average_ter_rate_among_edited_
 
 def rounded(df):
     kinds = dict(df.dtypes)
-    import re
     return df.select(*[F.round(F.col(c) + 1e-9, 5).alias(c) if kinds[c] == "double" and re.search(ROUNDED, c) else F.col(c) for c in df.columns])
 
 
@@ -93,6 +96,16 @@ def _converted(spark, d):
     return frame(convert.EXAMPLES, orders=table(spark, d, "orders")).select("k", *[convert.converted(F.col(f"{t}_text"), t, strict=False).alias(t) for t in ("integer", "boolean", "date", "datetime")]).transform(told)
 
 
+_DOCUMENT = [("doc_id", "integer", True), ("text", "string", True), ("source", "string", True), ("n_chars", "integer", True)]
+
+
+def _csv_scan(spark, d):
+    """The documents, whose texts hold line ends and quotes, written as CSV and read again in splits."""
+    at = f"{folder(spark)}/csv-{uuid.uuid4().hex}"
+    csv.write(table(spark, d, "documents").select(*[n for n, _, _ in _DOCUMENT]), at)
+    return csv.read(spark, f"{at}/*.csv", _DOCUMENT, nulls=("\\N",))
+
+
 def _ev(spark, d):
     return table(spark, d, "events")
 
@@ -131,6 +144,7 @@ QUERIES = {
     "f_comparison": _compared,
     "f_ter": lambda s, d: postedit.analyzed(pairs(s, d), "suggested", "final").select("id", "suggested", "final", "ter_rate", "soft_word_edit_distance"),
     "c_converted": _converted,
+    "c_csv_scan": _csv_scan,
     "w_islands": lambda s, d: events.islands(_ev(s, d), 86400),
     "w_lead_over_agg": lambda s, d: events.next_first(_ev(s, d)),
     "s1_login_days": lambda s, d: events.login_days(_ev(s, d)),
@@ -165,6 +179,7 @@ SQL = {
 SELECT id, f AS final_text, CASE WHEN trim(f) = '' THEN 'REMOVED' WHEN s = f THEN 'EXACT' WHEN trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(f), '[^a-z0-9]+', ' ', 'g')) THEN 'COSMETIC_EQUIVALENT' ELSE 'EDITED' END AS kind,
  CASE WHEN trim(f) <> '' THEN levenshtein(s, f) END AS character_edit_distance, CASE WHEN trim(f) <> '' THEN len(list_filter(string_split(f, ' '), lambda t: t <> '')) END AS final_word_count FROM x""",
     "c_converted": told_sql(records.query(convert.EXPECTED, examples=convert.EXAMPLES)),
+    "c_csv_scan": "SELECT doc_id, text, source, n_chars FROM documents",
     "w_islands": """WITH e AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) <= 86400 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 i AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM e) SELECT user_id, island, count(*) AS n, min(event_id) AS first_id FROM i GROUP BY user_id, island""",
     "w_lead_over_agg": """WITH g AS (SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_id, min(ts) AS t FROM events GROUP BY user_id, event_type)

@@ -6,6 +6,8 @@ turned to UTC, or MM/DD/YYYY HH:MM:SS with up to six digits of seconds. JSON obj
 the job, or gives null if not strict. Decimals keep 18 of 38 digits after the point."""
 from pyspark.sql import functions as F
 
+#: Columns that say where a row comes from.
+FILE, RECORD = "__file", "__record"
 TYPES = {"string": "string", "integer": "bigint", "decimal": "decimal(38,18)", "float": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp_ntz", "json_object": "string"}
 _INT = r"^[+-]?[0-9]+(_[0-9]+)*$"
 _DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
@@ -39,21 +41,28 @@ def _value(x, kind):
     raise ValueError(f"unknown type {kind}")
 
 
-def converted(x, kind, strict=True, name=None):
-    """A text column as a canonical type; null stays null."""
+def converted(x, kind, strict=True, name=None, where=None):
+    """A text column as a canonical type; null stays null. `where` is a text that goes before an error's."""
     v = _value(x, kind)
     if not strict:
         return v
-    return F.when(x.isNotNull() & v.isNull(), F.raise_error(F.lit(f"{name or 'a value'} is no {kind}")).cast(TYPES[kind])).otherwise(v)
+    return F.when(x.isNotNull() & v.isNull(), failed(f"{name or 'a value'} is no {kind}", kind, where)).otherwise(v)
+
+
+def failed(message, kind, where=None):
+    return F.raise_error(F.lit(message) if where is None else F.concat(where, F.lit(message))).cast(TYPES[kind])
 
 
 def row(df, schema):
-    """df's text columns by schema, a list of (name, type, nullable), in its order; a null where none may be fails."""
+    """df's text columns by schema, a list of (name, type, nullable), in its order; a null where none may be fails.
+
+    Errors tell file and record of rows that carry them as __file and __record, and no value."""
+    where = F.concat(F.col(FILE), F.lit(": record "), F.col(RECORD).cast("string"), F.lit(": ")) if {FILE, RECORD} <= set(df.columns) else None
     cols = []
     for name, kind, nullable in schema:
-        v = converted(F.col(f"`{name}`"), kind, name=name)
+        v = converted(F.col(f"`{name}`"), kind, name=name, where=where)
         if not nullable:
-            v = F.when(F.col(f"`{name}`").isNull(), F.raise_error(F.lit(f"{name} is null")).cast(TYPES[kind])).otherwise(v)
+            v = F.when(F.col(f"`{name}`").isNull(), failed(f"{name} is null", kind, where)).otherwise(v)
         cols.append(v.alias(name))
     return df.select(*cols)
 

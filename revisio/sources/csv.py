@@ -1,15 +1,13 @@
 """CSV files with a fixed schema, a dialect and a set of null markers.
 
-`read` keeps blank and null apart and fails on a record of another width, as each file is parsed whole by a csv parser in
-one task; files without a byte are left out. `scan` is Spark's own reader, which splits files, for dialects where an unquoted blank may be null."""
-import csv
-import io
+`read` keeps blank and null apart, splits files also where quoted fields hold line ends (see splits) and fails on a record of
+another width; files without a byte are left out. `scan` is Spark's own reader, for dialects where an unquoted blank may be null."""
 from dataclasses import asdict, dataclass
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from revisio.sources import schema as schemas
+from revisio.sources import splits
 from revisio.sources.convert import row
 
 
@@ -34,39 +32,18 @@ class Dialect:
                 raise ValueError(f"{name} must be true or false")
 
 
-def texts(spark, path, schema, encoding="utf-8-sig", nulls=("", "\\N"), dialect=Dialect()):
-    """All columns as text in the schema's order, markers as null; errors tell file and record number."""
-    names, options, nulls = [n for n, _, _ in schema], asdict(dialect), frozenset(nulls)
+def texts(spark, path, schema, encoding="utf-8-sig", nulls=("", "\\N"), dialect=Dialect(), numbered=False):
+    """All columns as text in the schema's order, markers as null; errors tell file and record number, as the columns __file and __record do if asked for.
 
-    def parse(batches):
-        for b in batches:
-            for file, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
-                rows = csv.reader(io.StringIO(content.decode(encoding), newline=""), **options)
-                header = next(rows, None)
-                if header is None:
-                    raise ValueError(f"{file}: no header")
-                schemas.same_names(header, schema)
-                at, part = [header.index(n) for n in names], []
-                for n, r in enumerate(rows, 1):
-                    if len(r) != len(header):
-                        raise ValueError(f"{file}: record {n} has {len(r)} fields, not {len(header)}")
-                    part.append([None if r[i] in nulls else r[i] for i in at])
-                    if len(part) == 5000:
-                        yield _batch(part, names)
-                        part = []
-                yield _batch(part, names)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(parse, ", ".join(f"`{n}` string" for n in names))
-
-
-def _batch(rows, names):
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names=list(names))
+    Records are those of a csv parser that reads each file as a whole, but files are read in the splits that Spark makes."""
+    job = splits.Job([n for n, _, _ in schema], asdict(dialect), encoding, frozenset(nulls))
+    rows = job.split(spark, path) if splits.splits(encoding) else job.whole(spark, path)
+    return rows if numbered else rows.drop(*splits.HIDDEN)
 
 
 def read(spark, path, schema, **options):
-    """A CSV file or folder in canonical types; schema is a list of (name, type, nullable)."""
-    return row(texts(spark, path, schema, **options), schema)
+    """A CSV file or folder in canonical types; schema is a list of (name, type, nullable). A value that is not of its type fails with its file, record and column."""
+    return row(texts(spark, path, schema, numbered=True, **options), schema)
 
 
 def scan(spark, path, schema, nulls=("", "\\N"), encoding="UTF-8", dialect=Dialect()):

@@ -1,4 +1,6 @@
-"""Query results of databases by JDBC, with bound parameters, as a frame of canonical types."""
+"""Query results of databases by JDBC, as a frame of canonical types.
+
+Spark's JDBC source binds no parameters, so they are put in as literals here; dbapi has the driver bind them."""
 import re
 from dataclasses import dataclass
 from datetime import date, datetime
