@@ -1,9 +1,10 @@
 """Overview, checks and findings. Fatal checks stop a run before anything is published, so their rows always say 0."""
 from pyspark.sql import functions as F
 
-from revisio.operators import appointments
+from revisio.functions import readability
+from revisio.operators import appointments, fields
 from revisio.operators.tables import pct
-from revisio.sql import frame
+from revisio.sql import SPARK, frame, spelled
 from revisio.stats import union
 
 #: Check, severity, definition, consequence.
@@ -140,8 +141,16 @@ ASSIST_RULES = {"missing_field_names": "coalesce(@blank(field_name), true)", "un
                 "assisted_without_pick": "analysis_type IN ('TEXT', 'COMPENSATION') AND match_type <> 'UNASSISTED' AND (picked_kind IS NULL OR picked_index IS NULL)",
                 "unassisted_with_pick": "analysis_type IN ('TEXT', 'COMPENSATION') AND match_type = 'UNASSISTED' AND (picked_kind IS NOT NULL OR picked_index IS NOT NULL)", "negative_indices": "picked_index < 0",
                 "lookups_with_pick": "analysis_type = 'LOOKUP' AND (picked_kind IS NOT NULL OR picked_index IS NOT NULL)"}
+#: Metrics that must be finite where they are there.
+ASSIST_FLOATS = tuple(c for c in fields.FLATTENED if "effort_saved" in c or c in ("ter_rate", "soft_word_edit_distance", "lookup_similarity"))
+
+
+def nonfinite(columns):
+    return " OR ".join(f"coalesce(isnan({c}) OR abs({c}) = CAST('Infinity' AS DOUBLE), false)" for c in columns)
+
+
 READ_RULES = {"unsupported_roles": "coalesce(text_role NOT IN ('SUGGESTED', 'FINAL'), true)", "suggested_without_marker": "text_role = 'SUGGESTED' AND selected IS NULL", "final_with_marker": "text_role = 'FINAL' AND selected IS NOT NULL",
-              "nonfinite": "isnan(flesch_kincaid_grade) OR isnan(gunning_fog) OR abs(flesch_kincaid_grade) = CAST('Infinity' AS DOUBLE) OR abs(coleman_liau_index) = CAST('Infinity' AS DOUBLE) OR abs(gunning_fog) = CAST('Infinity' AS DOUBLE)"}
+              "nonfinite": nonfinite(readability.FLOATS)}
 
 
 def _rules(table, rules, prefix):
@@ -152,9 +161,10 @@ def _twice(table, name, keys, where="true"):
     return f"SELECT '{name}' AS rule, coalesce(CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT), 0) AS n FROM (SELECT count(*) AS n FROM {{{table}}} WHERE {where} GROUP BY {keys}) q{name}"
 
 
+#: Every rule by itself, as plain SQL: what violations() counts in one pass.
 VIOLATIONS = " UNION ALL ".join([
     _rules("rec", RECORD_RULES, ""), _twice("rec", "repeated_ids", "ID"), f"SELECT 'completed_twice' AS rule, count(*) AS n FROM (SELECT STUDY_NUM FROM {{rec}} WHERE {_DONE} GROUP BY STUDY_NUM HAVING count(*) > 1) q",
-    _rules("ast", ASSIST_RULES, "assistance_"), _twice("ast", "assistance_repeated", "record_id, field_name"),
+    _rules("ast", ASSIST_RULES | {"nonfinite": nonfinite(c for c in ASSIST_FLOATS if not c.startswith(("ter", "soft", "policy")))}, "assistance_"), _twice("ast", "assistance_repeated", "record_id, field_name"),
     "SELECT 'assistance_orphans' AS rule, count(DISTINCT m.record_id) AS n FROM {ast} m LEFT JOIN {rec} r ON m.record_id = r.ID WHERE r.ID IS NULL",
     "SELECT 'assistance_not_completed_ai' AS rule, count(*) AS n FROM {ast} m LEFT JOIN {rec} r ON m.record_id = r.ID WHERE NOT coalesce(r.ATTEMPT_TYPE = 'AI' AND r.ATTEMPT_RESULT = 'COMPLETE', false)",
     _rules("rdb", READ_RULES, "readability_"), _twice("rdb", "readability_repeated", "record_id, field_name, text_role, suggestion_kind, suggestion_index"), _twice("rdb", "readability_two_finals", "record_id, field_name", "text_role = 'FINAL'"),
@@ -168,9 +178,72 @@ COUNTERS = """SELECT count(*) AS source_row_count, count(CASE WHEN ATTEMPT_TYPE
   count(CASE WHEN NOT (ATTEMPT_TYPE = 'AI' AND ATTEMPT_RESULT = 'COMPLETE') THEN 1 END) AS skipped_row_count, (SELECT count(*) FROM {ast}) AS ai_assistance_row_count, (SELECT count(*) FROM {rdb}) AS readability_row_count FROM {rec}"""
 
 
+def _flags(rules, prefix):
+    return [F.expr(spelled(e, SPARK)).cast("boolean").alias(f"{prefix}{n}") for n, e in rules.items()]
+
+
 def violations(records, assistance, readings):
-    """Counts of all rules, in one job."""
-    return frame(VIOLATIONS, rec=records, ast=assistance, rdb=readings)
+    """Counts of all rules: one pass over each table.
+
+    Rows of the three tables become slim rows with a key and what they count for. Groups shrink step by
+    step, each pre-aggregated before its shuffle: rows of one text, of one (record, field), of one record or study. What a
+    join of two tables would count follows from the numbers on its two sides."""
+    done = F.coalesce(F.col("ATTEMPT_RESULT") == "COMPLETE", F.lit(False))
+    none, one = F.lit(None).cast("string"), F.lit(1).cast("long")
+    zero = F.lit(0).cast("long")
+
+    def rows(df, prefix, rules, *kinds):
+        """df's rows as often as it has kinds; rule flags go with the first."""
+        flags = _flags(rules, prefix)
+        names = ("id", "study", "field", "role", "kind", "index", "record", "ai", "assist", "read", "final", "chosen", "left", "right", "done")
+        made = [F.struct(*[k.get(n, {"id": F.lit(None).cast("long"), "index": F.lit(None).cast("long")}.get(n, none if n in names[:6] else zero)).alias(n) for n in names], F.lit(i == 0).alias("first")) for i, k in enumerate(kinds)]
+        d = df.select(F.filter(F.array(*made), lambda k: F.coalesce(k["first"], F.lit(False)) | (k["done"] > 0) | (k["left"] > 0) | (k["right"] > 0)).alias("k"), *flags)
+        return d.select(F.explode("k").alias("k"), *_names(rules, prefix)).select("k.*", *[(F.col("k.first") & F.coalesce(F.col(n), F.lit(False))).cast("long").alias(n) for n in _names(rules, prefix)]).drop("first")
+
+    count = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    #: a field's name that no field has: there, what matches is the mode of a record and its readings
+    mode = F.lit("\u0000")
+    rec = rows(records, "", RECORD_RULES,
+               {"id": F.col("ID"), "record": one, "ai": count(done & (F.col("ATTEMPT_TYPE") == "AI"))},
+               {"study": F.col("STUDY_NUM"), "role": F.lit("study"), "done": count(done)},
+               {"id": F.col("ID"), "field": mode, "kind": F.col("ATTEMPT_TYPE"), "index": zero, "right": count(done)})
+    ast = rows(assistance, "assistance_", ASSIST_RULES | {"nonfinite": nonfinite(ASSIST_FLOATS)},
+               {"id": F.col("record_id"), "field": F.col("field_name"), "kind": F.col("picked_kind"), "index": F.col("picked_index").cast("long"), "role": F.lit("a"), "assist": one, "right": count(F.lit(True))})
+    rdb = rows(readings, "readability_", READ_RULES,
+               {"id": F.col("record_id"), "field": F.col("field_name"), "role": F.concat(F.lit("r"), F.col("text_role")), "kind": F.col("suggestion_kind"), "index": F.col("suggestion_index").cast("long"), "read": one,
+                "final": count(F.col("text_role") == "FINAL"), "chosen": count(F.col("selected")), "left": count(F.col("selected"))},
+               {"id": F.col("record_id"), "field": mode, "kind": F.col("attempt_type"), "index": zero, "left": one})
+    u = union([rec, ast, rdb])
+    names = [*_names(RECORD_RULES, ""), *_names(ASSIST_RULES | {"nonfinite": ""}, "assistance_"), *_names(READ_RULES, "readability_")]
+    sums = lambda *cs: [F.sum(c).alias(c) for c in (*cs, *names)]
+    several = lambda c: F.when(F.col(c) > 1, F.col(c)).otherwise(0)
+    u = u.fillna(0, names)
+    # rows of one text
+    g = u.groupBy("id", "study", "field", "kind", "index", "role").agg(*sums("record", "ai", "assist", "read", "final", "chosen", "left", "right", "done"))
+    g = g.withColumn("alike", several("read"))
+    # rows that one pick, or one mode, matches
+    g = g.groupBy("id", "study", "field", "kind", "index").agg(*sums("record", "ai", "assist", "read", "final", "chosen", "left", "right", "done", "alike"))
+    match = F.col("id").isNotNull() & F.col("field").isNotNull() & F.col("kind").isNotNull() & F.col("index").isNotNull()
+    g = g.withColumn("met", F.when(match, F.col("left") * F.col("right")).otherwise(0))
+    # rows of one field of a record
+    g = g.groupBy("id", "study", "field").agg(*sums("record", "ai", "assist", "read", "final", "chosen", "left", "right", "done", "alike", "met"))
+    own = F.coalesce(F.col("field") != mode, F.lit(False))
+    both = F.when(own & F.col("id").isNotNull(), F.greatest(F.col("assist"), F.lit(1))).otherwise(1)
+    g = g.withColumns({"twice": several("assist"), "finals": several("final"), "picked": several("chosen"), "missed": F.when(F.coalesce(F.col("field") == mode, F.lit(False)), 0).otherwise(F.col("chosen") * both - F.col("met")),
+                       "fits": F.when(F.coalesce(F.col("field") == mode, F.lit(False)), F.col("met")).otherwise(0)})
+    # rows of one record, or of one study
+    g = g.groupBy("id", "study").agg(*sums("record", "ai", "assist", "read", "done", "alike", "twice", "finals", "picked", "missed", "fits"))
+    known, owned = F.col("id").isNotNull(), F.when(F.col("id").isNotNull(), F.greatest(F.col("record"), F.lit(1))).otherwise(1)
+    orphan = lambda c: F.when(known & (F.col(c) > 0) & (F.col("record") == 0), 1).otherwise(0)
+    out = {**{n: F.col(n) for n in names}, "repeated_ids": several("record"), "completed_twice": F.when(F.col("done") > 1, 1).otherwise(0), "assistance_repeated": F.col("twice"), "assistance_orphans": orphan("assist"),
+           "assistance_not_completed_ai": F.col("assist") * owned - F.when(known, F.col("assist") * F.col("ai")).otherwise(0), "readability_repeated": F.col("alike"), "readability_two_finals": F.col("finals"), "readability_two_selected": F.col("picked"),
+           "readability_orphans": orphan("read"), "readability_not_completed": F.col("read") * owned - F.col("fits"), "selected_not_picked": F.col("missed")}
+    total = g.agg(*[F.coalesce(F.sum(e), F.lit(0)).cast("long").alias(n) for n, e in out.items()])
+    return total.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in out])).alias("x")).select("x.*")
+
+
+def _names(rules, prefix):
+    return [f"{prefix}{n}" for n in rules]
 
 
 def check(records, assistance, readings):

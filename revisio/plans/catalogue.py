@@ -136,7 +136,7 @@ QUERIES = {
     **{n: _summary(x, *(_TER if n == "a11_field_adoption" else ())) for group in (ATTEMPTS, FIELDS, CONTEXTS) for n, x in group.items()},
     "a29_quality": lambda s, d: (lambda t: rounded(quality.summary(t.rec, t.ast, t.rdb)))(records.Tables(s, d)),
     "a30_findings": lambda s, d: quality.findings(records.Tables(s, d).rec),
-    "a31_violations": _text(quality.VIOLATIONS),
+    "a31_violations": lambda s, d: (lambda t: quality.violations(t.rec, t.ast, t.rdb))(records.Tables(s, d)),
     "a31_counts": _text(quality.COUNTS),
     "a32_counters": _text(quality.COUNTERS),
     "f_text_pairs": _text_pairs,
