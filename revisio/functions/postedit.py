@@ -79,64 +79,112 @@ def shifted(a, b, d):
                     last = to
 
 
+class Bits:
+    """Edit distances to one sequence b, a word of the other at a time: columns of the distance matrix as bits of differences (Myers 1999, Hyyro 2003)."""
+
+    def __init__(self, b):
+        self.size, self.at = len(b), {}
+        for j, x in enumerate(b):
+            self.at[x] = self.at.get(x, 0) | 1 << j
+        self.all, self.last = (1 << self.size) - 1, 1 << max(0, self.size - 1)
+
+    def states(self, a):
+        """The column before each word of a, and after the last one: (rises, falls, distance)."""
+        s = (self.all, 0, self.size)
+        out = [s]
+        for x in a:
+            s = self.step(s, x)
+            out.append(s)
+        return out
+
+    def step(self, state, x):
+        up, down, far = state
+        if not self.size:
+            return up, down, far + 1
+        hit = self.at.get(x, 0)
+        diagonal = ((((hit & up) + up) ^ up) | hit | down) & self.all
+        rise, fall = down | (self.all & ~(diagonal | up)), up & diagonal
+        far += (rise & self.last > 0) - (fall & self.last > 0)
+        rise, fall = (rise << 1 | 1) & self.all, fall << 1 & self.all
+        return fall | (self.all & ~(diagonal | rise)), rise & diagonal, far
+
+    def distance(self, states, keep, rest):
+        """The distance of a sequence whose first `keep` words are those of `states`."""
+        s = states[keep]
+        for x in rest:
+            s = self.step(s, x)
+        return s[2]
+
+
 def ter_edits(suggested, final):
     """Shifts and word edits from suggested to final."""
     numbers = {}
     a, b = (np.array([numbers.setdefault(w, len(numbers)) for w in t.lower().split()], np.int64) for t in (suggested, final))
-    d, shifts, tried = grid(a, b), 0, 0
+    bits, shifts, tried = Bits(b.tolist()), 0, 0
+    d = grid(a, b)
     while d[-1, -1] > 0 and tried < CANDIDATES:
-        best = None
+        best, now, states = None, int(d[-1, -1]), bits.states(a.tolist())
         for x, n, i, to in shifted(a, b, d):
             tried += 1
-            g = grid(x, b)
-            rank = (int(d[-1, -1]) - int(g[-1, -1]), n, -i, -to)
-            if best is None or rank > best[0]:
-                best = rank, x, g
+            # a shift of n words takes back 2n edits at most
+            if best is None or 2 * n >= best[0][0]:
+                keep = min(i, to)
+                rank = (now - bits.distance(states, keep, x[keep:].tolist()), n, -i, -to)
+                if best is None or rank > best[0]:
+                    best = rank, x
             if tried >= CANDIDATES:
                 break
         if best is None or best[0][0] <= 0:
             break
-        _, a, d = best
+        a = best[1]
+        d = grid(a, b)
         shifts += 1
     return shifts + int(d[-1, -1])
 
 
 def characters(a, b):
     """Code points inserted, deleted or replaced."""
-    code = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return int(grid(code(a), code(b))[-1, -1])
+    return Bits(b).states(a)[-1][2]
 
 
 def soft_distance(a, b, insertion=1.0, deletion=1.0, case_sensitive=True):
     """Word edit distance where a replacement costs the words' character distance over the longer one's length."""
     a, b = (composed(t, case_sensitive).split() for t in (a, b))
-    memo = {}
+    (rows, ra), (columns, cb) = (np.unique(np.array(x, object), return_inverse=True) if x else (np.array([], object), np.array([], np.int64)) for x in (a, b))
+    cost = costs(rows.tolist(), columns.tolist())
+    steps = insertion * np.arange(len(b) + 1)
+    row = steps.copy()
+    for i, x in enumerate(ra.tolist(), 1):
+        best = np.concatenate([[deletion * i], np.minimum(row[1:] + deletion, row[:-1] + cost[x][cb])])
+        row = np.minimum.accumulate(best - steps) + steps
+    return float(row[-1])
 
-    def cost(x, y):
-        if x == y:
-            return 0.0
-        if (x, y) not in memo:
-            memo[x, y] = characters(x, y) / max(len(x), len(y))
-        return memo[x, y]
 
-    row = [insertion * j for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        old, row = row, [deletion * i]
-        for j, y in enumerate(b, 1):
-            row.append(min(old[j] + deletion, row[-1] + insertion, old[j - 1] + cost(x, y)))
-    return row[-1]
-
-
-@F.pandas_udf(T.StructType([T.StructField("selected_form", T.StringType()), T.StructField("final_form", T.StringType()), T.StructField("same", T.BooleanType()), T.StructField("ter", T.LongType()), T.StructField("soft", T.DoubleType())]))
-def _compared(selected: pd.Series, final: pd.Series) -> pd.DataFrame:
-    rows = []
-    for s, f in zip(selected, final):
-        if not isinstance(s, str) or not isinstance(f, str) or not f.split():
-            rows.append((None, None, None, None, None))
-        else:
-            s, f = composed(s), composed(f)
-            rows.append((s, f, plain(s) == plain(f), ter_edits(s, f), soft_distance(s, f)))
-    return pd.DataFrame(rows, columns=["selected_form", "final_form", "same", "ter", "soft"]).astype({"same": "boolean", "ter": "Int64", "soft": "Float64"})
+def costs(rows, columns):
+    """Character distances of all pairs of two lists of words over the longer one's length."""
+    out = np.zeros((len(rows), len(columns)))
+    for j, y in enumerate(columns):
+        bits = Bits(y)
+        for i, x in enumerate(rows):
+            if x != y:
+                out[i, j] = bits.states(x)[-1][2] / max(len(x), len(y))
+    return out
+
+
+def _each(kind, work):
+    """A UDF of two texts, null where either is or the second has no words."""
+    @F.pandas_udf(kind)
+    def run(selected: pd.Series, final: pd.Series) -> pd.Series:
+        return pd.Series([work(composed(s), composed(f)) if isinstance(s, str) and isinstance(f, str) and f.split() else None for s, f in zip(selected, final)], dtype=object)
+    return run
+
+
+_ter, _soft, _same = _each(T.LongType(), ter_edits), _each(T.DoubleType(), soft_distance), _each(T.BooleanType(), lambda s, f: plain(s) == plain(f))
+
+
+@F.pandas_udf(T.StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(composed, na_action="ignore")
 
 
 def words(x):
@@ -154,13 +202,17 @@ METRICS = ("ter_rate", "ter_effort_saved_raw", "ter_effort_saved", "character_ed
 
 def analyzed(df, selected="selected_text", final="final_text"):
     """df with the metrics of two of its columns, and `cosmetic`: whether they are equal but for case, accents, punctuation and white space. Null where either is null or the final has no words."""
-    d = df.withColumn("__c", _compared(F.col(selected), F.col(final)))
-    a, b = F.col("__c.selected_form"), F.col("__c.final_form")
+    x, y = F.col(selected), F.col(final)
+    has = x.isNotNull() & y.rlike(r"(?U)\S")
+    # plain ASCII is composed as it is; every metric has a UDF of its own, so that those not asked for are not run
+    form = lambda t: F.when(t.rlike(r"^\p{ASCII}*$"), t).otherwise(_composed(t))
+    d = df.withColumns({"__a": F.when(has, form(x)), "__b": F.when(has, form(y)), "__ter": _ter(x, y), "__soft": _soft(x, y), "__same": _same(x, y)})
+    a, b = F.col("__a"), F.col("__b")
     n, size = F.size(words(b)).cast("double"), F.char_length(b)
     far = F.levenshtein(a, b).cast("long")
-    rate, soft = F.col("__c.ter") / n, F.col("__c.soft")
+    rate, soft = F.col("__ter") / n, F.col("__soft")
     known = b.isNotNull()
     cols = {"ter_rate": rate, "ter_effort_saved_raw": 1 - rate, "ter_effort_saved": clamp01(1 - rate), "character_edit_distance": far, "character_effort_saved_raw": 1 - far / size, "character_effort_saved": clamp01(1 - far / size),
             "soft_word_edit_distance": soft, "soft_word_effort_saved_raw": 1 - soft / n, "soft_word_effort_saved": clamp01(1 - soft / n), "estimated_characters_saved": F.greatest(F.lit(0), size - far).cast("long"),
             "suggestion_character_count": F.char_length(a).cast("long"), "final_character_count": size.cast("long"), "suggestion_word_count": F.size(words(a)).cast("long"), "final_word_count": F.size(words(b)).cast("long")}
-    return d.select(*[c for c in df.columns], *[F.when(known, e).alias(c) for c, e in cols.items()], F.col("__c.same").alias("cosmetic"))
+    return d.select(*[c for c in df.columns], *[F.when(known, e).alias(c) for c, e in cols.items()], F.col("__same").alias("cosmetic"))

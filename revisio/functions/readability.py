@@ -41,4 +41,4 @@ def sql(text):
             f"len(list_filter({y}, lambda n: n >= 3)) AS p, length(regexp_replace({text}, '\\s+', '', 'g')) AS c")
 
 
-FORMULAS = ("0.39 * w / s + 11.8 * y / w - 15.59", "4.71 * l / w + 0.5 * w / s - 21.43", "0.0588 * (1E2 * l / w) - 0.296 * (1E2 * s / w) - 15.8", "0.4 * (w / s + 1E2 * p / w)", "CAST(NULL AS DOUBLE)", "c * 14.69 / 1000", "s", "w", "y", "l", "p")
+FORMULAS = ("0.39E0 * w / s + 11.8E0 * y / w - 15.59E0", "4.71E0 * l / w + 0.5E0 * w / s - 21.43E0", "0.0588E0 * (1E2 * l / w) - 0.296E0 * (1E2 * s / w) - 15.8E0", "0.4E0 * (w / s + 1E2 * p / w)", "CAST(NULL AS DOUBLE)", "c * 14.69E0 / 1000", "s", "w", "y", "l", "p")

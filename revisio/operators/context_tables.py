@@ -64,8 +64,9 @@ def _sizes():
     names = ("pop", "grp")
     stats = {"source_size_chars": named("source_size_chars", "min median max"), "latency_ms": named("latency_ms", n="attempt_count_with_latency", missing="attempt_count_missing_latency")}
     labels = tuple((f"CASE WHEN {c} AND {v} IS NOT NULL THEN '{p}' END", v) for p, c in POPULATIONS for v in ("'ALL'", "said"))
-    source = f"""SELECT k.*, b1, b2, b3, 1 + CASE WHEN source_size_chars > b1 THEN 1 ELSE 0 END + CASE WHEN b2 <> b1 AND source_size_chars > b2 THEN 1 ELSE 0 END + CASE WHEN b3 <> b2 AND source_size_chars > b3 THEN 1 ELSE 0 END AS band,
-  2 + CASE WHEN b2 <> b1 THEN 1 ELSE 0 END + CASE WHEN b3 <> b2 THEN 1 ELSE 0 END AS bands FROM ({_KEYED}) k JOIN {{edge}} e ON k.study_num IS NOT NULL WHERE source_size_chars IS NOT NULL"""
+    source = f"""SELECT *, 1 + CASE WHEN source_size_chars > b1 THEN 1 ELSE 0 END + CASE WHEN b2 <> b1 AND source_size_chars > b2 THEN 1 ELSE 0 END + CASE WHEN b3 <> b2 AND source_size_chars > b3 THEN 1 ELSE 0 END AS band,
+  2 + CASE WHEN b2 <> b1 THEN 1 ELSE 0 END + CASE WHEN b3 <> b2 THEN 1 ELSE 0 END AS bands
+  FROM (SELECT *, (SELECT b1 FROM {{edge}}) AS b1, (SELECT b2 FROM {{edge}}) AS b2, (SELECT b3 FROM {{edge}}) AS b3 FROM ({_KEYED}) k WHERE source_size_chars IS NOT NULL) q"""
     whole = "sum(CASE WHEN grp = 'ALL' THEN n END) OVER (PARTITION BY pop)"
     return Summary((Part(source, ("pop", "grp", "band", "bands", "b1", "b2", "b3"), names, labels, {"n": "count(*)"}, stats),), f"""
 SELECT pop AS population_name, 'ALL_SUCCESSFUL_AI_GENERATION_SOURCE_SIZE_QUARTILES_LINEAR' AS source_size_band_scheme_name, 'Q' || CAST(band AS STRING) || '_OF_' || CAST(bands AS STRING) AS source_size_band_name, band AS source_size_band_sequence,

@@ -2,11 +2,11 @@
 from revisio.functions.readability import GRADES, MEASURES
 from revisio.operators.context_tables import _n
 from revisio.operators.tables import Part, Summary, pct
-from revisio.stats import named
+from revisio.stats import named, one_value
 
 TEXT = "analysis_type IN ('TEXT', 'COMPENSATION')"
 WITH_METRICS = "edit_intensity_category IN ('COSMETIC', 'LIGHT_EDIT', 'MODERATE_EDIT', 'HEAVY_EDIT', 'REPLACED')"
-ONE_SCHEME = "CASE WHEN count(DISTINCT edit_intensity_threshold_scheme_name) = 1 THEN max(edit_intensity_threshold_scheme_name) END"
+ONE_SCHEME = one_value("edit_intensity_threshold_scheme_name")
 #: Category, name in counts, name in shares.
 INTENSITIES = (("EXACT", "selected_and_exactly_retained", "exact_retention"), ("COSMETIC", "selected_and_cosmetically_changed", "cosmetic_change"), ("LIGHT_EDIT", "selected_and_lightly_edited", "light_edit"),
                ("MODERATE_EDIT", "selected_and_moderately_edited", "moderate_edit"), ("HEAVY_EDIT", "selected_and_heavily_edited", "heavy_edit"), ("EDITED_UNCLASSIFIED", "selected_and_unclassified_edit", "unclassified_edit"),
@@ -93,7 +93,7 @@ SELECT field_name, measure AS readability_measure_name, n AS completed_ai_attemp
 def _change():
     stats = {"change_final_minus_selected": named("change_final_minus_selected", "min p25 median mean sd p75 max")}
     dirs = (("value_decreased", "VALUE_DECREASED"), ("no_material_change", "NO_MATERIAL_CHANGE"), ("value_increased", "VALUE_INCREASED"))
-    counts = {"n": "count(DISTINCT audit_record_id)", **{f"attempt_count_{c}": _n(f"readability_direction_category = '{k}'") for c, k in dirs}, "tolerance": "CASE WHEN count(DISTINCT unchanged_absolute_tolerance) = 1 THEN max(unchanged_absolute_tolerance) END"}
+    counts = {"n": "count(DISTINCT audit_record_id)", **{f"attempt_count_{c}": _n(f"readability_direction_category = '{k}'") for c, k in dirs}, "tolerance": one_value("unchanged_absolute_tolerance")}
     return Summary((Part("SELECT * FROM {prs}", ("field_name", "readability_measure_name"), counts=counts, metrics=stats),), f"""
 SELECT field_name, readability_measure_name, n AS paired_selected_final_attempt_count, {', '.join(stats['change_final_minus_selected'].values())}, {', '.join(f'attempt_count_{c}' for c, _ in dirs)},
   {', '.join(f'{pct(f"attempt_count_{c}", "n")} AS percentage_{c}' for c, _ in dirs)}, tolerance AS unchanged_absolute_tolerance, field_name = 'title' AS short_text_readability_caution FROM {{g}}""")

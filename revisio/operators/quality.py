@@ -50,9 +50,9 @@ SUMMARY = f"""
 WITH n AS (SELECT count(*) AS records, count(CASE WHEN ATTEMPT_RESULT = 'COMPLETE' THEN 1 END) AS done FROM {{rec}}), m AS (SELECT count(DISTINCT record_id) AS assisted FROM {{ast}}), r AS (SELECT count(DISTINCT record_id) AS readable FROM {{rdb}}),
 b AS (SELECT count(DISTINCT record_id) AS measured FROM (SELECT record_id FROM {{ast}} UNION SELECT record_id FROM {{rdb}}) u),
 f AS (SELECT name AS checked, count(DISTINCT ID) AS attempts, count(DISTINCT study_num) AS studies, count(DISTINCT author) AS authors FROM {{fnd}} GROUP BY name),
-c AS (SELECT name, coalesce(attempts, 0) AS attempts, coalesce(studies, 0) AS studies, coalesce(authors, 0) AS authors, CASE WHEN name LIKE 'COMPLETED!_ATTEMPT!_%' ESCAPE '!' THEN done WHEN name = 'ORPHAN_AI_ASSISTANCE_METRIC_ROW' THEN assisted
-  WHEN name IN ('ORPHAN_READABILITY_METRIC_ROW', 'SELECTED_MARKER_INCONSISTENCY') THEN readable WHEN name = 'NONFINITE_METRIC' THEN measured ELSE records END AS eligible
-  FROM (SELECT k.name, f.attempts, f.studies, f.authors FROM {{fix}} k LEFT JOIN f ON k.name = f.checked) x CROSS JOIN n CROSS JOIN m CROSS JOIN r CROSS JOIN b)
+c AS (SELECT name, coalesce(attempts, 0) AS attempts, coalesce(studies, 0) AS studies, coalesce(authors, 0) AS authors, CASE WHEN name LIKE 'COMPLETED!_ATTEMPT!_%' ESCAPE '!' THEN (SELECT done FROM n) WHEN name = 'ORPHAN_AI_ASSISTANCE_METRIC_ROW' THEN (SELECT assisted FROM m)
+  WHEN name IN ('ORPHAN_READABILITY_METRIC_ROW', 'SELECTED_MARKER_INCONSISTENCY') THEN (SELECT readable FROM r) WHEN name = 'NONFINITE_METRIC' THEN (SELECT measured FROM b) ELSE (SELECT records FROM n) END AS eligible
+  FROM (SELECT k.name, f.attempts, f.studies, f.authors FROM {{fix}} k LEFT JOIN f ON k.name = f.checked) x)
 SELECT name AS data_quality_check_name, {_CASES['severity']} AS severity_level, attempts AS affected_attempt_count, studies AS affected_distinct_study_count, authors AS affected_distinct_author_count, eligible AS eligible_attempt_count,
   {pct('attempts', 'eligible')} AS affected_attempt_percentage, {_CASES['definition']} AS check_definition, {_CASES['consequence']} AS analysis_consequence FROM c"""
 FIX = " UNION ALL ".join(f"SELECT '{k[0]}' AS name" for k in CHECKS)

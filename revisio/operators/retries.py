@@ -19,7 +19,7 @@ CATEGORY = """CASE WHEN n = 1 THEN 'SINGLE_ATTEMPT_' || last_mode || CASE WHEN d
   WHEN NOT done THEN CASE WHEN manuals = 0 THEN 'REPEATED_AI_ONLY_NO_COMPLETION_OBSERVED' WHEN ais = 0 THEN 'REPEATED_MANUAL_ONLY_NO_COMPLETION_OBSERVED' ELSE 'MIXED_MODES_NO_COMPLETION_OBSERVED' END
   WHEN manuals = 0 THEN 'REPEATED_AI_ONLY_TO_AI_COMPLETION' WHEN ais = 0 THEN 'REPEATED_MANUAL_ONLY_TO_MANUAL_COMPLETION' WHEN turns = 1 THEN first_mode || '_TO_' || last_mode || '_COMPLETION'
   ELSE 'MIXED_OR_ALTERNATING_TO_' || last_mode || '_COMPLETION' END"""
-#: {cut} is a frame of one row and column, cutoff; {zone} functions turn local times to UTC microseconds.
+#: {cut} is the time of the report's run.
 CONTEXT = f"""
 WITH x AS (SELECT *, lag(attempt_authoring_mode) OVER {_W} AS p_mode, row_number() OVER {_W} AS nth,
   coalesce(max(CASE WHEN is_completed_attempt THEN 1 ELSE 0 END) OVER (PARTITION BY study_num ORDER BY attempt_start_timestamp NULLS LAST, audit_record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM {{att}}),
@@ -39,10 +39,10 @@ SELECT s.study_num, {CATEGORY} AS pathway_category, CASE WHEN done THEN 'COMPLET
   drops AS user_dropped_attempt_count, drops > 0 AS has_user_dropped_attempt, coalesce(returned, 0) AS returned_result_ai_attempt_count, coalesce(returned, 0) > 0 AS has_returned_result_ai,
   coalesce(transitions, 0) > 0 AS source_comparison_eligible, {', '.join(f'coalesce({c}_ok, false) AS {c}_comparison_eligible' for c in _SOME)}, {', '.join(f'coalesce({c}_new, false) AS any_{c}_change' for c in _SOME)},
   coalesce(feedback, 0) AS ai_feedback_record_count, coalesce(feedback, 0) > 0 AS feedback_recorded_on_any_ai_attempt, first_at AS first_attempt_timestamp, last_at AS latest_observed_attempt_timestamp,
-  done_at AS completed_timestamp, CASE WHEN NOT done THEN cutoff END AS report_run_cutoff_timestamp, @us(first_at, done_at) / 6.0E7 AS minutes_first_attempt_to_completion,
-  CASE WHEN NOT done THEN @us(first_at, last_at) / 6.0E7 END AS minutes_first_attempt_to_last_observed_attempt, CASE WHEN NOT done THEN @us(last_at, cutoff) / 6.0E7 END AS minutes_latest_attempt_to_report_run_cutoff,
-  CASE WHEN NOT done THEN @us(first_at, cutoff) / 6.0E7 END AS minutes_first_attempt_to_report_run_cutoff
-FROM s LEFT JOIN t ON s.study_num = t.study_num LEFT JOIN g ON s.study_num = g.study_num LEFT JOIN f ON s.study_num = f.study_num CROSS JOIN (SELECT {{cut}} AS cutoff) k"""
+  done_at AS completed_timestamp, CASE WHEN NOT done THEN {{cut}} END AS report_run_cutoff_timestamp, @us(first_at, done_at) / 6.0E7 AS minutes_first_attempt_to_completion,
+  CASE WHEN NOT done THEN @us(first_at, last_at) / 6.0E7 END AS minutes_first_attempt_to_last_observed_attempt, CASE WHEN NOT done THEN @us(last_at, {{cut}}) / 6.0E7 END AS minutes_latest_attempt_to_report_run_cutoff,
+  CASE WHEN NOT done THEN @us(first_at, {{cut}}) / 6.0E7 END AS minutes_first_attempt_to_report_run_cutoff
+FROM s LEFT JOIN t ON s.study_num = t.study_num LEFT JOIN g ON s.study_num = g.study_num LEFT JOIN f ON s.study_num = f.study_num"""
 ZONE = "America/Detroit"
 
 

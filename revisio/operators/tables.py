@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import functions as F
 
 from revisio.sql import frame
-from revisio.stats import described, described_sql, expanded, expanded_sql, fixed_rows, fixed_sql, named, union
+from revisio.stats import Labels, described, described_sql, expanded_sql, fixed_rows, fixed_sql, named, union
 
 
 def pct(n, d):
@@ -48,9 +48,7 @@ class Summary:
             x = table(p.source)
             if p.stacked:
                 x = x.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in p.stacked]))).select("*", "__s.*").drop("__s", *p.stacked)
-            if p.labels:
-                x = expanded(x, p.labels, p.names)
-            done.append(described(x, list(p.keys), p.metrics, **p.counts))
+            done.append(described(x, list(p.keys), p.metrics, Labels(p.names, p.labels) if p.labels else None, **p.counts))
         more = {"g": union(done), **early}
         if self.fixed:
             more["fix"] = fixed_rows(t.spark, *self.fixed)
@@ -230,9 +228,10 @@ def _activity_bins():
     values = " UNION ALL ".join(f"SELECT author_adoption_group, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {{aut}}" for m, _, _ in EXPERIENCE[:2])
     fixed = tuple((m, a, str(i)) for m, _, _ in EXPERIENCE[:2] for a in ADOPTION for i in (1, 2, 3, 4))
     return Summary((Part(values, ("metric",), metrics={"value": {"median": "b1", "p75": "b2", "p90": "b3"}}),), f"""
-WITH v AS (SELECT a.metric, a.author_adoption_group, value, b1, b2, b3, 1 + CASE WHEN value > b1 THEN 1 ELSE 0 END + CASE WHEN value > b2 THEN 1 ELSE 0 END + CASE WHEN value > b3 THEN 1 ELSE 0 END AS bin FROM {{also}} a JOIN {{g}} g ON a.metric = g.metric),
-c AS (SELECT f.metric, f.a, CAST(f.bin AS INT) AS bin, count(CASE WHEN v.bin = CAST(f.bin AS INT) AND value IS NOT NULL THEN 1 END) AS n, count(value) AS seen, count(CASE WHEN v.metric IS NOT NULL AND value IS NULL THEN 1 END) AS gone
-  FROM {{fix}} f LEFT JOIN v ON f.metric = v.metric AND (f.a = 'ALL_AUTHORS' OR f.a = v.author_adoption_group) GROUP BY f.metric, f.a, f.bin)
+WITH v AS (SELECT /*+ BROADCAST(g) */ a.metric, a.author_adoption_group, value, b1, b2, b3, 1 + CASE WHEN value > b1 THEN 1 ELSE 0 END + CASE WHEN value > b2 THEN 1 ELSE 0 END + CASE WHEN value > b3 THEN 1 ELSE 0 END AS bin FROM {{also}} a JOIN {{g}} g ON a.metric = g.metric),
+k AS (SELECT metric, author_adoption_group AS grp, CASE WHEN value IS NOT NULL THEN bin END AS bin, count(*) AS n FROM v GROUP BY metric, author_adoption_group, CASE WHEN value IS NOT NULL THEN bin END),
+c AS (SELECT f.metric, f.a, CAST(f.bin AS INT) AS bin, CAST(coalesce(sum(CASE WHEN k.bin = CAST(f.bin AS INT) THEN n END), 0) AS BIGINT) AS n, CAST(coalesce(sum(CASE WHEN k.bin IS NOT NULL THEN n END), 0) AS BIGINT) AS seen, CAST(coalesce(sum(CASE WHEN k.bin IS NULL THEN n END), 0) AS BIGINT) AS gone
+  FROM {{fix}} f LEFT JOIN k ON f.metric = k.metric AND (f.a = 'ALL_AUTHORS' OR f.a = k.grp) GROUP BY f.metric, f.a, f.bin)
 SELECT c.metric AS metric_name, c.a AS author_adoption_group, bin AS bin_sequence, CASE bin WHEN 2 THEN b1 WHEN 3 THEN b2 WHEN 4 THEN b3 END AS lower_bound, CASE bin WHEN 1 THEN b1 WHEN 2 THEN b2 WHEN 3 THEN b3 END AS upper_bound,
   false AS lower_bound_inclusive, bin < 4 AS upper_bound_inclusive, CASE bin WHEN 1 THEN 'At or below overall median (' || {_short('b1')} || ')' WHEN 2 THEN 'Above median through overall 75th percentile (' || {_short('b2')} || ')'
     WHEN 3 THEN 'Above 75th through overall 90th percentile (' || {_short('b3')} || ')' ELSE 'Above overall 90th percentile (' || {_short('b3')} || ')' END AS display_label,

@@ -44,11 +44,11 @@ def told_sql(sql):
 
 
 def _step(name, *drop):
-    return lambda s, d: told(getattr(records.Tables(s, d), name).drop(*drop))
+    return lambda s, d: told(records.tables(s, d).made(name).drop(*drop))
 
 
 def _summary(spec, *drop):
-    return lambda s, d: rounded(spec.frame_of(records.Tables(s, d)).drop(*drop))
+    return lambda s, d: rounded(spec.frame_of(records.tables(s, d)).drop(*drop))
 
 
 def _without(sql, *drop):
@@ -121,7 +121,7 @@ _BASE = ("orders", "customer", "nation", "region", "part", "supplier", "lineitem
 
 def _text(sql):
     def run(spark, d):
-        t = records.Tables(spark, d)
+        t = records.tables(spark, d)
         return frame(sql, **{n: getattr(t, n) if n in records.STEPS or n == "rec" else table(spark, d, n) for n in ("rec", "ast", "rdb", *_BASE) if "{" + n + "}" in sql})
     return run
 
@@ -132,11 +132,11 @@ QUERIES = {
     **{n: _step(s) for n, s in STEPS.items()},
     "d_field_analysis": _step("ast", *LEFT_OUT),
     "d_completed_fields": _step("fld", *LEFT_OUT),
-    "a01_overview": lambda s, d: rounded(quality.overview(records.Tables(s, d))),
+    "a01_overview": lambda s, d: rounded(quality.overview(records.tables(s, d))),
     **{n: _summary(x, *(_TER if n == "a11_field_adoption" else ())) for group in (ATTEMPTS, FIELDS, CONTEXTS) for n, x in group.items()},
-    "a29_quality": lambda s, d: (lambda t: rounded(quality.summary(t.rec, t.ast, t.rdb)))(records.Tables(s, d)),
-    "a30_findings": lambda s, d: quality.findings(records.Tables(s, d).rec),
-    "a31_violations": lambda s, d: (lambda t: quality.violations(t.rec, t.ast, t.rdb))(records.Tables(s, d)),
+    "a29_quality": lambda s, d: (lambda t: rounded(quality.summary(t.rec, t.ast, t.rdb)))(records.tables(s, d)),
+    "a30_findings": lambda s, d: quality.findings(records.tables(s, d).rec),
+    "a31_violations": lambda s, d: (lambda t: quality.violations(t.rec, t.ast, t.rdb))(records.tables(s, d)),
     "a31_counts": _text(quality.COUNTS),
     "a32_counters": _text(quality.COUNTERS),
     "f_text_pairs": _text_pairs,

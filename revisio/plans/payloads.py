@@ -8,7 +8,9 @@ from revisio.sql import frame
 
 #: One row a completed record: <field>_s offered, <field>_p picked, <field>_f final.
 PAY = """
-WITH r AS (SELECT ID AS k, ATTEMPT_TYPE AS mode, a.p_name AS x, b.p_name AS y, c.p_name AS z FROM {rec} JOIN {part} a ON a.p_partkey = ID % 199 + 1 JOIN {part} b ON b.p_partkey = (ID * 7) % 199 + 1 JOIN {part} c ON c.p_partkey = (ID * 3) % 197 + 1 WHERE ATTEMPT_RESULT = 'COMPLETE')
+WITH i AS (SELECT ID, ATTEMPT_TYPE, ID % n AS a, (ID * 7) % n AS b, (ID * 3) % (n - 2) AS c FROM (SELECT ID, ATTEMPT_TYPE, (SELECT count(*) FROM {part}) AS n FROM {rec} WHERE ATTEMPT_RESULT = 'COMPLETE') q),
+p AS (SELECT p_partkey AS k, p_name || ' ' || p_type || ' in size ' || CAST(p_size AS STRING) AS t FROM {part}),
+r AS (SELECT ID AS k, ATTEMPT_TYPE AS mode, x.t AS x, y.t AS y, z.t AS z FROM i JOIN p x ON x.k = i.a JOIN p y ON y.k = i.b JOIN p z ON z.k = i.c)
 SELECT k AS record_id, mode AS attempt_type, @list(x, y, x) AS title_s, CASE WHEN k % 5 > 0 THEN x END AS title_p, CASE k % 4 WHEN 0 THEN x WHEN 1 THEN upper(x) || '!' WHEN 2 THEN y ELSE x || ' extra' END AS title_f,
   CASE WHEN k % 3 > 0 THEN @list(y, ' ') END AS about_s, CASE WHEN k % 3 > 0 AND k % 2 = 0 THEN y END AS about_p, CASE WHEN k % 8 = 0 THEN ' ' WHEN k % 8 < 5 THEN y || ' and ' || x || ' remain. Beautiful possibilities.' END AS about_f,
   @list(z, x) AS purpose_s, CASE WHEN k % 4 < 3 THEN x END AS purpose_p, CASE WHEN k % 7 < 3 THEN x ELSE z || ', ' || x END AS purpose_f,

@@ -1,26 +1,26 @@
 """Audit records and payloads over the test tables, for the engine and for DuckDB."""
 import re
 
-from revisio.operators import appointments, attempts, retries, sources
-from revisio.operators import field_tables, fields, readings
+from revisio.derived import Derived
+from revisio.operators import appointments, attempts, field_tables, fields, retries, sources
 from revisio.plans import payloads
 from revisio.plans.adapters import table
 from revisio.sql import duck, frame
 
 RECORDS = r"""
 WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS st, CAST(round(o_totalprice * 100) AS BIGINT) AS z, o_orderdate AS d, substr(o_orderpriority, 1, 1) AS p FROM {orders}),
-b AS (SELECT *, CASE WHEN p IN ('1', '2', '3') THEN 'AI' ELSE 'MANUAL' END AS mode, c * 5 + k % 5 AS s, (c * 3 + CAST((k - k % 5) / 5 AS BIGINT) % 3) % 211 AS a, @hours(d, k % 4) AS t FROM o),
+b AS (SELECT *, CASE WHEN p IN ('1', '2', '3') THEN 'AI' ELSE 'MANUAL' END AS mode, c * 5 + k % 5 AS s, (c * 3 + CAST((k - k % 5) / 5 AS BIGINT) % 3) % m AS a, @hours(d, k % 4) AS t FROM (SELECT *, (SELECT greatest(211, CAST((count(*) - count(*) % 7) / 7 AS BIGINT)) FROM {customer}) AS m FROM o) o),
 n AS (SELECT *, sum(CASE WHEN st = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY t, k ROWS UNBOUNDED PRECEDING) AS f FROM b),
 r AS (SELECT n.*, c_mktsegment AS seg, n_name, r_name, CASE WHEN st = 'F' AND f = 1 THEN 'COMPLETE' WHEN mode = 'AI' AND st = 'P' THEN 'AI_ERROR' WHEN mode = 'AI' AND k % 17 = 0 THEN 'AI_ERROR_WITHOUT_STACK_TRACE' ELSE 'USER_DROPPED' END AS res
   FROM n JOIN {customer} ON n.c = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey)
 SELECT k AS ID, t AS START_TIME, CASE WHEN res = 'COMPLETE' OR k % 3 > 0 THEN @secs(t, z % 9000) END AS END_TIME, mode AS ATTEMPT_TYPE, res AS ATTEMPT_RESULT, 'STAFF' AS USER_TYPE, 'S' || CAST(s AS STRING) AS STUDY_NUM,
-  CASE WHEN res = 'COMPLETE' THEN @secs(t, z % 9000) END AS CREATED_DATE, CASE WHEN res = 'COMPLETE' THEN a WHEN k % 97 = 0 THEN a + 1000 END AS CREATED_BY_ID, res = 'COMPLETE' AS PUBLISHABLE,
+  CASE WHEN res = 'COMPLETE' THEN @secs(t, z % 9000) END AS CREATED_DATE, CASE WHEN res = 'COMPLETE' THEN a WHEN k % 97 = 0 THEN a + 1000000007 END AS CREATED_BY_ID, res = 'COMPLETE' AS PUBLISHABLE,
   CASE WHEN res = 'COMPLETE' OR k % 11 > 0 THEN n_name END AS STUDY_DEPARTMENT, CASE WHEN k % 13 > 0 THEN r_name END AS STUDY_PARTICIPANT_TYPE, CASE WHEN res = 'COMPLETE' OR k % 19 > 0 THEN a END AS USER_ID,
   'shib:u' || CAST(a AS STRING) AS AUTHOR_USER_NAME, CASE k % 5 WHEN 0 THEN 'PRINCIPAL_INVESTIGATOR' WHEN 1 THEN 'COORDINATOR' WHEN 2 THEN ' ' WHEN 3 THEN 'STAFF' END AS AUTHOR_STUDY_TEAM_ROLE,
   CASE k % 7 WHEN 0 THEN 'PI' WHEN 1 THEN 'Study Staff' WHEN 2 THEN '' END AS AUTHOR_ERESEARCH_ROLE,
   CASE k % 6 WHEN 0 THEN 'Professor:' || n_name || ':Arts' WHEN 1 THEN 'Professor : ' || n_name || ' : Arts~|APPOINTMENT|~Fellow:' || r_name || ':Law' WHEN 2 THEN 'Dean::Law' WHEN 3 THEN 'Fellow:Lab:' || r_name || ':Law, Nurse:Ward:Medicine'
     WHEN 4 THEN ' ' END AS AUTHOR_APPOINTMENTS,
-  CASE WHEN s % 4 > 0 THEN 'shib:u' || CAST((s * 7) % 211 AS STRING) WHEN s % 8 = 0 THEN 'shib:u' || CAST(a AS STRING) END AS PI_USER_NAME, CASE WHEN s % 3 > 0 THEN 'Chair:' || r_name || ':Arts' END AS PI_APPOINTMENTS,
+  CASE WHEN s % 4 > 0 THEN 'shib:u' || CAST((s * 7) % m AS STRING) WHEN s % 8 = 0 THEN 'shib:u' || CAST(a AS STRING) END AS PI_USER_NAME, CASE WHEN s % 3 > 0 THEN 'Chair:' || r_name || ':Arts' END AS PI_APPOINTMENTS,
   CASE WHEN k % 23 > 0 THEN z % 40 END AS PRIOR_CREATED_COUNT, CASE WHEN a % 10 > 0 THEN (a * 13) % 60 END AS TOTAL_CREATED_COUNT, CASE WHEN k % 29 > 0 THEN (a * 7 + k) % 25 END AS MEMBER_OF_OTHER_STUDIES_COUNT,
   CASE WHEN k % 31 > 0 THEN z % 300 END AS LOGIN_DAYS, CASE WHEN k % 8 > 0 THEN @hours(d, -(z % 5000)) END AS MIN_LOGIN_TIME, CASE WHEN k % 9 > 0 THEN @hours(d, z % 700) END AS MAX_LOGIN_TIME,
   CASE WHEN k % 12 > 0 THEN z % 1000000 END AS TIME_SPENT_ON_STUDY_INFO_PAGE_MS, CASE WHEN k % 14 > 0 THEN z % 5000000 END AS TIME_TO_FINISH_ADDING_STUDY_MS, CASE WHEN mode = 'AI' AND k % 15 > 0 THEN z % 60000 END AS LATENCY_MS,
@@ -60,18 +60,22 @@ def query(text, **extra):
     return f"WITH {with_} SELECT * FROM ({body.strip()})" if found else body
 
 
-class Tables:
-    """The derived tables of one run, made when first asked for."""
+BASE = ("orders", "customer", "nation", "region", "part")
+_runs = {}
 
-    def __init__(self, spark, d):
-        self.spark, self.d = spark, d
 
-    def __getattr__(self, name):
-        t = self
-        made = {"rec": lambda: records(t.spark, t.d), "att": lambda: attempts.attempts(t.rec), "stu": lambda: attempts.studies(t.att), "aut": lambda: attempts.authors(t.att),
-                "atx": lambda: attempts.sourced(t.att, t.rec), "stx": lambda: attempts.snapshot(t.stu, t.rec), "fbk": lambda: attempts.feedback(t.rec), "app": lambda: appointments.appointments(t.rec),
-                "gen": lambda: sources.generations(t.rec), "trn": lambda: sources.transitions(t.gen), "pth": lambda: sources.pathways(t.rec, t.gen, t.trn),
-                "ctx": lambda: retries.context(t.att, t.gen, t.trn, t.fbk, CUTOFF, "UTC"), "pay": lambda: payloads.pay(t.spark, t.d, t.rec), "ast": lambda: fields.analysis(payloads.with_payloads(t.rec, t.pay)),
-                "fld": lambda: frame(fields.COMPLETED, rec=t.rec, ast=t.ast), "rdb": lambda: payloads.readings_of(t.pay), "prs": lambda: readings.pairs(t.rdb, t.fld), "sel": lambda: frame(field_tables.SELECTIONS, fld=t.fld)}[name]()
-        setattr(self, name, made)
-        return made
+def tables(spark, d):
+    """The derived tables of a folder of test tables; shared by the queries of a session while its files stay as they are."""
+    jvm, sc = spark._jvm, spark.sparkContext
+
+    def stamp(name):
+        path = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        status = path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path)
+        return status.getModificationTime(), status.getLen()
+
+    key = (sc.applicationId, str(d), *map(stamp, BASE))
+    if key not in _runs:
+        _runs[key] = Derived(spark, {}, CUTOFF, "UTC")
+        t = _runs[key]
+        t.base |= {"rec": lambda: records(spark, d), "pay": lambda: payloads.pay(spark, d, t.rec), "ast": lambda: fields.analysis(payloads.with_payloads(t.rec, t.pay)), "rdb": lambda: payloads.readings_of(t.pay)}
+    return _runs[key]

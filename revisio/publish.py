@@ -6,7 +6,8 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from revisio import report
-from revisio.operators import appointments, attempts, field_tables, fields, quality, readings, retries, sources
+from revisio.derived import Derived
+from revisio.operators import quality
 from revisio.operators.context_tables import CONTEXTS
 from revisio.operators.field_tables import FIELDS
 from revisio.operators.tables import ATTEMPTS
@@ -27,23 +28,6 @@ RECORDS = {"study_attempt_author_history": "att", "study_attempt_history": "stu"
 MANIFEST = "analysis_manifest.json"
 
 
-class Derived:
-    """The derived tables of a loaded report, made when first asked for."""
-
-    def __init__(self, loaded):
-        self.rec, self.ast, self.rdb = (loaded[n] for n in report.TABLES)
-        self.spark, self.meta = self.rec.sparkSession, loaded["metadata"]
-
-    def __getattr__(self, name):
-        t = self
-        made = {"att": lambda: attempts.attempts(t.rec), "stu": lambda: attempts.studies(t.att), "aut": lambda: attempts.authors(t.att), "atx": lambda: attempts.sourced(t.att, t.rec), "stx": lambda: attempts.snapshot(t.stu, t.rec),
-                "fbk": lambda: attempts.feedback(t.rec), "app": lambda: appointments.appointments(t.rec), "gen": lambda: sources.generations(t.rec), "trn": lambda: sources.transitions(t.gen),
-                "pth": lambda: sources.pathways(t.rec, t.gen, t.trn), "ctx": lambda: retries.context(t.att, t.gen, t.trn, t.fbk, report.cutoff(t.meta)), "fld": lambda: frame(fields.COMPLETED, rec=t.rec, ast=t.ast),
-                "prs": lambda: readings.pairs(t.rdb, t.fld), "sel": lambda: frame(field_tables.SELECTIONS, fld=t.fld)}[name]()
-        setattr(self, name, made)
-        return made
-
-
 def _payload(df, order):
     """The rows as one JSON list, keys sorted and nulls kept."""
     rows = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("j"), *order)

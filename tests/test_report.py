@@ -87,7 +87,7 @@ def test_settings_precedence(tmp_path):
 def source(spark, tmp_path_factory):
     """A CSV of some records with payloads."""
     d = "/root/testdata/sf0.001"
-    t = records.Tables(spark, d)
+    t = records.tables(spark, d)
     r = payloads.with_payloads(t.rec, t.pay).withColumn("LLM_METADATA", F.lit(None).cast("string"))
     names = [n for n, _ in report.RECORDS]
     some = r.where("hash(STUDY_NUM) % 12 = 0").select(names)

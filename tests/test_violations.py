@@ -9,7 +9,7 @@ from revisio.sql import frame
 
 @pytest.fixture(scope="module")
 def clean(spark, tmp_path_factory):
-    t, at = records.Tables(spark, "/root/testdata/sf0.001"), tmp_path_factory.mktemp("rules")
+    t, at = records.tables(spark, "/root/testdata/sf0.001"), tmp_path_factory.mktemp("rules")
     out = []
     for n in ("rec", "ast", "rdb"):
         getattr(t, n).write.parquet(str(at / n))
