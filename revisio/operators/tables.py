@@ -3,10 +3,12 @@
 A specification runs on Spark (`frame_of`) and reads as SQL (`sql_of`). Texts name tables as {att} and the like:
 att attempts, stu studies, aut authors, atx and stx the same with grouping columns, app appointments, gen generations,
 trn transitions, pth pathways, ctx retry context, fld completed AI fields, prs readability pairs, rdb readability rows."""
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
+from revisio.shared import written
 from revisio.sql import frame
 from revisio.stats import Labels, described, described_sql, expanded_sql, fixed_rows, fixed_sql, named, union
 
@@ -42,10 +44,11 @@ class Summary:
             return frame(text, **{n: early[n] if n in early else getattr(t, n) for n in _tables(text)})
 
         for n, p in self.pre.items():
-            early[n] = described(table(p.source), list(p.keys), p.metrics, **p.counts)
+            early[n] = written(described(table(p.source), list(p.keys), p.metrics, **p.counts))
         done = []
         for p in self.parts:
-            x = table(p.source)
+            # a plan that is more than a table is read by several aggregates
+            x = table(p.source) if p.source.startswith("SELECT * FROM {") and p.source.count(" ") == 3 else written(table(p.source))
             if p.stacked:
                 x = x.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in p.stacked]))).select("*", "__s.*").drop("__s", *p.stacked)
             done.append(described(x, list(p.keys), p.metrics, Labels(p.names, p.labels) if p.labels else None, **p.counts))
@@ -76,7 +79,6 @@ class Summary:
 
 
 def _tables(text):
-    import re
     return set(re.findall(r"\{(\w+)\}", text))
 
 

@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from revisio.shared import written
+
 QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
 #: Statistics in order, and the words their columns begin with.
 WORDS = {"min": "minimum", "p25": "percentile_25", "median": "median", "mean": "average", "sd": "standard_deviation", "p75": "percentile_75", "p90": "percentile_90", "max": "maximum"}
@@ -34,8 +36,8 @@ class Labels:
 
     def spread(self, df):
         """df once for each label of a row."""
-        rows = F.array(*[F.struct(*[F.expr(e).cast("string").alias(n) for n, e in zip(self.names, r)]) for r in self.rows])
-        return df.withColumn("__l", F.explode(F.filter(rows, lambda r: r[self.names[0]].isNotNull()))).drop(*self.names).select("*", "__l.*").drop("__l")
+        rows = ", ".join("named_struct(" + ", ".join(f"'{n}', CAST({e} AS STRING)" for n, e in zip(self.names, r)) + ")" for r in self.rows)
+        return df.withColumn("__l", F.explode(F.expr(f"filter(array({rows}), r -> r.{self.names[0]} IS NOT NULL)"))).drop(*self.names).select("*", "__l.*").drop("__l")
 
 
 def quantiles(df, metrics, keys, grain, spread):
@@ -43,15 +45,16 @@ def quantiles(df, metrics, keys, grain, spread):
 
     Values are counted at the finest grain and binned by a monotone function of the value. Counts of bins are spread over
     the labels and added up; the ranks looked for are located among their totals. Only values of the bins that hold one are
-    spread and ranked, so no task sees a whole group."""
+    ranked, so no task sees a whole group."""
     long = df.select(*grain, F.explode(F.array(*[F.struct(F.lit(m).alias("__m"), finite(m).alias("__v")) for m in metrics])).alias("__x")).select(*grain, "__x.*").where("__v is not null")
-    c = long.groupBy(*grain, "__m", "__v").agg(F.count("*").alias("__n")).withColumn("__bin", F.signum("__v") * F.floor(F.log1p(F.abs("__v")) * 2048))
+    c = long.groupBy(*grain, "__m", "__v").agg(F.count("*").alias("__n")).withColumn("__bin", F.signum("__v") * F.floor(F.log1p(F.abs("__v")) * 512))
     w = Window.partitionBy("__g", "__m")
     b = spread(c.groupBy(*grain, "__m", "__bin").agg(F.sum("__n").alias("__n"))).groupBy(F.struct(*keys).alias("__g"), "__m", "__bin").agg(F.sum("__n").alias("__n")).withColumn("upto", F.sum("__n").over(w.orderBy("__bin"))).withColumn("total", F.sum("__n").over(w))
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("total") - 1) * p), F.ceil((F.col("total") - 1) * p)) for p in QUANTILES.values()])))
     b = b.withColumn("before", F.col("upto") - F.col("__n")).withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("upto")))).where("size(ranks) > 0")
-    some = spread(c.join(b.select("__m", "__bin").distinct(), ["__m", "__bin"], "left_semi")).groupBy(F.struct(*keys).alias("__g"), "__m", "__bin", "__v").agg(F.sum("__n").alias("__n"))
-    s = some.join(b.select("__g", "__m", "__bin", "before", "total", "ranks"), ["__g", "__m", "__bin"])
+    # written, so that its size is known when the values meet it
+    b = written(b.select("__g", "__m", "__bin", "before", "total", "ranks"))
+    s = spread(c).withColumn("__g", F.struct(*keys)).join(b, ["__g", "__m", "__bin"]).groupBy("__g", "__m", "__bin", "__v").agg(F.sum("__n").alias("__n"), F.first("before").alias("before"), F.first("total").alias("total"), F.first("ranks").alias("ranks"))
     s = s.withColumn("upto", F.col("before") + F.sum("__n").over(Window.partitionBy("__g", "__m", "__bin").orderBy("__v")))
     s = s.select("__g", "__m", "total", "__v", F.explode(F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("__n")) & (r < F.col("upto")))).alias("r"))
     s = s.groupBy("__g", "__m").agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("r", "__v"))).alias("at"))
