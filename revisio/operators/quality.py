@@ -62,13 +62,15 @@ def raw_findings(records):
     return frame(FINDINGS, rec=records, bad=appointments.malformed(records))
 
 
-def findings(records, ordered=False):
-    """One row a warning; ordered as published on request."""
-    out = frame(FINDINGS_OUT, fnd=raw_findings(records))
-    if not ordered:
-        return out
-    first = F.when(F.col("data_quality_check_name") == "ATTEMPT_AFTER_COMPLETION", 0).when(F.col("data_quality_check_name") == "CREATED_BY_ID_VARIES_WITHIN_STUDY", 1).otherwise(2)
-    return out.orderBy(first, "audit_record_id", "finding_source", F.asc_nulls_last("finding_position"), "finding_detail_code")
+def findings(records):
+    """One row a warning."""
+    return frame(FINDINGS_OUT, fnd=raw_findings(records))
+
+
+def findings_order():
+    """By check, record, source, position and code, as findings are published."""
+    names = ("ATTEMPT_AFTER_COMPLETION", "CREATED_BY_ID_VARIES_WITHIN_STUDY", "MALFORMED_APPOINTMENT")
+    return [F.array_position(F.array(*map(F.lit, names)), F.col("data_quality_check_name")), "audit_record_id", "finding_source", F.asc_nulls_last("finding_position"), "finding_detail_code"]
 
 
 def summary(records, assistance, readings):

@@ -1,5 +1,7 @@
 """All tables of an exploration as CSV folders with a manifest, written beside their place and renamed."""
+import itertools
 import json
+import re
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -12,7 +14,6 @@ from revisio.operators.context_tables import CONTEXTS
 from revisio.operators.field_tables import FIELDS
 from revisio.operators.tables import ATTEMPTS
 from revisio.sources import csv
-from revisio.sql import frame
 
 #: Folder of each published table.
 SUMMARIES = {
@@ -39,27 +40,43 @@ def tables(t):
     specs = ATTEMPTS | FIELDS | CONTEXTS
     out = {"quality/data_quality_summary": quality.summary(t.rec, t.ast, t.rdb), "overview/overview_summary": quality.overview(t), **{f: specs[s].frame_of(t) for f, s in SUMMARIES.items()},
            "analysis-audit-records/data_quality_findings": quality.findings(t.rec), **{f"analysis-audit-records/{f}": getattr(t, s) for f, s in RECORDS.items()}}
-    bins = _payload(specs["a10_activity_bins"].frame_of(t), ("metric_name", "author_adoption_group", "bin_sequence")).withColumnRenamed("payload", "author_activity_percentile_bins_json")
+    bins = _payload(specs["a10_activity_bins"].frame_of(t), ("metric_name", "author_adoption_group", "bin_sequence"))
     key = "authors/current_author_experience_summary"
-    out[key] = out[key].join(F.broadcast(bins), F.col("experience_metric_name").isNotNull())
+    out[key] = out[key].withColumn("author_activity_percentile_bins_json", bins.scalar())
     mix, key = specs["a15_offer_composition"].frame_of(t), "fields/compensation_analysis_summary"
     order = ("population_name", "offer_composition_category", "generic_suggestion_count", "specific_suggestion_count", "consistency_category")
     for grain, column in (("OFFER_COMPOSITION", "offer_composition_summary_json"), ("OFFER_COUNT_PAIR", "offer_count_pair_summary_json"), ("WORKFLOW_CONSISTENCY", "workflow_consistency_summary_json")):
-        out[key] = out[key].join(F.broadcast(_payload(mix.where(F.col("summary_grain") == grain), order).withColumnRenamed("payload", column)), F.col("compensation_suggestion_kind").isNotNull())
+        out[key] = out[key].withColumn(column, _payload(mix.where(F.col("summary_grain") == grain), order).scalar())
     return out
 
 
+def _place(column, names):
+    return F.array_position(F.array(*map(F.lit, names)), F.col(column))
+
+
+#: Order of the rows of tables that are not in order of their groups.
+ORDERS = {"quality/data_quality_summary": lambda: [_place("data_quality_check_name", [k[0] for k in quality.CHECKS])], "overview/overview_summary": lambda: [_place("overview_metric_name", [r[2] for r in quality.OVERVIEW])],
+          "overview/study_retry_pathway_summary": lambda: ["pathway_sequence"], "analysis-audit-records/data_quality_findings": quality.findings_order,
+          "analysis-audit-records/study_attempt_author_history": lambda: ["study_num", "attempt_sequence_number"], "analysis-audit-records/completed_ai_field_analysis": lambda: ["audit_record_id", "field_name"],
+          "analysis-audit-records/completed_ai_readability_pairs": lambda: ["audit_record_id", "field_name", "suggestion_kind", "suggestion_index", "readability_measure_name"]}
+MEASURED = re.compile(r"(^|_)(count|percentage|rate|minutes|maximum|minimum|median|average)(_|$)")
+
+
+def order(name, df):
+    """Sort expressions of a published table: its own, or its groups, which are the columns before the first number; nulls last."""
+    if name in ORDERS:
+        return ORDERS[name]()
+    return [F.asc_nulls_last(c) for c in itertools.takewhile(lambda c: not MEASURED.search(c), df.columns)]
+
+
 def publish(spark, source, path):
-    """Checks a report, derives and writes all its tables and the manifest; returns the manifest."""
+    """Checks a report, derives and writes all its tables and the manifest; returns the manifest. The report's files are parsed once, and each derived table is made once."""
     loaded = report.load(spark, source)
-    t = Derived(loaded)
+    t = Derived(spark, {n: (lambda f: lambda: f)(loaded[f]) for n, f in zip(("rec", "ast", "rdb"), report.TABLES)}, report.cutoff(loaded["metadata"]))
     counts = quality.check(t.rec, t.ast, t.rdb)
 
     def work(folder):
-        rows = {}
-        for name, df in tables(t).items():
-            csv.write(df, f"{folder}/{name}")
-            rows[name] = csv_rows(spark, f"{folder}/{name}", df.columns)
+        rows = {name: csv.write(df, f"{folder}/{name}", order=order(name, df)) for name, df in tables(t).items()}
         warned = quality.raw_findings(t.rec).groupBy("name").agg(F.countDistinct("ID").alias("n")).agg(F.sum("n")).first()[0] or 0
         manifest = {"generated_at_utc": datetime.now(timezone.utc).isoformat(), "source_report_directory": str(source), "source_counts": counts, "row_counts": rows, "warning_attempt_count": warned, "output_count": len(rows) + 1}
         report.put_json(folder / MANIFEST, manifest)
@@ -68,10 +85,6 @@ def publish(spark, source, path):
     return report.staged(path, work)
 
 
-def csv_rows(spark, path, columns):
-    return csv.texts(spark, f"{path}/*.csv", [(c, "string", True) for c in columns], nulls=("\\N",)).count()
-
-
 def quality_rows(spark, path):
     """The published checks, held against the manifest."""
     manifest = json.loads(Path(f"{path}/{MANIFEST}").read_text("utf-8"))

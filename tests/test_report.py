@@ -1,4 +1,5 @@
 """Sources, the report and its publication, settings and the command line."""
+import csv as plain
 import io
 import json
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revisio import cli, config, publish, report
+from revisio.operators import quality
 from revisio.plans import payloads, records
 from revisio.sources import csv, jdbc, schema
 
@@ -108,6 +110,11 @@ def test_report_to_publication(spark, source):
     m = json.loads((source / "exp" / publish.MANIFEST).read_text())
     assert m["output_count"] == 33 and m["row_counts"]["overview/overview_summary"] == 31 and m["row_counts"]["analysis-audit-records/study_attempt_author_history"] == n
     assert not list(source.glob(".exp*"))
+    # parts one after another are in the published order
+    lines = [r for f in sorted((source / "exp/analysis-audit-records/study_attempt_author_history").glob("part-*.csv")) for r in list(plain.reader(open(f, newline="")))[1:]]
+    assert len(lines) == n and [(r[0], int(r[1])) for r in lines] == sorted((r[0], int(r[1])) for r in lines)
+    checks = [r for f in sorted((source / "exp/quality/data_quality_summary").glob("part-*.csv")) for r in list(plain.reader(open(f, newline="")))[1:]]
+    assert [r[0] for r in checks] == [k[0] for k in quality.CHECKS]
     assert cli.main(["summarize-quality", "--input", str(source / "exp"), "--fail-on-warning"], spark, out) == (3 if m["warning_attempt_count"] else 0)
     assert "Fatal checks passed: 13 of 13" in out.getvalue()
     bins = csv.texts(spark, str(source / "exp/authors/current_author_experience_summary/*.csv"), [(c, "string", True) for c in spark.read.option("header", True).csv(str(source / "exp/authors/current_author_experience_summary")).columns], nulls=("\\N",)).first()
@@ -119,9 +126,21 @@ def test_report_to_publication(spark, source):
             report.metadata(source / "m.json")
 
 
+def test_source_is_read_once(spark, source, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    x = report.load(spark, source / "rep")["records"].cache()
+    counts = report.write(x.mapInArrow(told, x.schema), tmp_path / "once")
+    assert reads.value == x.count() == counts["source_row_count"] and counts["ai_assistance_row_count"] == 12 * counts["analyzed_row_count"] > 0
+
+
 def test_rules_stop_a_report(spark, source):
     x = report.load(spark, source / "rep")
-    from revisio.operators import quality
     tables = [x[n] for n in report.TABLES]
     with pytest.raises(ValueError, match="completed_twice|repeated_ids"):
         quality.check(tables[0].union(tables[0]), *tables[1:])
