@@ -56,30 +56,30 @@ SELECT study_num, {_FIRST.format('study_created_by_user_id')} AS study_created_b
   {_DONE.format('total_attempt_duration_minutes')} AS completed_attempt_total_duration_minutes, coalesce(bool_or(attempt_start_timestamp > done_start), false) AS has_attempt_after_completion
 FROM x GROUP BY study_num"""
 
-_LAST = "max_by({0}, CASE WHEN {0} IS NOT NULL THEN nth END)"
-_AT = "max(CASE WHEN nth = {1} THEN {0} END)"
-_DISTINCT = "count(DISTINCT CASE WHEN {0} THEN study_num END)"
+_LAST = "max_by({0}, CASE WHEN {0} IS NOT NULL THEN k END)"
+_KEPT = ("total_studies_created_as_of_report_query_count", "other_study_memberships_as_of_report_query_count", "distinct_login_days_as_of_report_query_count", "first_login_timestamp_as_of_report_query", "latest_login_timestamp_as_of_report_query",
+         "login_history_span_days_as_of_report_query")
+_STUDIES = {"distinct_study_count_with_any_attempt": "true", "distinct_completed_study_count_authored": "done", "distinct_study_count_eventually_created": "created", "distinct_study_count_with_any_ai_attempt": "ai", "distinct_study_count_with_any_manual_attempt": "manual",
+            "distinct_study_count_with_both_modes": "ai AND manual"}
+#: First and latest values and distinct studies come from aggregates that combine before the shuffle: an author's attempts are never in one task.
 AUTHORS = f"""
-WITH x AS (SELECT *, row_number() OVER (PARTITION BY attempt_author_user_name ORDER BY attempt_start_timestamp NULLS LAST, audit_record_id) AS nth,
-  count(*) OVER (PARTITION BY attempt_author_user_name) AS n FROM {{att}})
-SELECT attempt_author_user_name AS author_user_name, {_LAST.format('attempt_author_user_id')} AS author_user_id,
+WITH x AS (SELECT *, @order(attempt_start_timestamp, audit_record_id) AS k FROM {{att}}),
+s AS (SELECT attempt_author_user_name AS who, study_num, bool_or(is_completed_attempt) AS done, bool_or(completion_author_user_name IS NOT NULL) AS created, bool_or(attempt_authoring_mode = 'AI') AS ai, bool_or(attempt_authoring_mode = 'MANUAL') AS manual
+  FROM {{att}} WHERE study_num IS NOT NULL GROUP BY attempt_author_user_name, study_num),
+c AS (SELECT who, {', '.join(f'count(CASE WHEN {e} THEN 1 END) AS {n}' for n, e in _STUDIES.items())} FROM s GROUP BY who),
+a AS (SELECT attempt_author_user_name AS author_user_name, {_LAST.format('attempt_author_user_id')} AS author_user_id,
   CASE WHEN bool_or(attempt_authoring_mode = 'AI') AND bool_or(attempt_authoring_mode = 'MANUAL') THEN 'BOTH_AI_AND_MANUAL' WHEN bool_or(attempt_authoring_mode = 'AI') THEN 'AI_ONLY' ELSE 'MANUAL_ONLY' END AS author_adoption_group,
-  {_AT.format('audit_record_id', 1)} AS first_observed_audit_record_id, {_AT.format('audit_record_id', 'n')} AS latest_observed_audit_record_id,
-  {_AT.format('attempt_start_timestamp', 1)} AS first_attempt_start_timestamp, {_AT.format('attempt_start_timestamp', 'n')} AS latest_attempt_start_timestamp,
-  {_AT.format('effective_attempt_author_role', 'n')} AS effective_author_role_at_latest_attempt, bool_or(attempt_author_is_study_pi) AS author_is_pi_on_any_attempt,
-  {_AT.format('author_appointments_raw', 'n')} AS author_appointments_at_latest_attempt,
-  {', '.join(_LAST.format(c) + ' AS ' + c for c in ('total_studies_created_as_of_report_query_count', 'other_study_memberships_as_of_report_query_count', 'distinct_login_days_as_of_report_query_count',
-     'first_login_timestamp_as_of_report_query', 'latest_login_timestamp_as_of_report_query', 'login_history_span_days_as_of_report_query'))},
-  count(DISTINCT study_num) AS distinct_study_count_with_any_attempt, {_DISTINCT.format('is_completed_attempt')} AS distinct_completed_study_count_authored,
-  {_DISTINCT.format('completion_author_user_name IS NOT NULL')} AS distinct_study_count_eventually_created, {_DISTINCT.format("attempt_authoring_mode = 'AI'")} AS distinct_study_count_with_any_ai_attempt,
-  {_DISTINCT.format("attempt_authoring_mode = 'MANUAL'")} AS distinct_study_count_with_any_manual_attempt,
-  {_DISTINCT.format("attempt_authoring_mode = 'AI'")} + {_DISTINCT.format("attempt_authoring_mode = 'MANUAL'")} - {_DISTINCT.format("attempt_authoring_mode IN ('AI', 'MANUAL')")} AS distinct_study_count_with_both_modes,
-  count(CASE WHEN is_completed_attempt AND attempt_authoring_mode = 'AI' THEN 1 END) AS completed_ai_study_count_authored,
+  @first(audit_record_id, k) AS first_observed_audit_record_id, @last(audit_record_id, k) AS latest_observed_audit_record_id, @first(attempt_start_timestamp, k) AS first_attempt_start_timestamp, @last(attempt_start_timestamp, k) AS latest_attempt_start_timestamp,
+  @last(effective_attempt_author_role, k) AS effective_author_role_at_latest_attempt, bool_or(attempt_author_is_study_pi) AS author_is_pi_on_any_attempt, @last(author_appointments_raw, k) AS author_appointments_at_latest_attempt,
+  {', '.join(_LAST.format(c) + ' AS ' + c for c in _KEPT)}, count(CASE WHEN is_completed_attempt AND attempt_authoring_mode = 'AI' THEN 1 END) AS completed_ai_study_count_authored,
   count(CASE WHEN is_completed_attempt AND attempt_authoring_mode = 'MANUAL' THEN 1 END) AS completed_manual_study_count_authored, count(*) AS all_attempt_count,
   count(CASE WHEN attempt_authoring_mode = 'AI' THEN 1 END) AS ai_attempt_count, count(CASE WHEN attempt_authoring_mode = 'MANUAL' THEN 1 END) AS manual_attempt_count,
   count(CASE WHEN attempt_result = 'AI_ERROR' THEN 1 END) AS ai_error_attempt_count, count(CASE WHEN attempt_result = 'AI_ERROR_WITHOUT_STACK_TRACE' THEN 1 END) AS ai_error_without_stack_trace_attempt_count,
-  count(CASE WHEN attempt_result = 'USER_DROPPED' THEN 1 END) AS user_dropped_attempt_count
-FROM x GROUP BY attempt_author_user_name"""
+  count(CASE WHEN attempt_result = 'USER_DROPPED' THEN 1 END) AS user_dropped_attempt_count FROM x GROUP BY attempt_author_user_name)
+SELECT author_user_name, author_user_id, author_adoption_group, first_observed_audit_record_id, latest_observed_audit_record_id, first_attempt_start_timestamp, latest_attempt_start_timestamp, effective_author_role_at_latest_attempt,
+  author_is_pi_on_any_attempt, author_appointments_at_latest_attempt, {', '.join(_KEPT)}, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _STUDIES)}, completed_ai_study_count_authored, completed_manual_study_count_authored, all_attempt_count,
+  ai_attempt_count, manual_attempt_count, ai_error_attempt_count, ai_error_without_stack_trace_attempt_count, user_dropped_attempt_count
+FROM a LEFT JOIN c ON coalesce(a.author_user_name, '') = coalesce(c.who, '') AND (a.author_user_name IS NULL) = (c.who IS NULL)"""
 
 #: Columns of the records that groupings of attempts and studies add.
 SOURCED = "SELECT a.*, r.SOURCE_TYPE AS source_type, r.STUDY_CONTENT_SOURCE AS study_content_source FROM {att} a LEFT JOIN {rec} r ON a.audit_record_id = r.ID"

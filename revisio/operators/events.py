@@ -2,16 +2,19 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from revisio.scan import Segments, numbered
+
 
 def by_user():
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def islands(events, gap_seconds):
-    """Runs of a user's events no more than a gap apart."""
-    late = F.col("ts") > F.lag("ts").over(by_user()) + F.make_dt_interval(secs=F.lit(gap_seconds))
-    e = events.withColumn("new", F.coalesce(late, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by_user().rowsBetween(Window.unboundedPreceding, 0)))
-    return e.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    """Runs of a user's events no more than a gap apart; a user's events may lie on many partitions."""
+    s = Segments(events.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
+    late = F.col("ts") > F.col("before") + F.make_dt_interval(secs=F.lit(gap_seconds))
+    e = s.previous(s.rows, before="ts").withColumn("new", F.coalesce(late, F.lit(True)).cast("long"))
+    return s.total(e, island="new").groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
 def next_first(events):
@@ -64,6 +67,13 @@ def listed(events, sep):
     return events.groupBy("user_id").agg(F.concat_ws(sep, F.array_sort(F.collect_set("event_type"))).alias("types"))
 
 
+def listed_in_order(events, sep, block=4096):
+    """Each user's types by time, repeats kept, as one string: blocks of numbered rows are joined first, so that no task holds the rows of a user."""
+    n = numbered(events.select("user_id", "event_type", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
+    b = n.groupBy("user_id", F.floor((F.col("nth") - 1) / block).alias("b")).agg(F.count("event_type").alias("n"), F.expr(f"listagg(event_type, '{sep}') WITHIN GROUP (ORDER BY nth)").alias("t"))
+    return b.groupBy("user_id").agg(F.sum("n").alias("n"), F.expr(f"listagg(t, '{sep}') WITHIN GROUP (ORDER BY b)").alias("types"))
+
+
 def within(facts, spans):
     """Facts (key, at) in spans (key, lo, hi), both ends included: an equi-join with a range residual."""
     return facts.alias("f").join(spans.alias("s"), (F.col("f.key") == F.col("s.key")) & F.col("f.at").between(F.col("s.lo"), F.col("s.hi")))

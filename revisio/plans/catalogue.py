@@ -150,6 +150,7 @@ QUERIES = {
     "s1_login_days": lambda s, d: events.login_days(_ev(s, d)),
     "s2_keep_ends": lambda s, d: told(events.keep_ends(_ev(s, d))),
     "s3_listed": lambda s, d: events.listed(_ev(s, d), "; "),
+    "s3_listed_in_order": lambda s, d: events.listed_in_order(_ev(s, d), "; "),
     "s4_participants": lambda s, d: events.participant(table(s, d, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R", F.col("l_returnflag") == "A"),
     "s5_cond_dates": lambda s, d: events.dates(adapters.attempts(s, d)),
     "j_counts_before": lambda s, d: events.before_completion(adapters.attempts(s, d)),
@@ -187,6 +188,7 @@ SELECT user_id, event_type, first_id, lead(first_id) OVER (PARTITION BY user_id
     "s1_login_days": "SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS days, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id",
     "s2_keep_ends": told_sql("SELECT user_id, " + ", ".join(f"{f}({c}, (ts, event_id)) AS {n}_{c}" for n, f in (("first", "arg_min"), ("last", "arg_max")) for c in ("event_id", "event_type", "value", "props", "ts")) + " FROM events GROUP BY user_id"),
     "s3_listed": "SELECT user_id, string_agg(DISTINCT event_type, '; ' ORDER BY event_type) AS types FROM events GROUP BY user_id",
+    "s3_listed_in_order": "SELECT user_id, count(event_type) AS n, string_agg(event_type, '; ' ORDER BY ts, event_id) AS types FROM events GROUP BY user_id",
     "s4_participants": "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A') THEN 'Both' WHEN bool_or(l_returnflag = 'R') THEN 'HEALTHY' WHEN bool_or(l_returnflag = 'A') THEN 'CONDITION' END AS participant_type FROM lineitem GROUP BY l_orderkey",
     "s5_cond_dates": f"""{SEQ} SELECT study, CAST(min(start) FILTER (result = 'COMPLETE') AS VARCHAR) AS first_complete, CAST(max(start) FILTER (result = 'COMPLETE') AS VARCHAR) AS last_complete,
  CAST(min(start) FILTER (result = 'USER_DROPPED') AS VARCHAR) AS first_dropped, CAST(max(start) FILTER (result = 'USER_DROPPED') AS VARCHAR) AS last_dropped FROM att GROUP BY study""",

@@ -25,7 +25,7 @@ SELECT k AS ID, t AS START_TIME, CASE WHEN res = 'COMPLETE' OR k % 3 > 0 THEN @s
   CASE WHEN k % 31 > 0 THEN z % 300 END AS LOGIN_DAYS, CASE WHEN k % 8 > 0 THEN @hours(d, -(z % 5000)) END AS MIN_LOGIN_TIME, CASE WHEN k % 9 > 0 THEN @hours(d, z % 700) END AS MAX_LOGIN_TIME,
   CASE WHEN k % 12 > 0 THEN z % 1000000 END AS TIME_SPENT_ON_STUDY_INFO_PAGE_MS, CASE WHEN k % 14 > 0 THEN z % 5000000 END AS TIME_TO_FINISH_ADDING_STUDY_MS, CASE WHEN mode = 'AI' AND k % 15 > 0 THEN z % 60000 END AS LATENCY_MS,
   CASE WHEN mode = 'AI' AND k % 16 > 0 THEN (z % 50) * 100 END AS SOURCE_SIZE_CHARS, CASE WHEN mode = 'AI' THEN CASE k % 4 WHEN 0 THEN 'FILE' WHEN 1 THEN 'TEXT' WHEN 2 THEN ' file ' END END AS SOURCE_TYPE,
-  CASE WHEN k % 10 = 0 THEN 'Other' WHEN k % 10 < 9 THEN seg END AS STUDY_CONTENT_SOURCE,
+  CASE k % 10 WHEN 0 THEN 'Other' WHEN 1 THEN 'ΟΔΟΣ' WHEN 3 THEN 'Straße' WHEN 6 THEN 'οδος' WHEN 8 THEN 'STRASSE' WHEN 9 THEN NULL ELSE seg END AS STUDY_CONTENT_SOURCE,
   CASE WHEN mode = 'AI' THEN CASE WHEN k % 10 = 0 AND k % 3 > 0 THEN ' OTHER' WHEN k % 5 = 1 THEN 'AUTOMOBILE' WHEN k % 5 = 2 THEN lower(seg) || ' ' WHEN k % 5 = 3 THEN '' ELSE seg END END AS LLM_INFERRED_STUDY_CONTENT_SOURCE,
   CASE WHEN k % 20 = 0 THEN 'Detail ' || CAST(k % 3 AS STRING) WHEN k % 30 = 0 THEN ' ' END AS STUDY_CONTENT_SOURCE_OTHER_VALUE,
   CASE WHEN mode = 'AI' AND k % 20 = 0 THEN 'detail ' || CAST(k % 2 AS STRING) END AS LLM_INFERRED_STUDY_CONTENT_SOURCE_OTHER_VALUE, CASE WHEN mode = 'AI' THEN CASE k % 18 WHEN 0 THEN 'good' WHEN 5 THEN ' ' END END AS USER_FEEDBACK_COMMENTS
