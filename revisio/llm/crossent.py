@@ -142,7 +142,7 @@ def score(docs, labels, size=SIZE):
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d, chunks = packed.chunked(d, size)
     m = marks(labels)
-    d = d.join(F.broadcast(m) if m.count() <= BROADCAST else m, "doc_id", "left").select("doc_id", "text", F.coalesce("marked", F.lit(False)).alias("marked"), "chunk").repartition(min(chunks, packed.PARTS), "chunk")
+    d = d.join(F.broadcast(m) if m.count() <= BROADCAST else m, "doc_id", "left").select("doc_id", "text", F.coalesce("marked", F.lit(False)).alias("marked"), "chunk").repartition(packed.parts(chunks), "chunk")
     sent = d.groupBy("chunk").applyInArrow(_counted(chunks), "chunk int, bucket int, data binary")
     answers = sent.groupBy("bucket").applyInArrow(_summed, "chunk int, bucket int, contexts long, data binary")
     words = answers.agg(F.sum("contexts").alias("contexts")).select(

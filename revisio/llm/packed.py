@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, about.
 CHUNK = 6 << 20
-#: Texts are dealt into so many partitions at most, each of some chunks.
-PARTS = 8192
+#: Up to so many chunks have a partition each; beyond, a partition has PER of them at most, so it stays as large at any size.
+PARTS, PER = 8192, 64
 #: Bytes hashed at once.
 BLOCK = 1 << 18
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -57,6 +57,11 @@ def chunked(docs, size=CHUNK):
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
 
 
+def parts(n):
+    """Partitions for n chunks."""
+    return min(n, max(PARTS, -(-n // PER)))
+
+
 def pack(*cols):
     """Arrays of one length, each in as few bytes a value as its largest needs."""
     out = [np.array([len(cols[0])], np.uint32).tobytes()]

@@ -322,7 +322,7 @@ def removed(docs, size=packed.CHUNK, hot=HOT):
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row. One exchange of the texts serves all rounds."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d, n = packed.chunked(d, size)
-    d = d.repartition(min(n, packed.PARTS), "chunk")
+    d = d.repartition(packed.parts(n), "chunk")
     sent = d.groupBy("chunk").applyInArrow(_grams(n), ROWS)
     for work, answer in ((_runs(n), shared), (_pieces(n), judged(hot))):
         answers = sent.groupBy("bucket").applyInArrow(_passed(answer), ROWS)

@@ -32,14 +32,17 @@ from revisio.llm import graph
 WIDTH, COMMON, DEPTH, SALTS = 4, 5, 100, 32
 #: Wrappers of at most so many bytes in all are sent to every task.
 SENT = 32 << 20
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object canvas select".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object canvas select".split())
 AWAY = RAW | frozenset("head nav header footer aside form button dialog menu fieldset".split())
 CLOSED_BY_BLOCK = frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6"])
 AWAY_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
 dropdown footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion
 related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo alert""".split())
+#: Beside one of these, a word above tells of what an article says or shows, as in related-work or banner-image-caption.
+CONTENT_WORDS = frozenset("caption captions figure image images photo picture work works result results study studies research theorem section text".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -50,7 +53,7 @@ def _named(tag, tokens):
     if tag in ("html", "body", "main", "article"):
         return 0
     fine = {"header"} if any(not {"article", "entry", "post", "story"}.isdisjoint(t) for t in tokens) else set()
-    return max((0 if not AWAY_WORDS.intersection(t) - fine else 2 if AWAY_WORDS.issuperset(t) else 1 for t in tokens), default=0)
+    return max((0 if not AWAY_WORDS.intersection(t) - fine or not CONTENT_WORDS.isdisjoint(t) else 2 if AWAY_WORDS.issuperset(t) else 1 for t in tokens), default=0)
 
 
 class Block:

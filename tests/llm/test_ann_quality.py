@@ -34,3 +34,10 @@ def test_quality_on_odd_rows(spark):
     assert plan.count("regexp_count") + plan.count("regexp_extract_all") <= 8  # each text is counted once, below the filter
     assert quality.quality(docs, labels.limit(0)).count() == 124
     assert quality.quality(docs.limit(0), labels).count() == 0
+
+
+def test_held_out_labels_are_met(spark):
+    d = "/root/testdata/sf0.01"
+    got = quality.quality(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    right = got.where("held_out").join(spark.read.parquet(f"{d}/labels.parquet").where("quality IS NOT NULL"), "doc_id").selectExpr("avg(CAST(predicted = quality AS DOUBLE)) AS right", "count(*) AS n").first()
+    assert right.n > 40 and right.right > 0.9

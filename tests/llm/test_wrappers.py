@@ -62,3 +62,8 @@ def test_classes_around_an_article(spark):
     rows += [(7, "http://l7/", "<div class=has-sidebar><p>No article</p><div class=sidebar>Side</div></div>"), (8, "http://l8/", "<div class=post-comments><article>First!</article></div><article>Text</article>"),
              (9, "http://l9/", "<p>Text</p><div class=comments><article>First!</article></div>"), (10, "http://l10/", "<footer><article>x</article></footer>")]
     assert by(spark, rows) == sorted([(k, "Text") for k in (*range(5), 8, 9)] + [(7, "No article"), (10, "")], key=str)
+
+
+def test_content_words_and_formulas_stay(spark):
+    body = "<article><h1>T</h1><section class='related-work'><p>Others did</p></section><figure><img src=a><p class='banner-image-caption'>A flag</p></figure><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<div class='related-posts'>More</div></article>"
+    assert by(spark, [(1, "http://h/1", page(body))]) == [(1, "T\nOthers did\nA flag\nWhere x=2 holds")]
