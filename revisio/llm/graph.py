@@ -10,6 +10,11 @@ def cut(df, spark):
     return df.checkpoint()
 
 
+def aside(docs, *own):
+    """docs with the columns other than `own` renamed, so that no working column clashes with them; toDF(*docs.columns) gives the names back."""
+    return docs.toDF(*[c if c in own else f"other_{i}" for i, c in enumerate(docs.columns)])
+
+
 def components(links, spark):
     """h, root for the ends of links h1, h2: alternating stars until nothing changes.
 

@@ -7,6 +7,8 @@ text are ignored.
 """
 from pyspark.sql import Window as W, functions as F
 
+from revisio.llm.graph import aside
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,8 +49,9 @@ def mix(docs):
 
 def emit(docs):
     """Every document as often as the mix takes it, with all its columns."""
-    r = rated(docs).where("__copies > 0")
-    return r.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    d = aside(docs, "doc_id", "source", "text")
+    r = rated(d).where("__copies > 0")
+    return r.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(d.columns).toDF(*docs.columns)
 
 
 SQL = r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS h FROM documents),

@@ -10,6 +10,8 @@ learnt from. Without rows of both marks every worth is 0. Other columns are igno
 import numpy as np
 from pyspark.sql import functions as F
 
+from revisio.llm.graph import aside
+
 CUT = 0.3
 #: At most about so many labelled rows are learnt from, picked by a hash of doc_id.
 SAMPLE = 20000
@@ -81,7 +83,8 @@ def score(docs, labels, sample=SAMPLE):
 
 def kept(docs, labels, sample=SAMPLE):
     """The rows scored at or above the cut."""
-    return score(docs, labels, sample).where((F.col("__score") >= CUT) & (F.col("__row") >= 0)).select(docs.columns)
+    d = aside(docs, "doc_id", "text")
+    return score(d, labels, sample).where((F.col("__score") >= CUT) & (F.col("__row") >= 0)).select(d.columns).toDF(*docs.columns)
 
 
 def quality(docs, labels):
