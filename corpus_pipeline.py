@@ -1,7 +1,9 @@
 """Clean the documents table for training: five stages, each written and read again.
 
-Stages take and return the columns of documents; the last repeats documents as the mix takes
-them. A document with a null text has an empty one wherever it is judged."""
+Stages take and return the columns of documents, and any others, whatever their names; the last repeats
+documents as the mix takes them. A document with a null text has an empty one wherever it is judged, and one
+with a null doc_id is never taken for a copy. Repeated rows are judged alike; of rows equal in id and text one
+stays. An empty table gives an empty one at each stage."""
 import uuid
 
 from pyspark.sql import functions as F
