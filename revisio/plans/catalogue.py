@@ -111,12 +111,17 @@ def _ev(spark, d):
 
 
 _SEMI = "SELECT o_orderstatus, count(*) AS n FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} WHERE l_returnflag = 'R' UNION SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P') AND o_orderpriority NOT IN ('5-LOW') GROUP BY o_orderstatus"
-_CHAIN = """SELECT r_name, n_name, s_name, count(*) AS n, count(o_orderkey) AS ordered, count(l_orderkey) AS lines, count(p_partkey) AS parts, count(x_name) AS named FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey LEFT JOIN {region} ON n_regionkey = r_regionkey
+_CHAIN = """SELECT r_name, n_name, s_name, count(*) AS n, count(o_orderkey) AS ordered, count(l_orderkey) AS lines, count(p_partkey) AS parts, count(x_name) AS named, count(y_name) AS placed, count(l2_part) AS seconds, count(p2_name) AS second_parts, count(last_event) AS seen FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey LEFT JOIN {region} ON n_regionkey = r_regionkey
   LEFT JOIN {orders} ON o_custkey = c_custkey AND o_orderstatus = 'F' LEFT JOIN {lineitem} ON l_orderkey = o_orderkey AND l_linenumber = 1 LEFT JOIN {part} ON p_partkey = l_partkey LEFT JOIN {supplier} ON s_suppkey = l_suppkey AND s_suppkey <= 3
-  LEFT JOIN (SELECT n_nationkey AS x_key, n_name AS x_name FROM {nation}) x ON x_key = s_nationkey GROUP BY r_name, n_name, s_name"""
+  LEFT JOIN (SELECT n_nationkey AS x_key, n_name AS x_name, n_regionkey AS x_region FROM {nation}) x ON x_key = s_nationkey LEFT JOIN (SELECT r_regionkey AS y_key, r_name AS y_name FROM {region}) y ON y_key = x_region
+  LEFT JOIN (SELECT l_orderkey AS l2_key, l_partkey AS l2_part FROM {lineitem} WHERE l_linenumber = 2) l2 ON l2_key = o_orderkey LEFT JOIN (SELECT p_partkey AS p2_key, p_name AS p2_name FROM {part}) p2 ON p2_key = l2_part
+  LEFT JOIN (SELECT user_id, max(event_id) AS last_event FROM {events} GROUP BY user_id) e ON e.user_id = c_custkey GROUP BY r_name, n_name, s_name"""
 _KEYED = "SELECT n_name, count(*) AS n, count(DISTINCT AUTHOR_USER_NAME) AS authors FROM {rec} JOIN {customer} ON 'shib:u' || CAST(c_custkey AS STRING) = AUTHOR_USER_NAME JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name"
 _COMMA = "SELECT n_name, count(DISTINCT o_custkey) AS customers, CAST(max(o_orderdate) AS STRING) AS latest FROM {orders} o, {customer} c, {nation} n WHERE o.o_custkey = c.c_custkey AND c.c_nationkey = n.n_nationkey AND instr(c_name, '1') > 0 GROUP BY n_name"
-_BASE = ("orders", "customer", "nation", "region", "part", "supplier", "lineitem")
+#: Scalars of the source's dialect: DECODE, NVL, EXTRACT from an interval, TO_CHAR, INSTR, TRUNC.
+_SCALARS = """SELECT o_orderkey, decode(o_orderstatus, 'F', 'final', 'P', 'partial', 'open') AS state, nvl(nullif(o_orderpriority, '5-LOW'), 'none') AS priority, CAST(extract(DAY FROM (o_orderdate - TIMESTAMP_NTZ '1992-01-01 06:00:00')) AS BIGINT) AS days,
+  to_char(o_orderdate, 'MM/dd/yyyy HH:mm') AS said, instr(o_orderpriority, '-') AS dash, CAST(trunc(o_orderdate, 'MM') AS STRING) AS month FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority, CAST(o_orderdate AS TIMESTAMP_NTZ) AS o_orderdate FROM {orders}) o"""
+_BASE = ("orders", "customer", "nation", "region", "part", "supplier", "lineitem", "events")
 
 
 def _text(sql):
@@ -153,6 +158,7 @@ QUERIES = {
     "s3_listed_in_order": lambda s, d: events.listed_in_order(_ev(s, d), "; "),
     "s4_participants": lambda s, d: events.participant(table(s, d, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R", F.col("l_returnflag") == "A"),
     "s5_cond_dates": lambda s, d: events.dates(adapters.attempts(s, d)),
+    "f_scalars": _text(_SCALARS),
     "j_counts_before": lambda s, d: events.before_completion(adapters.attempts(s, d)),
     "j_range_join": _in_spans,
     "j_semi_union": _text(_SEMI),
@@ -192,6 +198,8 @@ SELECT user_id, event_type, first_id, lead(first_id) OVER (PARTITION BY user_id
     "s4_participants": "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A') THEN 'Both' WHEN bool_or(l_returnflag = 'R') THEN 'HEALTHY' WHEN bool_or(l_returnflag = 'A') THEN 'CONDITION' END AS participant_type FROM lineitem GROUP BY l_orderkey",
     "s5_cond_dates": f"""{SEQ} SELECT study, CAST(min(start) FILTER (result = 'COMPLETE') AS VARCHAR) AS first_complete, CAST(max(start) FILTER (result = 'COMPLETE') AS VARCHAR) AS last_complete,
  CAST(min(start) FILTER (result = 'USER_DROPPED') AS VARCHAR) AS first_dropped, CAST(max(start) FILTER (result = 'USER_DROPPED') AS VARCHAR) AS last_dropped FROM att GROUP BY study""",
+    "f_scalars": """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'P' THEN 'partial' ELSE 'open' END AS state, coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END, 'none') AS priority,
+ CAST(trunc((epoch(o_orderdate) - epoch(TIMESTAMP '1992-01-01 06:00:00')) / 86400) AS BIGINT) AS days, strftime(o_orderdate, '%m/%d/%Y %H:%M') AS said, strpos(o_orderpriority, '-') AS dash, strftime(o_orderdate, '%Y-%m-01') AS month FROM orders""",
     "j_counts_before": f"""{SEQ} SELECT id, study, (SELECT count(*) FROM att b WHERE b.study = a.study AND (b.start, b.id) < (a.start, a.id)) AS n_before,
  (SELECT count(*) FROM att b WHERE b.study = a.study AND b.mode = 'AI' AND (b.start, b.id) < (a.start, a.id)) AS ai_before,
  (SELECT arg_max(b.id, (b.start, b.id)) FROM att b WHERE b.study = a.study AND b.result = 'AI_ERROR' AND (b.start, b.id) < (a.start, a.id)) AS last_error FROM att a WHERE result = 'COMPLETE'""",
