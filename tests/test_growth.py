@@ -16,6 +16,11 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_are_extracted_once(spark):
+    d = spark.createDataFrame([("A text.",)], "t string").select(readability.measures(F.col("t")).alias("m"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower(") == 1
+
+
 def test_word_distances_are_kept():
     postedit.word_cost.cache_clear()
     for _ in range(3):
