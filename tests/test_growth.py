@@ -16,6 +16,19 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["ast", "fld", "prs", "pay"])
+def test_tables_that_grow_are_not_broadcast(spark, name):
+    assert "BroadcastHashJoin" not in plan(records.tables(spark, SMALL).made(name))
+
+
+def test_usual_payloads_are_checked_by_their_type_as_a_whole(spark):
+    d = spark.createDataFrame([PAYLOAD], "s string, p string, f string").select(*[F.schema_of_variant(F.parse_json(c)) for c in "spf"]).first()
+    assert all(spark.range(1).select(F.lit(t).rlike(fields._USUAL[c != 2])).first()[0] for c, t in enumerate(d))
+    # of another type, but let through member by member
+    odd = PAYLOAD[1].replace("{", '{"contact": "none", ', 1)
+    assert len(fields.analysis(record(spark, p=odd)).collect()) == 12
+
+
 def test_words_are_extracted_once(spark):
     d = spark.createDataFrame([("A text.",)], "t string").select(readability.measures(F.col("t")).alias("m"))
     assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower(") == 1
