@@ -57,3 +57,9 @@ def test_alignment_by_bits_is_that_of_the_plain_grid():
                 j -= 1
                 at[j] = i - 1
         assert postedit.aligned(postedit.Bits(b).states(a), a, b)[2] == at
+
+
+def test_rules_are_not_carried_by_rows_that_break_none(spark):
+    t = records.tables(spark, SMALL)
+    first = [x for x in plan(quality.violations(t.rec, t.ast, t.rdb)).split("\n") if "partial_sum" in x][-1]
+    assert "partial_sum(left" in first and "partial_sum(null_ids" not in first
