@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from revisio.functions import postedit, readability
 from revisio.operators import fields, quality
-from revisio.plans import records
+from revisio.plans import adapters, records
 from test_functions import PAYLOAD, record
 
 SMALL = "/root/testdata/sf0.001"
@@ -63,3 +63,15 @@ def test_rules_are_not_carried_by_rows_that_break_none(spark):
     t = records.tables(spark, SMALL)
     first = [x for x in plan(quality.violations(t.rec, t.ast, t.rdb)).split("\n") if "partial_sum" in x][-1]
     assert "partial_sum(left" in first and "partial_sum(null_ids" not in first
+
+
+def test_names_are_dealt_out_and_payloads_read_once(spark):
+    p = adapters.pairs(spark, SMALL)
+    assert p.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and "BroadcastHashJoin" not in plan(p)
+    t = records.tables(spark, SMALL)
+    assert plan(t.made("ast")).count("ArrowEvalPython") >= 1 and "Union" not in plan(t.made("ast"))
+
+
+def test_distance_is_computed_once(spark):
+    d = postedit.analyzed(spark.createDataFrame([("a", "b")], "selected_text string, final_text string"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") == 1
