@@ -38,6 +38,8 @@ def _payload(df, order):
 def tables(t):
     """{folder: frame} of everything that is published."""
     specs = ATTEMPTS | FIELDS | CONTEXTS
+    for s in RECORDS.values():
+        getattr(t, s)  # written now, as all that follows reads them
     out = {"quality/data_quality_summary": quality.summary(t.rec, t.ast, t.rdb), "overview/overview_summary": quality.overview(t), **{f: specs[s].frame_of(t) for f, s in SUMMARIES.items()},
            "analysis-audit-records/data_quality_findings": quality.findings(t.rec), **{f"analysis-audit-records/{f}": getattr(t, s) for f, s in RECORDS.items()}}
     bins = _payload(specs["a10_activity_bins"].frame_of(t), ("metric_name", "author_adoption_group", "bin_sequence"))

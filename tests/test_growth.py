@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from revisio.functions import postedit, readability
 from revisio.operators import fields, quality
+from revisio.operators.context_tables import CONTEXTS
+from revisio.operators.tables import ATTEMPTS, Part
 from revisio.plans import adapters, records
 from test_functions import PAYLOAD, record
 
@@ -75,3 +77,24 @@ def test_names_are_dealt_out_and_payloads_read_once(spark):
 def test_distance_is_computed_once(spark):
     d = postedit.analyzed(spark.createDataFrame([("a", "b")], "selected_text string, final_text string"))
     assert d._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") == 1
+
+
+@pytest.mark.parametrize("name", ["a04_grouped_attempts", "a06_completed_context", "a26_pathways"])
+def test_wide_tables_are_not_written_for_one_reader(spark, monkeypatch, name):
+    monkeypatch.setattr(records, "_runs", {})
+    t = records.tables(spark, SMALL)
+    (ATTEMPTS | CONTEXTS)[name].frame_of(t)
+    assert not {"rec", "att", "stu", "ctx"} & set(vars(t))
+
+
+def test_a_snapshot_is_planned_over_the_columns_it_takes(spark, monkeypatch):
+    monkeypatch.setattr(records, "_runs", {})
+    t = records.tables(spark, SMALL)
+    text = plan(t.made("stx"))
+    assert not {"rec", "att", "stu"} & set(vars(t)) and "AUTHOR_APPOINTMENTS" not in text
+
+
+def test_columns_that_a_part_speaks_of_are_taken(spark):
+    d = spark.createDataFrame([("a", "b", 1.0, 2)], "k string, unused string, v double, ID long")
+    assert Part("", ("k",), counts={"n": "count(DISTINCT id)"}, metrics={"v": {}}).taken(d) == ["k", "v", "ID"]
+    assert Part("", ("grp",), ("grp",), (("'ALL'",),), {"n": "count(*)"}).taken(d) == ["k"]
