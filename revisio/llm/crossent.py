@@ -65,23 +65,25 @@ def grams(texts):
 
 
 class Chunk:
-    """The grams of a chunk, block by block: the distinct ones of each, and the whole chunk's."""
+    """The grams of a chunk, block by block, hashed and sorted once, and the whole chunk's distinct ones."""
 
     def __init__(self, table):
         self.chunk, self.texts = table["chunk"][0].as_py(), [t.encode("utf-8", "surrogatepass") for t in table["text"].to_pylist()]
         self.marked = np.array(table["marked"].to_pylist(), bool)
-        self.blocks = list(packed.blocks(self.texts))
-        each = []
-        for lo, hi in self.blocks:
-            each.append(np.unique(grams(self.texts[lo:hi])[1]))
+        each, self.blocks = [], []
+        for lo, hi in packed.blocks(self.texts):
+            doc, g = grams(self.texts[lo:hi])
+            u, of = np.unique(g, return_inverse=True)
+            each.append(u)
+            # a block has no more grams than 32 bits tell apart; half as many bytes are kept till all of the chunk's are known
+            self.blocks.append((lo, hi, doc.astype(np.int32), of.astype(np.int32)))
         self.grams = np.unique(np.concatenate(each))
+        self.places = [np.searchsorted(self.grams, u).astype(np.int32) for u in each]
 
     def __iter__(self):
         """(first text, marks of texts, text index, index of the gram in self.grams) of each block."""
-        for lo, hi in self.blocks:
-            doc, g = grams(self.texts[lo:hi])
-            u, of = np.unique(g, return_inverse=True)
-            yield lo, self.marked[lo:hi], doc, np.searchsorted(self.grams, u)[of]
+        for (lo, hi, doc, of), at in zip(self.blocks, self.places):
+            yield lo, self.marked[lo:hi], doc.astype(np.int64), at[of].astype(np.int64)
 
 
 def _table(chunk, bucket, data):

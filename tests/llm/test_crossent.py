@@ -41,3 +41,13 @@ def test_scores_equal_brute_force(spark):
     assert parted == got
     twice = crossent.score(d.union(d.where("doc_id = 3")), m.limit(0)).collect()
     assert len(twice) == len(DOCS) and crossent.score(d.limit(0), m).count() == 0
+
+
+def test_grams_of_a_chunk_are_hashed_once(monkeypatch):
+    seen, plain = [], crossent.grams
+    monkeypatch.setattr(crossent, "grams", lambda texts: seen.append(len(texts)) or plain(texts))
+    table = crossent.pa.table({"chunk": [0, 0, 0], "text": ["a b a", "", "b c"], "marked": [True, False, False]})
+    crossent._counted(1)(table)
+    assert sum(seen) == 3
+    (lo, marked, doc, of), = crossent.Chunk(table)
+    assert lo == 0 and marked.tolist() == [True, False, False] and (crossent.Chunk(table).grams[of] == plain([b"a b a", b"", b"b c"])[1]).all() and doc.tolist() == plain([b"a b a", b"", b"b c"])[0].tolist()
