@@ -98,3 +98,33 @@ def test_columns_that_a_part_speaks_of_are_taken(spark):
     d = spark.createDataFrame([("a", "b", 1.0, 2)], "k string, unused string, v double, ID long")
     assert Part("", ("k",), counts={"n": "count(DISTINCT id)"}, metrics={"v": {}}).taken(d) == ["k", "v", "ID"]
     assert Part("", ("grp",), ("grp",), (("'ALL'",),), {"n": "count(*)"}).taken(d) == ["k"]
+
+
+def test_field_rows_are_compiled_and_payloads_decoded_and_not_sorted(spark):
+    t = records.tables(spark, SMALL)
+    text, best = plan(t.made("ast")), t.made("ast")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array(" not in text and best.count("from_json(") == 3
+    assert "BuildLeft" in text and "Sort [" not in text
+    # payloads of records made by hand are no business of the analysis
+    assert "(attempt_type" in best and "= AI)" in best
+
+
+def test_plain_ascii_texts_are_compared_as_in_python(spark):
+    rng = random.Random(3)
+    odd = "aB1 \t\n\x0b\x1c\x1d\x1f\x00\x7f!$+<^`~_-." + "éΣ "
+    rows = [["".join(rng.choice(odd) for _ in range(rng.randrange(5))) for _ in "ab"] for _ in range(3000)]
+    rows += [["A  text!", "a text"], ["a.b", "a b"], ["ab", "a b"], ["", "!"], ["?", "!"], ["\x1d", "\x1c"], ["É t", "e T"]]
+    got = postedit.analyzed(spark.createDataFrame(rows, "selected_text string, final_text string"))
+    assert "regexp_replace(lower(" in plan(got.select("cosmetic"))
+    seen = got.select("selected_text", "final_text", "cosmetic").collect()
+    assert len(seen) == len(rows)
+    for a, b, same in seen:
+        assert same == (postedit.plain(postedit.composed(a)) == postedit.plain(postedit.composed(b)) if postedit.composed(b).split() else None), (a, b)
+
+
+def test_a_contained_text_needs_no_distance_of_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [["".join(rng.choice("abé") for _ in range(rng.randrange(7))) for _ in "ab"] for _ in range(500)] + [["ab", "xxabyy"], ["xxabyy", "ab"], ["", "a"]]
+    d = spark.createDataFrame(rows, "a string, b string").select("a", "b", postedit.distance(F.col("a"), F.col("b")).alias("far"))
+    assert all(far == postedit.characters(a, b) for a, b, far in d.collect())
+    assert "Contains(" in plan(postedit.analyzed(spark.createDataFrame([("a", "b")], "selected_text string, final_text string")).select("character_edit_distance"))
