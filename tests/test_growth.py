@@ -8,7 +8,7 @@ from revisio.functions import postedit, readability
 from revisio.operators import fields, quality
 from revisio.operators.context_tables import CONTEXTS
 from revisio.operators.tables import ATTEMPTS, Part
-from revisio.plans import adapters, records
+from revisio.plans import adapters, payloads, records
 from test_functions import PAYLOAD, record
 
 SMALL = "/root/testdata/sf0.001"
@@ -105,8 +105,9 @@ def test_field_rows_are_compiled_and_payloads_decoded_and_not_sorted(spark):
     text, best = plan(t.made("ast")), t.made("ast")._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(array(" not in text and best.count("from_json(") == 3
     assert "BuildLeft" in text and "Sort [" not in text
-    # payloads of records made by hand are no business of the analysis
+    # payloads of records made by hand are no business of the analysis, but the report reads their final texts
     assert "(attempt_type" in best and "= AI)" in best
+    assert payloads.with_payloads(t.fin, t.pay).where("ATTEMPT_TYPE <> 'AI' AND FINAL_SUBMISSION IS NOT NULL").count() > 0
 
 
 def test_plain_ascii_texts_are_compared_as_in_python(spark):
